@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses this library reproduces are one-shot batch reads: there is no
+watermark, window, state or late-data logic to carry over, so no streaming
+operator is defined. Every operator is a lazy DataFrame function and runs
+unchanged inside ``foreachBatch`` if a caller wants micro-batch refreshes.
+"""

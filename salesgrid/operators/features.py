@@ -76,8 +76,11 @@ def feature_pipeline(numeric: Sequence[str] = NUMERIC_FEATURES,
         stages.append(StringIndexer(inputCol=c, outputCol=i, stringOrderType="alphabetAsc",
                                     handleInvalid="keep"))
     if categorical:
+        # The indexer's "keep" adds one trailing slot for NULL/unseen values;
+        # dropping the last slot removes exactly that one, so every seen
+        # category keeps its column and NULL encodes as all zeros.
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True,
-                                    handleInvalid="keep"))
+                                    handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=[*numeric, *ohe], outputCol="raw_features",
                                   handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="raw_features", outputCol="sample_scaled",

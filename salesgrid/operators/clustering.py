@@ -7,6 +7,7 @@ the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -54,13 +55,18 @@ def _kmeans(k: int, seed: int) -> KMeans:
 
 
 def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
-          matrix: DataFrame | None = None) -> DataFrame:
+          matrix: DataFrame | None = None, parallel_fits: int = 4) -> DataFrame:
     """Q26: within-cluster sum of squares for k = 1..k_max (k = 1 in closed form)."""
     if matrix is None:
         matrix = prepare_matrix(account_features(model))
-    rows = [(1, total_sum_of_squares(matrix))]
-    for k in range(2, k_max + 1):
-        rows.append((k, float(_kmeans(k, seed).fit(matrix).summary.trainingCost)))
+    def cost(k: int) -> float:
+        return float(_kmeans(k, seed).fit(matrix).summary.trainingCost)
+
+    # The fits are independent: submit them concurrently so their (small,
+    # iterative) jobs share the executors instead of running back to back.
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, k_max - 1))) as pool:
+        costs = list(pool.map(cost, range(2, k_max + 1)))
+    rows = [(1, total_sum_of_squares(matrix))] + list(zip(range(2, k_max + 1), costs))
     return matrix.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 

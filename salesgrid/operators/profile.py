@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..plans import ranking
 from ..plans.model import CrmModel
+from ..session import reliable_checkpoint
 
 
 def customer_360(model: CrmModel, sort: bool = True) -> DataFrame:
@@ -67,6 +68,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     depend on summation order. One pass for the moments, one distributed
     sort for all the quartiles.
     """
+    df = reliable_checkpoint(df)  # read once by the moments pass and by the quartile sort
     cols = list(columns) if columns else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if isinstance(types[c], T.NumericType)]

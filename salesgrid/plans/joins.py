@@ -1,4 +1,4 @@
-"""Join helpers with an explicit size check before any broadcast."""
+"""Join helpers."""
 
 from __future__ import annotations
 
@@ -6,17 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
+def single_row(df: DataFrame) -> DataFrame:
+    """Broadcast a global (key-less) aggregate: exactly one row by construction.
 
-    The check reads at most ``max_rows + 1`` rows (a LIMIT job). Beyond the
-    bound the frame is returned unchanged and Spark picks the join strategy
-    from its own size estimate and, under AQE, from runtime statistics.
+    Every explicit broadcast in the library goes through here or joins a
+    frame with one row per partition; dimension tables are never hinted, so
+    the planner (and AQE at runtime) broadcasts them only below its size
+    threshold and uses a shuffle join otherwise.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def single_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global (key-less) aggregate: one row by construction."""
     return F.broadcast(df)

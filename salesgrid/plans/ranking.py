@@ -52,14 +52,26 @@ def desc(name: str, nulls_last: bool = True) -> Key:
     return Key(name, False, nulls_last)
 
 
+# Up to this many rows, one sorted task is cheaper than range partitioning and
+# its size is bounded by this constant; above it the distributed path is used.
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def global_positions(df: DataFrame, keys: Sequence[Key], pos_col: str = "_pos",
-                     count_col: str | None = None, partitions: int | None = None) -> DataFrame:
+                     count_col: str | None = None, partitions: int | None = None,
+                     single_task_rows: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row in the order ``keys``.
 
     ``keys`` must form a total order (end with a unique column) for the result
     to be deterministic. Optionally adds ``count_col`` with the total row count.
+    Callers should pass checkpointed input: the row count is taken first.
     """
     orders = [k.sort() for k in keys]
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    n = df.count()
+    if n <= limit:
+        out = df.withColumn(pos_col, (F.row_number().over(Window.orderBy(*orders)) - 1).cast("bigint"))
+        return out.withColumn(count_col, F.lit(n).cast("bigint")) if count_col else out
     ranged = df.repartitionByRange(partitions, *orders) if partitions else df.repartitionByRange(*orders)
     numbered = (ranged.sortWithinPartitions(*orders)
                 .withColumn("_mid", F.monotonically_increasing_id()))
@@ -94,15 +106,16 @@ def ntile_from_position(pos: Column, total: Column, n: int) -> Column:
 
 
 def add_ntile(df: DataFrame, keys: Sequence[Key], n: int, out_col: str,
-              partitions: int | None = None) -> DataFrame:
-    """``NTILE(n) OVER (ORDER BY keys)`` computed without a single-task window."""
-    ranked = global_positions(df, keys, "_pos", "_cnt", partitions)
+              partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
+    """``NTILE(n) OVER (ORDER BY keys)``; above the row bound, without a single-task window."""
+    ranked = global_positions(df, keys, "_pos", "_cnt", partitions, single_task_rows)
     return ranked.withColumn(out_col, ntile_from_position(F.col("_pos"), F.col("_cnt"), n)).drop(
         "_pos", "_cnt")
 
 
 def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
-                group_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+                group_cols: Sequence[str] = (), partitions: int | None = None,
+                single_task_rows: int | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT(q)`` of each value column, per group.
 
     Returns long form: ``group_cols..., column, q, value`` (value is DOUBLE,
@@ -115,9 +128,10 @@ def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
         for c in value_cols])).alias("_kv")).select(*group_cols, "_kv.column", "_kv.value")
     present = long.filter(F.col("value").isNotNull())
     # Total order: group, column, value, then a row id that is unique per row.
-    present = present.withColumn("_rid", F.monotonically_increasing_id())
+    present = reliable_checkpoint(present.withColumn("_rid", F.monotonically_increasing_id()))
     keys = [asc(g) for g in group_cols] + [asc("column"), asc("value"), asc("_rid")]
-    ranked = global_positions(present, keys, "_pos", partitions=partitions)
+    ranked = global_positions(present, keys, "_pos", partitions=partitions,
+                              single_task_rows=single_task_rows)
 
     gk = group_cols + ["column"]
     bounds = ranked.groupBy(*gk).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))

@@ -27,14 +27,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import bounded_broadcast
 from ..schemas import CLOSE_VALUE, PIPELINE_COLUMNS
 
-# Fixed sizes of the TPC-H nation and region tables (by specification);
-# the broadcast is still guarded by a row check.
-NATION_MAX_ROWS = 1000
-REGION_MAX_ROWS = 1000
-
 _NEEDS_ORDERS = {"account", "engage_date", "close_date"}
 
 
@@ -110,7 +104,9 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
 
 def accounts_from_tpch(tables) -> DataFrame:
     cust = tables["customer"]
-    nation = bounded_broadcast(tables["nation"].select("n_nationkey", "n_name"), NATION_MAX_ROWS)
+    # nation/region are tiny scans: the planner broadcasts them from their size
+    # statistics (autoBroadcastJoinThreshold); no hint, so a large one would not be.
+    nation = tables["nation"].select("n_nationkey", "n_name")
     df = cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"], "left")
     return df.select(
         F.col("c_name").alias("account"),
@@ -133,9 +129,8 @@ def products_from_tpch(tables) -> DataFrame:
 
 def sales_teams_from_tpch(tables) -> DataFrame:
     supp = tables["supplier"]
-    nation = bounded_broadcast(
-        tables["nation"].select("n_nationkey", "n_name", "n_regionkey"), NATION_MAX_ROWS)
-    region = bounded_broadcast(tables["region"].select("r_regionkey", "r_name"), REGION_MAX_ROWS)
+    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    region = tables["region"].select("r_regionkey", "r_name")
     df = (supp.join(nation, supp["s_nationkey"] == nation["n_nationkey"], "left")
           .join(region, F.col("n_regionkey") == region["r_regionkey"], "left"))
     return df.select(

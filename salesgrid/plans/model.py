@@ -21,8 +21,12 @@ class CrmModel:
                  accounts: Callable[[], DataFrame] | DataFrame,
                  products: Callable[[], DataFrame] | DataFrame,
                  sales_teams: Callable[[], DataFrame] | DataFrame,
+                 view: Callable[[tuple[str, ...]], DataFrame] | None = None,
                  **params):
         self._pipeline = pipeline
+        # optional source-specific builder of the joined view (same result as
+        # joining the dimensions on their keys, possibly with fewer shuffles)
+        self._view = view
         self._dims = {"accounts": accounts, "products": products, "sales_teams": sales_teams}
         # dataset parameters (as-of date, home country, reference year, ...)
         self.params = dict(params)
@@ -40,6 +44,7 @@ class CrmModel:
                    lambda: starmap.accounts_from_tpch(tables),
                    lambda: starmap.products_from_tpch(tables),
                    lambda: starmap.sales_teams_from_tpch(tables),
+                   view=lambda cols: starmap.star_from_tpch(tables, cols),
                    **params)
 
     # -- access -------------------------------------------------------------
@@ -79,6 +84,8 @@ def crm_view(model: CrmModel, columns: Iterable[str] | None = None) -> DataFrame
     """
     wanted = list(columns) if columns else (
         list(PIPELINE_COLUMNS) + [c for cs in VIEW_DIMENSION_COLUMNS.values() for c in cs])
+    if model._view is not None:
+        return model._view(tuple(wanted))
     fact_cols = [c for c in PIPELINE_COLUMNS if c in wanted]
     need = {dim: [c for c in cols if c in wanted] for dim, cols in VIEW_DIMENSION_COLUMNS.items()}
     keys = {"sales_teams": "sales_agent", "products": "product", "accounts": "account"}

@@ -27,7 +27,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CLOSE_VALUE, PIPELINE_COLUMNS
+from ..schemas import CLOSE_VALUE, PIPELINE_COLUMNS, VIEW_DIMENSION_COLUMNS
 
 _NEEDS_ORDERS = {"account", "engage_date", "close_date"}
 
@@ -39,24 +39,96 @@ def _stage(rf: Column, ls: Column) -> Column:
             .when((rf == "A") & (ls == "O"), F.lit("Prospecting")))
 
 
-def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFrame:
-    """The ``sales_pipeline`` fact table, restricted to ``columns``."""
-    cols = tuple(columns) if columns else PIPELINE_COLUMNS
-    unknown = set(cols) - set(PIPELINE_COLUMNS)
+def _accounts_keyed(tables) -> DataFrame:
+    cust = tables["customer"]
+    # nation/region are tiny scans: the planner broadcasts them from their size
+    # statistics (autoBroadcastJoinThreshold); no hint, so a large one would not be.
+    nation = tables["nation"].select("n_nationkey", "n_name")
+    df = cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"], "left")
+    return df.select(
+        "c_custkey",
+        F.col("c_name").alias("account"),
+        F.col("c_mktsegment").alias("sector"),
+        (F.lit(1980) + F.col("c_custkey") % 38).cast("int").alias("year_established"),
+        (F.col("c_acctbal") + F.lit(1000.0)).alias("revenue"),
+        (F.lit(1) + (F.col("c_custkey") * 37) % 20000).cast("int").alias("employees"),
+        F.col("n_name").alias("office_location"),
+        F.lit(None).cast("string").alias("subsidiary_of"),
+    )
+
+
+def _products_keyed(tables) -> DataFrame:
+    return tables["part"].select(
+        "p_partkey",
+        F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias("product"),
+        F.col("p_brand").alias("series"),
+        F.col("p_retailprice").alias("sales_price"),
+    )
+
+
+def _teams_keyed(tables) -> DataFrame:
+    supp = tables["supplier"]
+    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    region = tables["region"].select("r_regionkey", "r_name")
+    df = (supp.join(nation, supp["s_nationkey"] == nation["n_nationkey"], "left")
+          .join(region, F.col("n_regionkey") == region["r_regionkey"], "left"))
+    return df.select(
+        "s_suppkey",
+        F.col("s_name").alias("sales_agent"),
+        F.col("n_name").alias("manager"),
+        F.col("r_name").alias("regional_office"),
+    )
+
+
+def accounts_from_tpch(tables) -> DataFrame:
+    return _accounts_keyed(tables).drop("c_custkey")
+
+
+def products_from_tpch(tables) -> DataFrame:
+    return _products_keyed(tables).drop("p_partkey")
+
+
+def sales_teams_from_tpch(tables) -> DataFrame:
+    return _teams_keyed(tables).drop("s_suppkey")
+
+
+_ACCOUNT_ATTRS = VIEW_DIMENSION_COLUMNS["accounts"]
+_TEAM_ATTRS = VIEW_DIMENSION_COLUMNS["sales_teams"]
+_PRODUCT_ATTRS = VIEW_DIMENSION_COLUMNS["products"]
+
+
+def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
+    """Fact columns plus any view (dimension) columns, joined on integer keys.
+
+    ``orders`` is joined with the accounts first and the fact table with that
+    result, so the fact table is shuffled once for the account (by order key)
+    rather than once per join; agent and product attributes come through the
+    supplier and part keys. A dimension is joined only if a requested column
+    needs it (its key is unique, so an unused left join changes nothing).
+    """
+    cols = tuple(columns)
+    allowed = set(PIPELINE_COLUMNS) | set(_ACCOUNT_ATTRS) | set(_TEAM_ATTRS) | set(_PRODUCT_ATTRS)
+    unknown = set(cols) - allowed
     if unknown:
-        raise ValueError(f"unknown pipeline columns: {sorted(unknown)}")
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
     wanted = set(cols)
+    acc_attrs = [c for c in _ACCOUNT_ATTRS if c in wanted]
+    team_attrs = [c for c in _TEAM_ATTRS if c in wanted]
+    prod_attrs = [c for c in _PRODUCT_ATTRS if c in wanted]
+    need_account = "account" in wanted or bool(acc_attrs)
+    need_orders = need_account or bool(wanted & {"engage_date", "close_date"})
+    need_team = "sales_agent" in wanted or bool(team_attrs)
 
     li_cols = ["l_returnflag", "l_linestatus"]
     if "opportunity_id" in wanted:
         li_cols += ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    if "product" in wanted:
+    if "product" in wanted or prod_attrs:
         li_cols += ["l_partkey"]
-    if "sales_agent" in wanted:
+    if need_team:
         li_cols += ["l_suppkey"]
-    if "account" in wanted:
+    if need_account:
         li_cols += ["l_linenumber"]
-    if wanted & _NEEDS_ORDERS:
+    if need_orders:
         li_cols += ["l_orderkey"]
     if wanted & {"engage_date", "close_date"}:
         li_cols += ["l_shipdate"]
@@ -64,32 +136,38 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
         li_cols += ["l_extendedprice"]
     df = tables["lineitem"].select(*dict.fromkeys(li_cols))
 
-    if wanted & _NEEDS_ORDERS:
+    if need_orders:
         o_cols = ["o_orderkey"]
-        if "account" in wanted:
+        if need_account:
             o_cols.append("o_custkey")
         if wanted & {"engage_date", "close_date"}:
             o_cols.append("o_orderdate")
         orders = tables["orders"].select(*o_cols)
+        if need_account:
+            acc = _accounts_keyed(tables).select(
+                "c_custkey", F.col("account").alias("_acct"),
+                *[F.col(c).alias(f"_a_{c}") for c in acc_attrs])
+            orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")
         df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
-    if "account" in wanted:
-        cust = tables["customer"].select("c_custkey", "c_name")
-        df = df.join(cust, df["o_custkey"] == cust["c_custkey"], "left")
-    if "sales_agent" in wanted:
-        supp = tables["supplier"].select("s_suppkey", "s_name")
-        df = df.join(supp, df["l_suppkey"] == supp["s_suppkey"], "left")
+    if need_team:
+        teams = _teams_keyed(tables).select("s_suppkey", *(["sales_agent"] + team_attrs))
+        df = df.join(teams, df["l_suppkey"] == teams["s_suppkey"], "left")
+    if prod_attrs:
+        prods = _products_keyed(tables).select("p_partkey", *prod_attrs)
+        df = df.join(prods, df["l_partkey"] == prods["p_partkey"], "left")
 
     stage = _stage(F.col("l_returnflag"), F.col("l_linestatus"))
     prospecting = stage == F.lit("Prospecting")
     closed = stage.isin("Won", "Lost")
+    # the fact row has no account (and so no account attributes) for Prospecting line 1
+    no_account = prospecting & (F.col("l_linenumber") == 1)
     exprs = {
         "opportunity_id": lambda: F.concat_ws(
             "-", *[F.col(c).cast("string") for c in
                    ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]),
-        "sales_agent": lambda: F.col("s_name"),
+        "sales_agent": lambda: F.col("sales_agent"),
         "product": lambda: F.concat(F.lit("Part#"), F.col("l_partkey").cast("string")),
-        "account": lambda: F.when(prospecting & (F.col("l_linenumber") == 1),
-                                  F.lit(None).cast("string")).otherwise(F.col("c_name")),
+        "account": lambda: F.when(no_account, F.lit(None).cast("string")).otherwise(F.col("_acct")),
         "deal_stage": lambda: stage,
         "engage_date": lambda: F.when(prospecting, F.lit(None).cast("date")).otherwise(
             F.least(F.col("o_orderdate"), F.col("l_shipdate")).cast("date")),
@@ -99,42 +177,17 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
             F.when(stage == F.lit("Won"), F.col("l_extendedprice").cast(CLOSE_VALUE))
             .when(stage == F.lit("Lost"), F.lit(0).cast(CLOSE_VALUE))),
     }
+    for c in acc_attrs:
+        exprs[c] = (lambda c=c: F.when(no_account, F.lit(None)).otherwise(F.col(f"_a_{c}")))
+    for c in team_attrs + prod_attrs:
+        exprs[c] = (lambda c=c: F.col(c))
     return df.select(*[exprs[c]().alias(c) for c in cols])
 
 
-def accounts_from_tpch(tables) -> DataFrame:
-    cust = tables["customer"]
-    # nation/region are tiny scans: the planner broadcasts them from their size
-    # statistics (autoBroadcastJoinThreshold); no hint, so a large one would not be.
-    nation = tables["nation"].select("n_nationkey", "n_name")
-    df = cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"], "left")
-    return df.select(
-        F.col("c_name").alias("account"),
-        F.col("c_mktsegment").alias("sector"),
-        (F.lit(1980) + F.col("c_custkey") % 38).cast("int").alias("year_established"),
-        (F.col("c_acctbal") + F.lit(1000.0)).alias("revenue"),
-        (F.lit(1) + (F.col("c_custkey") * 37) % 20000).cast("int").alias("employees"),
-        F.col("n_name").alias("office_location"),
-        F.lit(None).cast("string").alias("subsidiary_of"),
-    )
-
-
-def products_from_tpch(tables) -> DataFrame:
-    return tables["part"].select(
-        F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias("product"),
-        F.col("p_brand").alias("series"),
-        F.col("p_retailprice").alias("sales_price"),
-    )
-
-
-def sales_teams_from_tpch(tables) -> DataFrame:
-    supp = tables["supplier"]
-    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
-    region = tables["region"].select("r_regionkey", "r_name")
-    df = (supp.join(nation, supp["s_nationkey"] == nation["n_nationkey"], "left")
-          .join(region, F.col("n_regionkey") == region["r_regionkey"], "left"))
-    return df.select(
-        F.col("s_name").alias("sales_agent"),
-        F.col("n_name").alias("manager"),
-        F.col("r_name").alias("regional_office"),
-    )
+def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFrame:
+    """The ``sales_pipeline`` fact table, restricted to ``columns``."""
+    cols = tuple(columns) if columns else PIPELINE_COLUMNS
+    unknown = set(cols) - set(PIPELINE_COLUMNS)
+    if unknown:
+        raise ValueError(f"unknown pipeline columns: {sorted(unknown)}")
+    return star_from_tpch(tables, cols)

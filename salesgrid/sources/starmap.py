@@ -39,22 +39,24 @@ def _stage(rf: Column, ls: Column) -> Column:
             .when((rf == "A") & (ls == "O"), F.lit("Prospecting")))
 
 
-def _accounts_keyed(tables) -> DataFrame:
-    cust = tables["customer"]
-    # nation/region are tiny scans: the planner broadcasts them from their size
-    # statistics (autoBroadcastJoinThreshold); no hint, so a large one would not be.
-    nation = tables["nation"].select("n_nationkey", "n_name")
-    df = cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"], "left")
-    return df.select(
-        "c_custkey",
-        F.col("c_name").alias("account"),
-        F.col("c_mktsegment").alias("sector"),
-        (F.lit(1980) + F.col("c_custkey") % 38).cast("int").alias("year_established"),
-        (F.col("c_acctbal") + F.lit(1000.0)).alias("revenue"),
-        (F.lit(1) + (F.col("c_custkey") * 37) % 20000).cast("int").alias("employees"),
-        F.col("n_name").alias("office_location"),
-        F.lit(None).cast("string").alias("subsidiary_of"),
-    )
+def _accounts_keyed(tables, attrs=VIEW_DIMENSION_COLUMNS["accounts"]) -> DataFrame:
+    """c_custkey, account and the requested account attributes."""
+    df = tables["customer"]
+    if "office_location" in attrs:
+        # nation/region are tiny scans: the planner broadcasts them from their
+        # size statistics; no hint, so a large one would not be.
+        nation = tables["nation"].select("n_nationkey", "n_name")
+        df = df.join(nation, df["c_nationkey"] == nation["n_nationkey"], "left")
+    exprs = {
+        "sector": lambda: F.col("c_mktsegment"),
+        "year_established": lambda: (F.lit(1980) + F.col("c_custkey") % 38).cast("int"),
+        "revenue": lambda: F.col("c_acctbal") + F.lit(1000.0),
+        "employees": lambda: (F.lit(1) + (F.col("c_custkey") * 37) % 20000).cast("int"),
+        "office_location": lambda: F.col("n_name"),
+        "subsidiary_of": lambda: F.lit(None).cast("string"),
+    }
+    return df.select("c_custkey", F.col("c_name").alias("account"),
+                     *[exprs[a]().alias(a) for a in attrs])
 
 
 def _products_keyed(tables) -> DataFrame:
@@ -144,7 +146,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
             o_cols.append("o_orderdate")
         orders = tables["orders"].select(*o_cols)
         if need_account:
-            acc = _accounts_keyed(tables).select(
+            acc = _accounts_keyed(tables, acc_attrs).select(
                 "c_custkey", F.col("account").alias("_acct"),
                 *[F.col(c).alias(f"_a_{c}") for c in acc_attrs])
             orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")

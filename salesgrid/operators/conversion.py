@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.model import CrmModel
+from ..plans.model import AGENT_KEY, CrmModel
 from . import _stats as S
 
 
@@ -54,12 +54,17 @@ def sales_cycle_stats(model: CrmModel) -> DataFrame:
 
 
 def agent_performance(model: CrmModel, sort: bool = True) -> DataFrame:
-    """Q13: per agent (with manager and office): counts, win rate, revenue, cycle."""
-    p = model.pipeline("sales_agent", "opportunity_id", "deal_stage", "close_value",
-                       "engage_date", "close_date")
-    parts = S.deal_stats(p, ["sales_agent"])
-    teams = model.sales_teams().select("sales_agent", "manager", "regional_office")
-    j = parts.join(teams, "sales_agent", "left")
+    """Q13: per agent (with manager and office): counts, win rate, revenue, cycle.
+
+    The fact table is aggregated by the agent's key; only one row per key
+    meets the agents' table.
+    """
+    p = model.agent_keyed_pipeline("opportunity_id", "deal_stage", "close_value",
+                                   "engage_date", "close_date")
+    # aggregate by the agent key, name the aggregated rows, then merge rows that
+    # share a name (keys without a match all have the NULL name)
+    parts = S.deal_stats(p, [AGENT_KEY])
+    j = S.rollup(model.agent_names(parts), ["sales_agent", "manager", "regional_office"])
     out = j.select("sales_agent", "manager", "regional_office",
                    F.col("_opps").alias("total_opportunities"),
                    F.col("_won").alias("won_deals"), F.col("_lost").alias("lost_deals"),

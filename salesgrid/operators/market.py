@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.joins import single_row
-from ..plans.model import CrmModel
+from ..plans.model import AGENT_KEY, CrmModel
 from . import _stats as S
 
 
@@ -81,10 +81,9 @@ def industry_penetration(model: CrmModel, sort: bool = True) -> DataFrame:
 
 def regional_ratio(model: CrmModel, sort: bool = True) -> DataFrame:
     """Won revenue per regional office as a percentage of all won revenue."""
-    p = model.pipeline("sales_agent", "deal_stage", "close_value")
-    per_agent = p.groupBy("sales_agent").agg(F.sum(C.won_value()).alias("_v"))
-    teams = model.sales_teams().select("sales_agent", "regional_office")
-    per_region = (per_agent.join(teams, "sales_agent", "left")
+    p = model.agent_keyed_pipeline("deal_stage", "close_value")
+    per_agent = p.groupBy(AGENT_KEY).agg(F.sum(C.won_value()).alias("_v"))
+    per_region = (model.agent_names(per_agent)
                   .groupBy("regional_office").agg(F.sum("_v").alias("_rv")))
     total = per_agent.agg(F.sum("_v").alias("_tv"))
     j = per_region.crossJoin(single_row(total))

@@ -12,9 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schemas import PIPELINE_COLUMNS, VIEW_DIMENSION_COLUMNS
 
+AGENT_KEY = "_agent_key"
+
 
 class CrmModel:
     def __init__(self, pipeline: Callable[[tuple[str, ...]], DataFrame] | DataFrame,
@@ -22,11 +25,15 @@ class CrmModel:
                  products: Callable[[], DataFrame] | DataFrame,
                  sales_teams: Callable[[], DataFrame] | DataFrame,
                  view: Callable[[tuple[str, ...]], DataFrame] | None = None,
+                 agent_key: tuple[Callable[[tuple[str, ...]], DataFrame],
+                                  Callable[[], DataFrame]] | None = None,
                  **params):
         self._pipeline = pipeline
         # optional source-specific builder of the joined view (same result as
         # joining the dimensions on their keys, possibly with fewer shuffles)
         self._view = view
+        # optional surrogate agent key: (fact columns + AGENT_KEY, AGENT_KEY -> agent rows)
+        self._agent_key = agent_key
         self._dims = {"accounts": accounts, "products": products, "sales_teams": sales_teams}
         # dataset parameters (as-of date, home country, reference year, ...)
         self.params = dict(params)
@@ -45,6 +52,8 @@ class CrmModel:
                    lambda: starmap.products_from_tpch(tables),
                    lambda: starmap.sales_teams_from_tpch(tables),
                    view=lambda cols: starmap.star_from_tpch(tables, cols),
+                   agent_key=(lambda cols: starmap.star_from_tpch(tables, (AGENT_KEY, *cols)),
+                              lambda: starmap.agents_by_key(tables)),
                    **params)
 
     # -- access -------------------------------------------------------------
@@ -71,6 +80,32 @@ class CrmModel:
     def sales_teams(self) -> DataFrame:
         return self._dim("sales_teams")
 
+    def agent_keyed_pipeline(self, *columns: str) -> DataFrame:
+        """Fact columns plus ``AGENT_KEY``, a surrogate for ``sales_agent``.
+
+        Grouping by the surrogate and naming afterwards (``agent_names``)
+        moves only aggregated rows to the agents' table. Without a source
+        surrogate the key is the agent name itself.
+        """
+        if self._agent_key is not None:
+            return self._agent_key[0](tuple(columns))
+        return self.pipeline("sales_agent", *columns).withColumnRenamed("sales_agent", AGENT_KEY)
+
+    def agent_names(self, keyed: DataFrame) -> DataFrame:
+        """Attach sales_agent, manager and regional_office to rows carrying ``AGENT_KEY``.
+
+        Exactly what joining the fact rows to the sales teams would give: an
+        unmatched key keeps its own name when the key is the name, and has no
+        name when the key is a surrogate.
+        """
+        if self._agent_key is not None:
+            agents = self._agent_key[1]()
+            return keyed.join(agents, AGENT_KEY, "left").drop(AGENT_KEY)
+        teams = self.sales_teams().select(F.col("sales_agent").alias(AGENT_KEY),
+                                          "manager", "regional_office")
+        return (keyed.join(teams, AGENT_KEY, "left")
+                .withColumnRenamed(AGENT_KEY, "sales_agent"))
+
     def param(self, name: str, default=None):
         return self.params.get(name, default)
 

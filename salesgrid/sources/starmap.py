@@ -94,6 +94,10 @@ def sales_teams_from_tpch(tables) -> DataFrame:
     return _teams_keyed(tables).drop("s_suppkey")
 
 
+# Surrogate key of the agent on the fact side: the supplier key. Metrics that
+# group by agent aggregate by it and attach names to the aggregated rows only.
+AGENT_KEY = "_agent_key"
+
 _ACCOUNT_ATTRS = VIEW_DIMENSION_COLUMNS["accounts"]
 _TEAM_ATTRS = VIEW_DIMENSION_COLUMNS["sales_teams"]
 _PRODUCT_ATTRS = VIEW_DIMENSION_COLUMNS["products"]
@@ -109,7 +113,8 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     needs it (its key is unique, so an unused left join changes nothing).
     """
     cols = tuple(columns)
-    allowed = set(PIPELINE_COLUMNS) | set(_ACCOUNT_ATTRS) | set(_TEAM_ATTRS) | set(_PRODUCT_ATTRS)
+    allowed = (set(PIPELINE_COLUMNS) | set(_ACCOUNT_ATTRS) | set(_TEAM_ATTRS)
+               | set(_PRODUCT_ATTRS) | {AGENT_KEY})
     unknown = set(cols) - allowed
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
@@ -126,7 +131,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         li_cols += ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     if "product" in wanted or prod_attrs:
         li_cols += ["l_partkey"]
-    if need_team:
+    if need_team or AGENT_KEY in wanted:
         li_cols += ["l_suppkey"]
     if need_account:
         li_cols += ["l_linenumber"]
@@ -179,6 +184,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
             F.when(stage == F.lit("Won"), F.col("l_extendedprice").cast(CLOSE_VALUE))
             .when(stage == F.lit("Lost"), F.lit(0).cast(CLOSE_VALUE))),
     }
+    exprs[AGENT_KEY] = lambda: F.col("l_suppkey")
     for c in acc_attrs:
         exprs[c] = (lambda c=c: F.when(no_account, F.lit(None)).otherwise(F.col(f"_a_{c}")))
     for c in team_attrs + prod_attrs:
@@ -193,3 +199,8 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
     if unknown:
         raise ValueError(f"unknown pipeline columns: {sorted(unknown)}")
     return star_from_tpch(tables, cols)
+
+
+def agents_by_key(tables) -> DataFrame:
+    """``_agent_key`` (supplier key) with the agent's name, manager and office."""
+    return _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)

@@ -210,3 +210,19 @@ def test_documented_formulas(fixture_model):
     rr = rows_by(O.regional_ratio(fixture_model), "regional_office")
     assert close(rr["Central"]["revenue_share"], 26600 / 26650 * 100)
     assert close(rr["West"]["revenue_share"], 50 / 26650 * 100)
+
+
+def test_unmatched_agent_keeps_its_name(spark, fixture_model):
+    from salesgrid.plans.model import CrmModel
+    extra = spark.createDataFrame(
+        [("O9", "Ghost Agent", "GTX Basic", "Betatech", "Won", None, None, None)],
+        fixture_model.pipeline().schema)
+    m = CrmModel.from_frames(fixture_model.pipeline().unionByName(extra), fixture_model.accounts(),
+                             fixture_model.products(), fixture_model.sales_teams(),
+                             **fixture_model.params)
+    r = rows_by(O.agent_performance(m), "sales_agent")
+    assert r["Ghost Agent"]["manager"] is None and r["Ghost Agent"]["won_deals"] == 1
+    t = rows_by(O.touchpoints(m), "account")
+    assert t["Betatech"]["unique_sales_agents"] == 2
+    rr = rows_by(O.regional_ratio(m), "regional_office")
+    assert None in rr

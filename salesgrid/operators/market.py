@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.joins import single_row
 from ..plans.model import AGENT_KEY, CrmModel
 from . import _stats as S
 
@@ -85,8 +84,10 @@ def regional_ratio(model: CrmModel, sort: bool = True) -> DataFrame:
     per_agent = p.groupBy(AGENT_KEY).agg(F.sum(C.won_value()).alias("_v"))
     per_region = (model.agent_names(per_agent)
                   .groupBy("regional_office").agg(F.sum("_v").alias("_rv")))
-    total = per_agent.agg(F.sum("_v").alias("_tv"))
-    j = per_region.crossJoin(single_row(total))
+    # Every agent falls in exactly one office group (unmatched ones in NULL), so
+    # the total is the sum over office groups: a window over one row per
+    # office, instead of a second pass over the fact table.
+    j = per_region.withColumn("_tv", F.sum("_rv").over(Window.partitionBy()))
     out = j.select("regional_office",
                    F.col("_rv").cast("double").alias("region_revenue"),
                    F.col("_tv").cast("double").alias("total_revenue"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
+from ..session import reliable_checkpoint
 from . import _stats as S
 
 
@@ -38,8 +39,12 @@ def _won_pairs(model: CrmModel) -> DataFrame:
 
 
 def product_penetration(model: CrmModel, sort: bool = True) -> DataFrame:
-    """Q15: share of buying customers that bought each product."""
-    pairs = _won_pairs(model)
+    """Q15: share of buying customers that bought each product.
+
+    The pairs feed two aggregates (per product, and distinct accounts
+    overall); they are checkpointed so the fact table is read once.
+    """
+    pairs = reliable_checkpoint(_won_pairs(model))
     per_product = pairs.groupBy("product").agg(F.count("account").alias("customers_with_product"))
     total = pairs.agg(F.countDistinct("account").alias("total_customers"))
     j = per_product.crossJoin(single_row(total))

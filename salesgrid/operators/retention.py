@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
+from ..session import reliable_checkpoint
 
 DEFAULT_AS_OF = "2018-04-15"
 
@@ -165,7 +166,11 @@ def period_retention(model: CrmModel, granularity: str = "year", sort: bool = Tr
         F.sum("lost").cast("bigint").alias("lost_customers"))
     # Every period from the second observed one to the last, empty ones included
     # (bounded by the date span, not by the data volume).
-    span = ap.agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+    # One row per period, read twice below: materialise it once so the fact
+    # table is not scanned a second time for the observed span.
+    g = reliable_checkpoint(g)
+    observed = F.when(F.col("customers_end") > 0, F.col("period"))
+    span = g.agg(F.min(observed).alias("_lo"), F.max(observed).alias("_hi"))
     periods = single_row(span).select(F.explode(F.when(
         F.col("_hi") > F.col("_lo"), F.sequence(F.col("_lo") + 1, F.col("_hi"))
     ).otherwise(F.array().cast("array<bigint>"))).alias("period"))

@@ -53,3 +53,12 @@ def test_dimension_joined_after_aggregation(model):
     p = plan(O.industry_performance(model, sort=False))
     join_at = p.find("Join")
     assert p.find("HashAggregate", join_at) != -1
+
+
+def test_fact_table_read_once(spark):
+    for name, fn in E.queries().items():
+        if name in ("elbow", "cluster_profile", "cluster_sector_mix", "cluster_pca",
+                    "pca_explained_variance", "feature_matrix", "profile"):
+            continue
+        n = plan(fn(spark, SF)).count("lineitem.parquet")
+        assert n <= 1, f"{name} scans the fact table {n} times"

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ..plans import ranking
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
-from .features import PROFILE_FEATURES, account_features, scaled_features
+from .features import PROFILE_FEATURES, materialised_features, scaled_features
 
 DEFAULT_K = 4
 DEFAULT_SEED = 42
 MAX_ITER = 300
+# Relative tolerance of the original fit: stop when the summed squared shift
+# of all centres is at most TOL times the mean feature variance.
 TOL = 1e-4
 
 
@@ -37,44 +39,69 @@ class Clustering:
 
 
 def prepare_matrix(features: DataFrame) -> DataFrame:
+    """Scaled vectors of materialised feature rows, checkpointed and cached for the fits."""
     matrix, _ = scaled_features(features)
     return reliable_checkpoint(matrix).cache()
 
 
-def total_sum_of_squares(matrix: DataFrame) -> float:
-    """WCSS for k = 1: squared distances to the overall mean (closed form)."""
+def _moments(matrix: DataFrame) -> tuple[int, list[float]]:
+    """Row count and per-column sample variances (one distributed pass)."""
     s = matrix.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s"))
     row = s.select("s.variance", "s.count").first()
-    n = row["count"]
-    return float(sum(row["variance"].toArray()) * (n - 1)) if n > 1 else 0.0
+    return int(row["count"]), [float(v) for v in row["variance"].toArray()]
 
 
-def _kmeans(k: int, seed: int) -> KMeans:
-    return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
-                  predictionCol="cluster")
+def total_sum_of_squares(matrix: DataFrame) -> float:
+    """WCSS for k = 1: squared distances to the overall mean (closed form)."""
+    n, var = _moments(matrix)
+    return float(sum(var) * (n - 1)) if n > 1 else 0.0
+
+
+def spark_tolerance(mean_variance: float, k: int, tol: float = TOL) -> float:
+    """Spark's per-centre movement bound that implies the relative stopping rule.
+
+    Spark stops when every centre moved by at most ``eps``; if each squared
+    shift is at most ``tol * mean_variance / k``, their sum is at most
+    ``tol * mean_variance``.
+    """
+    return max((tol * mean_variance / k) ** 0.5, 1e-12)
+
+
+def _kmeans(k: int, seed: int, mean_variance: float = 1.0) -> KMeans:
+    return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=spark_tolerance(mean_variance, k),
+                  featuresCol="features", predictionCol="cluster")
+
+
+def _mean_population_variance(matrix: DataFrame) -> float:
+    n, var = _moments(matrix)
+    return (sum(var) / len(var)) * ((n - 1) / n) if n > 1 and var else 1.0
 
 
 def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
           matrix: DataFrame | None = None, parallel_fits: int = 4) -> DataFrame:
     """Q26: within-cluster sum of squares for k = 1..k_max (k = 1 in closed form)."""
     if matrix is None:
-        matrix = prepare_matrix(account_features(model))
+        matrix = prepare_matrix(materialised_features(model))
+    n, var = _moments(matrix)
+    mean_var = (sum(var) / len(var)) * ((n - 1) / n) if n > 1 and var else 1.0
+
     def cost(k: int) -> float:
-        return float(_kmeans(k, seed).fit(matrix).summary.trainingCost)
+        return float(_kmeans(k, seed, mean_var).fit(matrix).summary.trainingCost)
 
     # The fits are independent: submit them concurrently so their (small,
     # iterative) jobs share the executors instead of running back to back.
     with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, k_max - 1))) as pool:
         costs = list(pool.map(cost, range(2, k_max + 1)))
-    rows = [(1, total_sum_of_squares(matrix))] + list(zip(range(2, k_max + 1), costs))
+    wcss1 = float(sum(var) * (n - 1)) if n > 1 else 0.0
+    rows = [(1, wcss1)] + list(zip(range(2, k_max + 1), costs))
     return matrix.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
 def cluster_accounts(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED) -> Clustering:
     """Fit K-means on the scaled matrix; labels keep the account key (no positional join)."""
-    features = reliable_checkpoint(account_features(model))
+    features = materialised_features(model)
     matrix = prepare_matrix(features)
-    km = _kmeans(k, seed).fit(matrix)
+    km = _kmeans(k, seed, _mean_population_variance(matrix)).fit(matrix)
     labels = km.transform(matrix).select("account", F.col("cluster").cast("int").alias("cluster"))
     return Clustering(features, matrix, km, labels)
 

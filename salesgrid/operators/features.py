@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.model import CrmModel
+from ..session import reliable_checkpoint
 
 # The clustering feature lists of the original analysis.
 NUMERIC_FEATURES = ("revenue", "employees", "company_age", "completed_deals", "failed_deals",
@@ -90,11 +91,15 @@ def feature_pipeline(numeric: Sequence[str] = NUMERIC_FEATURES,
 
 def scaled_features(features: DataFrame, population_std: bool = True
                     ) -> tuple[DataFrame, PipelineModel]:
-    """Q25 core: (account, features vector) plus the fitted pipeline."""
+    """Q25 core: (account, features vector) plus the fitted pipeline.
+
+    The fits read ``features`` several times (indexers, scaler, row count):
+    pass a materialised frame (see ``materialised_features``).
+    """
     fitted = feature_pipeline().fit(features)
     out = fitted.transform(features)
-    width = len(out.select("sample_scaled").first()[0]) if population_std else 0
     if population_std:
+        width = len(feature_names(fitted))
         n = features.count()
         factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
         out = ElementwiseProduct(scalingVec=Vectors.dense([factor] * width),
@@ -104,9 +109,14 @@ def scaled_features(features: DataFrame, population_std: bool = True
     return out.select("account", "features"), fitted
 
 
+def materialised_features(model: CrmModel, **kwargs) -> DataFrame:
+    """Q24 rows written once to the checkpoint folder (one row per account)."""
+    return reliable_checkpoint(account_features(model, **kwargs))
+
+
 def feature_matrix(model: CrmModel, **kwargs) -> DataFrame:
     """Q25: account and its scaled feature vector."""
-    matrix, _ = scaled_features(account_features(model, **kwargs))
+    matrix, _ = scaled_features(materialised_features(model, **kwargs))
     return matrix
 
 

@@ -1,6 +1,7 @@
 """The analytic operators: each is ``f(model, **params) -> DataFrame``, lazy."""
 
-from .clustering import cluster_accounts, cluster_pca, cluster_profile, cluster_sector_mix, elbow
+from .clustering import (cluster_accounts, cluster_pca, cluster_profile, cluster_sector_crosstab,
+                         cluster_sector_mix, elbow)
 from .conversion import agent_performance, deal_conversion, sales_cycle_stats, stage_conversion
 from .features import account_features, feature_matrix
 from .market import (geographic_performance, industry_penetration, industry_performance,
@@ -16,7 +17,7 @@ from .value import (acquisition_cost_proxy, average_order_value, customer_lifeti
 __all__ = [
     "account_features", "acquisition_cost_proxy", "agent_performance", "average_order_value",
     "churn_risk", "churn_status", "cluster_accounts", "cluster_pca", "cluster_profile",
-    "cluster_sector_mix", "cohort_retention", "cohort_retention_long", "column_profile",
+    "cluster_sector_crosstab", "cluster_sector_mix", "cohort_retention", "cohort_retention_long", "column_profile",
     "cross_sell", "customer_360", "customer_lifetime_value", "deal_conversion", "discounted_clv",
     "elbow", "feature_matrix", "geographic_performance", "health_score", "industry_penetration",
     "industry_performance", "period_retention", "predicted_clv", "product_penetration",

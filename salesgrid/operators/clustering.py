@@ -132,6 +132,25 @@ def cluster_sector_mix(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_
     return g.select("cluster", "sector", "n", share.alias("proportion")).orderBy("cluster", "sector")
 
 
+def cluster_sector_crosstab(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
+                            normalise: bool = False, clustering: Clustering | None = None
+                            ) -> DataFrame:
+    """Cluster x sector table, one column per sector (counts, or row shares).
+
+    The pivot's column set is the distinct sectors (Spark caps a pivot at
+    ``spark.sql.pivotMaxValues`` columns); missing combinations are 0.
+    """
+    c = clustering or cluster_accounts(model, k, seed)
+    f = c.features.join(c.labels, "account").fillna({"sector": "NULL"})
+    wide = f.groupBy("cluster").pivot("sector").agg(F.count(F.lit(1))).na.fill(0)
+    sectors = [x for x in wide.columns if x != "cluster"]
+    if normalise and sectors:
+        total = sum((F.col(f"`{x}`") for x in sectors[1:]), F.col(f"`{sectors[0]}`"))
+        wide = wide.select("cluster", *[(F.col(f"`{x}`").cast("double") / total.cast("double"))
+                                        .alias(x) for x in sectors])
+    return wide.orderBy("cluster")
+
+
 def cluster_pca(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
                 components: int = 2, clustering: Clustering | None = None
                 ) -> tuple[DataFrame, DataFrame]:

@@ -81,3 +81,15 @@ def test_same_seed_same_labels(model, clustering):
     a = {r.account: r.cluster for r in clustering.labels.collect()}
     b = {r.account: r.cluster for r in again.labels.collect()}
     assert a == b
+
+
+def test_sector_crosstab_matches_long_form(clustering, model):
+    wide = K.cluster_sector_crosstab(model, clustering=clustering).collect()
+    long = {(r.cluster, r.sector): r.n for r in K.cluster_sector_mix(model, clustering=clustering).collect()}
+    for r in wide:
+        for sector, n in r.asDict().items():
+            if sector != "cluster":
+                assert n == long.get((r.cluster, sector), 0)
+    norm = K.cluster_sector_crosstab(model, normalise=True, clustering=clustering).collect()
+    for r in norm:
+        assert sum(v for k_, v in r.asDict().items() if k_ != "cluster") == pytest.approx(1.0)

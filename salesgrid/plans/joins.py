@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def single_row(df: DataFrame) -> DataFrame:
     """Broadcast a global (key-less) aggregate: exactly one row by construction.
 
-    Every explicit broadcast in the library goes through here or joins a
-    frame with one row per partition; dimension tables are never hinted, so
-    the planner (and AQE at runtime) broadcasts them only below its size
-    threshold and uses a shuffle join otherwise.
+    Other explicit broadcasts: frames with one row per partition (ranking
+    offsets) and, in the TPC-H star map, dimension tables whose exact row
+    count is below a bound. Everything else is left to the planner and AQE,
+    which broadcast only below their size thresholds.
     """
     return F.broadcast(df)

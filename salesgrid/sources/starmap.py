@@ -94,6 +94,17 @@ def sales_teams_from_tpch(tables) -> DataFrame:
     return _teams_keyed(tables).drop("s_suppkey")
 
 
+# Dimension tables up to this many rows are broadcast into the fact rows; the
+# check is an exact row count of the table. Larger ones are shuffle-joined,
+# ordered so the fact table moves as few times as possible.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _small(tables, name: str) -> bool:
+    counter = getattr(tables, "row_count", None)
+    return counter is not None and counter(name) <= BROADCAST_MAX_ROWS
+
+
 # Surrogate key of the agent on the fact side: the supplier key. Metrics that
 # group by agent aggregate by it and attach names to the aggregated rows only.
 AGENT_KEY = "_agent_key"
@@ -154,13 +165,23 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
             acc = _accounts_keyed(tables, acc_attrs).select(
                 "c_custkey", F.col("account").alias("_acct"),
                 *[F.col(c).alias(f"_a_{c}") for c in acc_attrs])
-            orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")
-        df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
+            if _small(tables, "customer"):
+                # small accounts table (checked): broadcast it onto the fact rows
+                df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
+                df = df.join(F.broadcast(acc), df["o_custkey"] == acc["c_custkey"], "left")
+            else:
+                # large: name the orders first, so the fact table is shuffled once
+                orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")
+                df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
+        else:
+            df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
     if need_team:
         teams = _teams_keyed(tables).select("s_suppkey", *(["sales_agent"] + team_attrs))
+        teams = F.broadcast(teams) if _small(tables, "supplier") else teams
         df = df.join(teams, df["l_suppkey"] == teams["s_suppkey"], "left")
     if prod_attrs:
         prods = _products_keyed(tables).select("p_partkey", *prod_attrs)
+        prods = F.broadcast(prods) if _small(tables, "part") else prods
         df = df.join(prods, df["l_partkey"] == prods["p_partkey"], "left")
 
     stage = _stage(F.col("l_returnflag"), F.col("l_linestatus"))

@@ -8,7 +8,7 @@ TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 
 class TableSet(dict):
-    """name -> DataFrame; attribute access for convenience."""
+    """name -> DataFrame; attribute access, and memoised exact row counts."""
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -16,6 +16,13 @@ class TableSet(dict):
         except KeyError as exc:  # pragma: no cover - plain attribute error
             raise AttributeError(name) from exc
 
+    def row_count(self, name: str) -> int:
+        """Exact row count of a table (one count job per table, then memoised)."""
+        counts = self.__dict__.setdefault("_counts", {})
+        if name not in counts:
+            counts[name] = self[name].count()
+        return counts[name]
+
 
 def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> TableSet:
     """One lazy scan per table; nothing is read until a query runs.

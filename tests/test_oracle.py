@@ -30,3 +30,13 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[0] == "company_sold_to"
+
+
+@pytest.mark.parametrize("name", ["crm_view", "customer_lifetime_value", "touchpoints",
+                                  "agent_performance", "customer_360", "industry_performance"])
+def test_large_dimension_branch_matches_oracle(spark, con, name, monkeypatch):
+    # force the shuffle-join branch used when dimensions exceed the broadcast bound
+    from salesgrid.sources import starmap
+    monkeypatch.setattr(starmap, "BROADCAST_MAX_ROWS", 0)
+    err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
+    assert err is None, err

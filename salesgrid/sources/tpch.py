@@ -17,11 +17,19 @@ class TableSet(dict):
             raise AttributeError(name) from exc
 
     def row_count(self, name: str) -> int:
-        """Exact row count of a table (one count job per table, then memoised)."""
-        counts = self.__dict__.setdefault("_counts", {})
-        if name not in counts:
-            counts[name] = self[name].count()
-        return counts[name]
+        """Exact row count of a table: one count job per table and session.
+
+        Like Spark's own file-listing cache, this assumes the input files do
+        not change while the application runs.
+        """
+        paths = self.__dict__.get("_paths", {})
+        key = (self[name].sparkSession.sparkContext.applicationId, paths.get(name, id(self[name])))
+        if key not in _ROW_COUNTS:
+            _ROW_COUNTS[key] = self[name].count()
+        return _ROW_COUNTS[key]
+
+
+_ROW_COUNTS: dict[tuple, int] = {}
 
 
 def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> TableSet:
@@ -30,4 +38,7 @@ def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> Table
     Column pruning and filter push-down reach these scans through Catalyst.
     """
     base = directory.rstrip("/")
-    return TableSet({n: spark.read.parquet(f"{base}/{n}.parquet") for n in names})
+    paths = {n: f"{base}/{n}.parquet" for n in names}
+    tables = TableSet({n: spark.read.parquet(p) for n, p in paths.items()})
+    tables.__dict__["_paths"] = paths
+    return tables

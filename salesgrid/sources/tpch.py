@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# Declared schemas (DDL) of the driver's tables: no per-read schema inference,
+# which would otherwise cost a footer-reading job for every table on every read.
+TPCH_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
 
 class TableSet(dict):
     """name -> DataFrame; attribute access, and memoised exact row counts."""
@@ -33,12 +50,26 @@ _ROW_COUNTS: dict[tuple, int] = {}
 
 
 def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> TableSet:
-    """One lazy scan per table; nothing is read until a query runs.
+    """One lazy scan per table with its declared schema; nothing is read until a query runs.
 
     Column pruning and filter push-down reach these scans through Catalyst.
     """
     base = directory.rstrip("/")
+    key = (spark.sparkContext.applicationId, base, tuple(names))
+    if key in _SCANS:
+        return _SCANS[key]
     paths = {n: f"{base}/{n}.parquet" for n in names}
-    tables = TableSet({n: spark.read.parquet(p) for n, p in paths.items()})
+    def scan(name: str, path: str) -> DataFrame:
+        schema = TPCH_SCHEMAS.get(name)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+    tables = TableSet({n: scan(n, p) for n, p in paths.items()})
     tables.__dict__["_paths"] = paths
+    _SCANS[key] = tables
     return tables
+
+
+# Scans are plans, not data: reusing them within one application avoids
+# listing the same files again for every query (Spark keeps its own listing
+# cache under the same assumption that inputs do not change mid-application).
+_SCANS: dict[tuple, TableSet] = {}

@@ -105,6 +105,24 @@ def _small(tables, name: str) -> bool:
     return counter is not None and counter(name) <= BROADCAST_MAX_ROWS
 
 
+def _spread_if_few_splits(tables, name: str, key: str) -> DataFrame:
+    """The fact scan, hash-spread over the cores if it has fewer input splits than cores.
+
+    A file written as one large row group scans in a single task, and every
+    operator fused above the scan (projection, broadcast joins, distinct
+    expansion, partial aggregation) then runs in that one task. A large input
+    has at least one split per core, so there this returns the scan unchanged
+    and adds no shuffle. Hash (not round-robin) partitioning keeps task
+    retries deterministic.
+    """
+    df = tables[name]
+    splitter = getattr(tables, "scan_partitions", None)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if splitter is None or splitter(name) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 # Surrogate key of the agent on the fact side: the supplier key. Metrics that
 # group by agent aggregate by it and attach names to the aggregated rows only.
 AGENT_KEY = "_agent_key"
@@ -152,7 +170,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         li_cols += ["l_shipdate"]
     if "close_value" in wanted:
         li_cols += ["l_extendedprice"]
-    df = tables["lineitem"].select(*dict.fromkeys(li_cols))
+    df = _spread_if_few_splits(tables, "lineitem", "l_orderkey").select(*dict.fromkeys(li_cols))
 
     if need_orders:
         o_cols = ["o_orderkey"]

@@ -46,7 +46,17 @@ class TableSet(dict):
         return _ROW_COUNTS[key]
 
 
+    def scan_partitions(self, name: str) -> int:
+        """Number of input splits of a table's scan (planning only, no job); memoised."""
+        paths = self.__dict__.get("_paths", {})
+        key = (self[name].sparkSession.sparkContext.applicationId, paths.get(name, id(self[name])))
+        if key not in _SPLITS:
+            _SPLITS[key] = self[name].rdd.getNumPartitions()
+        return _SPLITS[key]
+
+
 _ROW_COUNTS: dict[tuple, int] = {}
+_SPLITS: dict[tuple, int] = {}
 
 
 def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> TableSet:

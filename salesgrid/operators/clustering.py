@@ -81,7 +81,7 @@ def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
           matrix: DataFrame | None = None, parallel_fits: int = 4) -> DataFrame:
     """Q26: within-cluster sum of squares for k = 1..k_max (k = 1 in closed form)."""
     if matrix is None:
-        matrix = prepare_matrix(materialised_features(model))
+        matrix = _matrix_for(model)
     n, var = _moments(matrix)
     mean_var = (sum(var) / len(var)) * ((n - 1) / n) if n > 1 and var else 1.0
 
@@ -97,13 +97,39 @@ def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
     return matrix.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
+_MATRICES: dict[tuple, DataFrame] = {}
+_CLUSTERINGS: dict[tuple, Clustering] = {}
+
+
+def _matrix_for(model: CrmModel) -> DataFrame:
+    key = model.derived_key("matrix")
+    if key is not None and key in _MATRICES:
+        return _MATRICES[key]
+    matrix = prepare_matrix(materialised_features(model))
+    if key is not None:
+        _MATRICES[key] = matrix
+    return matrix
+
+
 def cluster_accounts(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED) -> Clustering:
-    """Fit K-means on the scaled matrix; labels keep the account key (no positional join)."""
+    """Fit K-means on the scaled matrix; labels keep the account key (no positional join).
+
+    Like the original analysis, which fits once and reports sizes, profiles,
+    sector mix and the PCA view from the same labels, one fit is shared by all
+    reports on the same data and parameters within an application.
+    """
+    key = model.derived_key("kmeans", k, seed)
+    if key is not None and key in _CLUSTERINGS:
+        return _CLUSTERINGS[key]
     features = materialised_features(model)
-    matrix = prepare_matrix(features)
+    matrix = _matrix_for(model)
     km = _kmeans(k, seed, _mean_population_variance(matrix)).fit(matrix)
-    labels = km.transform(matrix).select("account", F.col("cluster").cast("int").alias("cluster"))
-    return Clustering(features, matrix, km, labels)
+    labels = reliable_checkpoint(
+        km.transform(matrix).select("account", F.col("cluster").cast("int").alias("cluster")))
+    result = Clustering(features, matrix, km, labels)
+    if key is not None:
+        _CLUSTERINGS[key] = result
+    return result
 
 
 def cluster_profile(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,

@@ -109,9 +109,22 @@ def scaled_features(features: DataFrame, population_std: bool = True
     return out.select("account", "features"), fitted
 
 
+_MATERIALISED: dict[tuple, DataFrame] = {}
+
+
 def materialised_features(model: CrmModel, **kwargs) -> DataFrame:
-    """Q24 rows written once to the checkpoint folder (one row per account)."""
-    return reliable_checkpoint(account_features(model, **kwargs))
+    """Q24 rows written once to the checkpoint folder (one row per account).
+
+    Within one application the checkpointed rows are reused for the same data
+    and parameters, so the clustering reports share one feature table.
+    """
+    key = model.derived_key("features", tuple(sorted(kwargs.items())))
+    if key is not None and key in _MATERIALISED:
+        return _MATERIALISED[key]
+    df = reliable_checkpoint(account_features(model, **kwargs))
+    if key is not None:
+        _MATERIALISED[key] = df
+    return df
 
 
 def feature_matrix(model: CrmModel, **kwargs) -> DataFrame:

@@ -76,8 +76,11 @@ def test_pca_variance_and_points(clustering, model):
     assert points.filter(F.col("cluster").isNull()).count() == 0
 
 
-def test_same_seed_same_labels(model, clustering):
-    again = K.cluster_accounts(model, k=4, seed=42)
+def test_same_seed_same_labels(spark, clustering):
+    fresh = E.model_for(spark, SF)
+    fresh.source_key = None          # bypass the shared fit: really fit again
+    again = K.cluster_accounts(fresh, k=4, seed=42)
+    assert again is not clustering
     a = {r.account: r.cluster for r in clustering.labels.collect()}
     b = {r.account: r.cluster for r in again.labels.collect()}
     assert a == b
@@ -93,3 +96,9 @@ def test_sector_crosstab_matches_long_form(clustering, model):
     norm = K.cluster_sector_crosstab(model, normalise=True, clustering=clustering).collect()
     for r in norm:
         assert sum(v for k_, v in r.asDict().items() if k_ != "cluster") == pytest.approx(1.0)
+
+
+def test_reports_share_one_fit(spark):
+    a = K.cluster_accounts(E.model_for(spark, SF))
+    b = K.cluster_accounts(E.model_for(spark, SF))
+    assert a is b

@@ -38,9 +38,19 @@ class Clustering:
     labels: DataFrame       # account, cluster
 
 
-def prepare_matrix(features: DataFrame) -> DataFrame:
-    """Scaled vectors of materialised feature rows, checkpointed and cached for the fits."""
+def prepare_matrix(features: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Scaled vectors of materialised feature rows, checkpointed and cached for the fits.
+
+    K-means initialisation samples each partition with the seed, so the same
+    seed gives the same fit only if every partition holds the same rows in
+    the same order. Rows arriving from a shuffle come in fetch order, so the
+    matrix gets a fixed layout first: hash-partitioned by account into a
+    fixed number of partitions and sorted by account inside each.
+    """
+    spark = features.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     matrix, _ = scaled_features(features)
+    matrix = matrix.repartition(n, "account").sortWithinPartitions("account")
     return reliable_checkpoint(matrix).cache()
 
 

@@ -150,7 +150,8 @@ def cluster_profile(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEE
     means = f.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         *[F.avg(F.col(x).cast("double")).alias(f"mean_{x}") for x in PROFILE_FEATURES])
-    med = ranking.percentiles(f, list(PROFILE_FEATURES), [0.5], group_cols=["cluster"])
+    med = ranking.percentiles(f, list(PROFILE_FEATURES), [0.5], group_cols=["cluster"],
+                              materialise=False)
     med_wide = med.groupBy("cluster").agg(*[
         F.max(F.when(F.col("column") == x, F.col("value"))).alias(f"median_{x}")
         for x in PROFILE_FEATURES])

@@ -64,7 +64,8 @@ def touchpoints(model: CrmModel, sort: bool = True) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
-                   quantiles: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 6) -> DataFrame:
+                   quantiles: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 6,
+                   materialised: bool = False) -> DataFrame:
     """Q23: describe() + info() of a table, in long form (one row per column).
 
     count / null_count / dtype for every column; mean, sample std, min,
@@ -73,7 +74,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     depend on summation order. One pass for the moments, one distributed
     sort for all the quartiles.
     """
-    df = reliable_checkpoint(df)  # read once by the moments pass and by the quartile sort
+    if not materialised:
+        df = reliable_checkpoint(df)  # read by the moments pass and by the quartile sort
     cols = list(columns) if columns else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if isinstance(types[c], T.NumericType)]
@@ -101,7 +103,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
             (F.col(f"_hi{i}") if num else null_d).alias("max")))
     long = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     if numeric:
-        q = ranking.percentiles(df, numeric, quantiles)
+        q = ranking.percentiles(df, numeric, quantiles, materialise=False)
         labels = {float(v): f"p{int(round(v * 100))}" for v in quantiles}
         qw = q.groupBy("column").agg(*[
             F.round(F.max(F.when(F.col("q") == F.lit(v), F.col("value"))), digits).alias(lbl)

@@ -54,7 +54,8 @@ def rfm_segments(model: CrmModel, as_of: str | None = None, tiles: int = 5,
 
     NTILE orders: recency_days DESC, frequency ASC, monetary ASC; ties are
     broken by account (NULLs last) so the scores are deterministic. Each score
-    is an exact global NTILE computed with range partitioning, never in one task.
+    is an exact global NTILE: one sorted task up to ``ranking.SINGLE_TASK_ROWS``
+    accounts, range partitioning with per-partition offsets above that.
     """
     as_of = _as_of(model, as_of)
     p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id", "close_value")
@@ -102,7 +103,8 @@ def value_segments(model: CrmModel, quantile: float = 0.75, sort: bool = True) -
               C.money_sum("close_value").alias("total_spend")))
     acc = model.accounts().select("account", "sector", "revenue")
     cv = reliable_checkpoint(g.join(acc, "account", "left"))
-    pct = ranking.percentiles(cv, ["avg_deal_size", "purchase_frequency"], [quantile])
+    pct = ranking.percentiles(cv, ["avg_deal_size", "purchase_frequency"], [quantile],
+                              materialise=False)
     thresholds = pct.groupBy().agg(
         F.max(F.when(F.col("column") == "avg_deal_size", F.col("value"))).alias("_p_size"),
         F.max(F.when(F.col("column") == "purchase_frequency", F.col("value"))).alias("_p_freq"))

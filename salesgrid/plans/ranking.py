@@ -115,12 +115,15 @@ def add_ntile(df: DataFrame, keys: Sequence[Key], n: int, out_col: str,
 
 def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
                 group_cols: Sequence[str] = (), partitions: int | None = None,
-                single_task_rows: int | None = None) -> DataFrame:
+                single_task_rows: int | None = None, materialise: bool = True) -> DataFrame:
     """Exact ``PERCENTILE_CONT(q)`` of each value column, per group.
 
     Returns long form: ``group_cols..., column, q, value`` (value is DOUBLE,
     NULL when the group has no non-null value). NULLs are ignored, as in SQL.
-    All columns and groups are handled by one distributed sort.
+    All columns and groups are handled by one distributed sort. The row id
+    only orders equal values among themselves, so the values found at each
+    position do not depend on it; ``materialise=False`` skips writing the
+    exploded input when ``df`` is already cheap to re-read (checkpointed).
     """
     group_cols = list(group_cols)
     long = df.select(*group_cols, F.explode(F.array(*[
@@ -128,7 +131,9 @@ def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
         for c in value_cols])).alias("_kv")).select(*group_cols, "_kv.column", "_kv.value")
     present = long.filter(F.col("value").isNotNull())
     # Total order: group, column, value, then a row id that is unique per row.
-    present = reliable_checkpoint(present.withColumn("_rid", F.monotonically_increasing_id()))
+    present = present.withColumn("_rid", F.monotonically_increasing_id())
+    if materialise:
+        present = reliable_checkpoint(present)
     keys = [asc(g) for g in group_cols] + [asc("column"), asc("value"), asc("_rid")]
     ranked = global_positions(present, keys, "_pos", partitions=partitions,
                               single_task_rows=single_task_rows)

@@ -2,8 +2,6 @@
 
 import math
 
-import pytest
-
 from salesgrid import operators as O
 from salesgrid.plans.model import crm_view
 from tests.conftest import rows_by

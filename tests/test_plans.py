@@ -62,3 +62,33 @@ def test_fact_table_read_once(spark):
             continue
         n = plan(fn(spark, SF)).count("lineitem.parquet")
         assert n <= 1, f"{name} scans the fact table {n} times"
+
+
+def test_no_single_task_stage_over_unbounded_input(spark, monkeypatch):
+    """Planned as at 100 TB (no broadcasts, shuffle-join star map, distributed ranking):
+    a single-partition exchange may only feed a global partial aggregate (one row per
+    task), per-partition offset counts, or an aggregate over a small domain."""
+    from salesgrid.plans import ranking
+    from salesgrid.sources import starmap
+    monkeypatch.setattr(starmap, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    allowed = ("HashAggregate(keys=[], functions=[partial_", "ObjectHashAggregate(keys=[], functions=[partial_",
+               "HashAggregate(keys=[_part", "HashAggregate(keys=[deal_stage", "HashAggregate(keys=[regional_office")
+    ml = {"elbow", "cluster_profile", "cluster_sector_mix", "cluster_sector_crosstab", "cluster_pca",
+          "pca_explained_variance", "feature_matrix"}
+    try:
+        for name, fn in E.queries().items():
+            if name in ml:
+                continue
+            lines = plan(fn(spark, SF)).splitlines()
+            for i, line in enumerate(lines):
+                if "Exchange SinglePartition" in line:
+                    child = lines[i + 1]
+                    assert any(a in child for a in allowed), f"{name}: {child.strip()[:120]}"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

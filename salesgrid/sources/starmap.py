@@ -241,5 +241,10 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
 
 
 def agents_by_key(tables) -> DataFrame:
-    """``_agent_key`` (supplier key) with the agent's name, manager and office."""
-    return _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)
+    """``_agent_key`` (supplier key) with the agent's name, manager and office.
+
+    Broadcast-hinted when the supplier table's exact row count is within the
+    bound (its planner estimate, being a join output, never would be).
+    """
+    agents = _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)
+    return F.broadcast(agents) if _small(tables, "supplier") else agents

@@ -92,3 +92,11 @@ def test_no_single_task_stage_over_unbounded_input(spark, monkeypatch):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_cohort_month0_covers_cohort(model):
+    # every account's first purchase falls in its month 0
+    rows = O.cohort_retention(model, sort=False).collect()
+    assert rows and all(r.month_0 >= r.cohort_size > 0 for r in rows)
+    distinct = O.cohort_retention(model, distinct_customers=True, sort=False).collect()
+    assert all(r.month_0 == r.cohort_size for r in distinct)

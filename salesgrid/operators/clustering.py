@@ -38,6 +38,11 @@ class Clustering:
     labels: DataFrame       # account, cluster
 
 
+# Rows per partition of the scaled matrix: every K-means iteration is one job
+# over all partitions, so small matrices should not be spread thinly.
+MATRIX_ROWS_PER_PARTITION = 100_000
+
+
 def prepare_matrix(features: DataFrame, partitions: int | None = None) -> DataFrame:
     """Scaled vectors of materialised feature rows, checkpointed and cached for the fits.
 
@@ -45,12 +50,16 @@ def prepare_matrix(features: DataFrame, partitions: int | None = None) -> DataFr
     seed gives the same fit only if every partition holds the same rows in
     the same order. Rows arriving from a shuffle come in fetch order, so the
     matrix gets a fixed layout first: hash-partitioned by account into a
-    fixed number of partitions and sorted by account inside each.
+    number of partitions that depends only on the row count (capped by
+    ``spark.sql.shuffle.partitions``), and sorted by account inside each.
     """
     spark = features.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = features.count()
+        partitions = max(1, min(cap, -(-rows // MATRIX_ROWS_PER_PARTITION)))
     matrix, _ = scaled_features(features)
-    matrix = matrix.repartition(n, "account").sortWithinPartitions("account")
+    matrix = matrix.repartition(partitions, "account").sortWithinPartitions("account")
     return reliable_checkpoint(matrix).cache()
 
 

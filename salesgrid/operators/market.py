@@ -39,8 +39,7 @@ def industry_performance(model: CrmModel, sort: bool = True) -> DataFrame:
                    S.win_rate().alias("win_rate"),
                    S.total_revenue().alias("total_revenue"),
                    S.avg_deal_size().alias("avg_deal_size"),
-                   (F.col("_won_value").cast("double")
-                    / C.nullif_zero("_won_customers").cast("double")).alias("revenue_per_customer"))
+                   C.ratio("_won_value", "_won_customers").alias("revenue_per_customer"))
     if sort:
         out = out.orderBy(F.col("total_revenue").desc_nulls_last(), F.col("sector").asc_nulls_last())
     return out

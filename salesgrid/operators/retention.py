@@ -181,10 +181,9 @@ def period_retention(model: CrmModel, granularity: str = "year", sort: bool = Tr
     out = g.select(
         to_start(F.col("period")).alias("period_start"),
         "customers_start", "customers_end", "new_customers", "retained_customers", "lost_customers",
-        ((F.col("customers_end") - F.col("new_customers")).cast("double")
-         / C.nullif_zero("customers_start").cast("double")).alias("retention_rate"),
-        (F.col("lost_customers").cast("double")
-         / C.nullif_zero("customers_start").cast("double")).alias("churn_rate"))
+        C.ratio(F.col("customers_end") - F.col("new_customers"), "customers_start")
+        .alias("retention_rate"),
+        C.ratio("lost_customers", "customers_start").alias("churn_rate"))
     if sort:
         out = out.orderBy("period_start")
     return out

@@ -117,8 +117,7 @@ def predicted_clv(model: CrmModel, discount_rate: float = 0.10, margin: float =
     clv = customer_lifetime_value(model, sort=False)
     if retention_rate is None:
         pr = period_retention(model, granularity=granularity, sort=False)
-        r = pr.agg((F.sum("retained_customers").cast("double")
-                    / C.nullif_zero(F.sum("customers_start")).cast("double")).alias("_r"))
+        r = pr.agg(C.ratio(F.sum("retained_customers"), F.sum("customers_start")).alias("_r"))
     else:
         r = model.spark.range(1).select(F.lit(float(retention_rate)).alias("_r"))
     profit = F.col("annual_clv") * F.lit(float(margin))

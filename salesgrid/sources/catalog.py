@@ -51,19 +51,23 @@ def save_tables(model: CrmModel, path: str | None = None, database: str | None =
     return out
 
 
-def model_from_parquet(spark: SparkSession, path: str, **params) -> CrmModel:
+def model_from_parquet(spark: SparkSession, path: str, validate_keys: bool = False,
+                       **params) -> CrmModel:
     """The star model from tables written by ``save_tables(path=...)``."""
     base = path.rstrip("/")
     read = {n: spark.read.parquet(f"{base}/{n}") for n in TABLE_NAMES}
-    return CrmModel.from_frames(read["sales_pipeline"], read["accounts"], read["products"],
-                                read["sales_teams"], **params)
+    model = CrmModel.from_frames(read["sales_pipeline"], read["accounts"], read["products"],
+                                 read["sales_teams"], **params)
+    return require_valid_keys(model) if validate_keys else model
 
 
-def model_from_tables(spark: SparkSession, database: str | None = None, **params) -> CrmModel:
+def model_from_tables(spark: SparkSession, database: str | None = None,
+                      validate_keys: bool = False, **params) -> CrmModel:
     """The star model from catalog tables (``database.name`` or current database)."""
     t = {n: spark.table(f"{database}.{n}" if database else n) for n in TABLE_NAMES}
-    return CrmModel.from_frames(t["sales_pipeline"], t["accounts"], t["products"],
-                                t["sales_teams"], **params)
+    model = CrmModel.from_frames(t["sales_pipeline"], t["accounts"], t["products"],
+                                 t["sales_teams"], **params)
+    return require_valid_keys(model) if validate_keys else model
 
 
 def export(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> str:
@@ -93,3 +97,11 @@ def check_keys(model: CrmModel) -> dict[str, bool]:
             "sales_teams": model.sales_teams()}
     return {name: key_violations(df, DIMENSION_KEYS[name]).limit(1).count() == 0
             for name, df in dims.items()}
+
+
+def require_valid_keys(model: CrmModel) -> CrmModel:
+    """Raise ``ValueError`` naming the dimensions whose keys repeat or are NULL."""
+    bad = [name for name, ok in check_keys(model).items() if not ok]
+    if bad:
+        raise ValueError(f"dimension keys not unique / non-NULL in: {', '.join(bad)}")
+    return model

@@ -58,15 +58,21 @@ def read_data_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, DATA_DICTIONARY)
 
 
-def model_from_csv(spark: SparkSession, directory: str, **params):
+def model_from_csv(spark: SparkSession, directory: str, validate_keys: bool = False, **params):
     """The star model from ``accounts.csv``, ``products.csv``, ``sales_pipeline.csv``
-    and ``sales_teams.csv`` in ``directory``."""
+    and ``sales_teams.csv`` in ``directory``.
+
+    ``validate_keys=True`` checks that every dimension key is unique and
+    non-NULL (one aggregate per dimension), which the metrics assume.
+    """
     from ..plans.model import CrmModel
+    from .catalog import require_valid_keys
 
     base = directory.rstrip("/")
-    return CrmModel.from_frames(
+    model = CrmModel.from_frames(
         read_pipeline(spark, f"{base}/sales_pipeline.csv"),
         read_accounts(spark, f"{base}/accounts.csv"),
         read_products(spark, f"{base}/products.csv"),
         read_sales_teams(spark, f"{base}/sales_teams.csv"),
         **params)
+    return require_valid_keys(model) if validate_keys else model

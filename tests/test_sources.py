@@ -63,3 +63,16 @@ def test_key_check_flags_duplicates(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "account string")
     bad = {r.account: r.rows for r in catalog.key_violations(df, "account").collect()}
     assert bad == {"a": 2, None: 1}
+
+
+def test_validate_keys_rejects_duplicate_dimension_keys(spark):
+    d = tempfile.mkdtemp(prefix="sg-dupkeys-")
+    for name in ("accounts", "products", "sales_pipeline", "sales_teams"):
+        text = open(f"{FIXTURES}/{name}.csv").read()
+        if name == "products":
+            text += "GTX Basic,GTX,999\r\n"          # repeated product key
+        with open(f"{d}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    with pytest.raises(ValueError, match="products"):
+        csv_files.model_from_csv(spark, d, validate_keys=True)
+    assert csv_files.model_from_csv(spark, FIXTURES, validate_keys=True) is not None

@@ -59,18 +59,21 @@ _ROW_COUNTS: dict[tuple, int] = {}
 _SPLITS: dict[tuple, int] = {}
 
 
-def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES) -> TableSet:
+def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES,
+                declared_schemas: bool = True) -> TableSet:
     """One lazy scan per table with its declared schema; nothing is read until a query runs.
 
     Column pruning and filter push-down reach these scans through Catalyst.
+    ``declared_schemas=False`` infers each file's schema instead (for inputs
+    whose physical types differ, e.g. time-zone-adjusted timestamps).
     """
     base = directory.rstrip("/")
-    key = (spark.sparkContext.applicationId, base, tuple(names))
+    key = (spark.sparkContext.applicationId, base, tuple(names), declared_schemas)
     if key in _SCANS:
         return _SCANS[key]
     paths = {n: f"{base}/{n}.parquet" for n in names}
     def scan(name: str, path: str) -> DataFrame:
-        schema = TPCH_SCHEMAS.get(name)
+        schema = TPCH_SCHEMAS.get(name) if declared_schemas else None
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
     tables = TableSet({n: scan(n, p) for n, p in paths.items()})

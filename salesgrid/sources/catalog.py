@@ -29,17 +29,24 @@ def register_views(model: CrmModel, prefix: str = "") -> list[str]:
 
 
 def save_tables(model: CrmModel, path: str | None = None, database: str | None = None,
-                mode: str = "overwrite", pipeline_partitions: int | None = None) -> dict[str, str]:
+                mode: str = "overwrite", pipeline_partitions: int | None = None,
+                buckets: int | None = None) -> dict[str, str]:
     """Materialise the four tables as Parquet (a path, or managed tables).
 
     The fact table is hash-partitioned on ``account`` when
     ``pipeline_partitions`` is given, which most per-account metrics group by.
+    With ``database`` and ``buckets``, the fact table and the accounts are
+    written as tables bucketed (and sorted) by ``account`` into the same
+    number of buckets: per-account aggregates then need no exchange, and
+    joins of per-account results with the accounts are co-located.
     """
     out = {}
     for name, df in _frames(model).items():
         if name == "sales_pipeline" and pipeline_partitions:
             df = df.repartition(pipeline_partitions, "account")
         w = df.write.mode(mode).format("parquet")
+        if database and buckets and name in ("sales_pipeline", "accounts"):
+            w = w.bucketBy(buckets, "account").sortBy("account")
         if database:
             full = f"{database}.{name}"
             w.saveAsTable(full)

@@ -15,7 +15,8 @@ TESTDATA = "/root/testdata"
 def spark():
     from salesgrid.session import build_session
     s = build_session("local[4]", 4, app_name="salesgrid-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="sg-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="sg-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="sg-test-wh-")})
     yield s
     s.stop()
 

@@ -76,3 +76,23 @@ def test_validate_keys_rejects_duplicate_dimension_keys(spark):
     with pytest.raises(ValueError, match="products"):
         csv_files.model_from_csv(spark, d, validate_keys=True)
     assert csv_files.model_from_csv(spark, FIXTURES, validate_keys=True) is not None
+
+
+def test_bucketed_tables_aggregate_without_exchange(spark, fixture_model):
+    spark.sql("CREATE DATABASE IF NOT EXISTS sg_bucketed")
+    catalog.save_tables(fixture_model, database="sg_bucketed", buckets=4)
+    m = catalog.model_from_tables(spark, "sg_bucketed", validate_keys=True, **fixture_model.params)
+    out = O.churn_status(m, sort=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(account" not in plan
+    assert {r.account: r.days_since_last_purchase for r in out.collect()} == {
+        "dambase": 429, "Acme Corporation": 379, "Betatech": 45}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver test data missing")
+def test_declared_tpch_schemas_match_files(spark):
+    from pyspark.sql.types import _parse_datatype_string
+    from salesgrid.sources.tpch import TPCH_SCHEMAS, load_tables
+    inferred = load_tables(spark, "/root/testdata/sf0.001", declared_schemas=False)
+    for name, ddl in TPCH_SCHEMAS.items():
+        assert inferred[name].schema.simpleString() == _parse_datatype_string(ddl).simpleString(), name

@@ -14,18 +14,28 @@ from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
 
 
-def customer_360(model: CrmModel, sort: bool = True) -> DataFrame:
+def customer_360(model: CrmModel, unique_opportunities: bool = False,
+                 sort: bool = True) -> DataFrame:
     """Q21: account attributes with opportunity, won-deal, value and product counts.
 
     Grouped by account first (the five attributes are functions of the
-    accounts key) and joined to accounts afterwards.
+    accounts key) and joined to accounts afterwards. The opportunity counts
+    are distinct counts; a distinct count of a per-row id cannot be reduced
+    before the shuffle, so with ``unique_opportunities=True`` (for a fact
+    table whose ``opportunity_id`` is a verified key) they become plain
+    counts and only the product count stays distinct.
     """
     p = model.pipeline("account", "opportunity_id", "deal_stage", "close_value",
                        "close_date", "product")
     won = C.is_won()
+    if unique_opportunities:
+        opp_counts = [F.count("opportunity_id").alias("total_opportunities"),
+                      F.count(F.when(won, F.col("opportunity_id"))).alias("won_deals")]
+    else:
+        opp_counts = [F.countDistinct("opportunity_id").alias("total_opportunities"),
+                      F.countDistinct(F.when(won, F.col("opportunity_id"))).alias("won_deals")]
     g = p.groupBy("account").agg(
-        F.countDistinct("opportunity_id").alias("total_opportunities"),
-        F.countDistinct(F.when(won, F.col("opportunity_id"))).alias("won_deals"),
+        *opp_counts,
         F.sum(C.won_value()).cast("double").alias("lifetime_value"),
         F.min(F.when(won, F.col("close_date"))).alias("first_purchase_date"),
         F.max(F.when(won, F.col("close_date"))).alias("last_purchase_date"),

@@ -224,3 +224,9 @@ def test_unmatched_agent_keeps_its_name(spark, fixture_model):
     assert t["Betatech"]["unique_sales_agents"] == 2
     rr = rows_by(O.regional_ratio(m), "regional_office")
     assert None in rr
+
+
+def test_customer_360_unique_opportunities_option(fixture_model):
+    exact = rows_by(O.customer_360(fixture_model), "account")
+    fast = rows_by(O.customer_360(fixture_model, unique_opportunities=True), "account")
+    assert exact == fast          # opportunity ids are unique in the fixture

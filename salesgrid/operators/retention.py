@@ -144,6 +144,13 @@ def period_retention(model: CrmModel, granularity: str = "year", sort: bool = Tr
     ap = (p.filter(C.is_won() & F.col("account").isNotNull() & F.col("close_date").isNotNull())
           .select("account", to_idx(F.col("close_date")).alias("period"))
           .distinct())
+    return retention_from_active_periods(ap, granularity, sort)
+
+
+def retention_from_active_periods(ap: DataFrame, granularity: str = "year",
+                                  sort: bool = True) -> DataFrame:
+    """D3 from distinct (account, period) pairs of accounts with a won deal."""
+    _, to_start = _GRANULARITY[granularity]
     w = Window.partitionBy("account").orderBy("period")
     flagged = ap.select("period",
                         (F.lag("period").over(w) == F.col("period") - 1).alias("_kept"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
+from ..session import reliable_checkpoint
 
 
 def average_order_value(model: CrmModel) -> DataFrame:
@@ -31,9 +32,28 @@ def _won_account_summary(model: CrmModel) -> DataFrame:
                  F.max("close_date").alias("_last")))
 
 
+def _won_account_years(model: CrmModel) -> DataFrame:
+    """Won deals per (account, close year): additive parts of the per-account summary."""
+    p = model.pipeline("account", "deal_stage", "close_value", "close_date", "opportunity_id")
+    return (p.filter(C.is_won())
+            .groupBy("account", F.year("close_date").cast("bigint").alias("year"))
+            .agg(F.sum("close_value").alias("_v_sum"), F.count("close_value").alias("_v_n"),
+                 F.count("opportunity_id").alias("_opps"),
+                 F.min("close_date").alias("_first"), F.max("close_date").alias("_last")))
+
+
+def _summary_from_years(years: DataFrame) -> DataFrame:
+    g = years.groupBy("account").agg(F.sum("_v_sum").alias("_v_sum"), F.sum("_v_n").alias("_v_n"),
+                                     F.sum("_opps").alias("total_deals"),
+                                     F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return g.select("account", C.ratio("_v_sum", "_v_n").alias("avg_value_per_deal"),
+                    "total_deals", "_first", "_last")
+
+
 def customer_lifetime_value(model: CrmModel, discount_rate: float = 0.10,
                             horizon_years: int = 3, no_lifespan_factor: float = 2.74,
-                            days_per_year: float = 365.0, sort: bool = True) -> DataFrame:
+                            days_per_year: float = 365.0, sort: bool = True,
+                            _summary: DataFrame | None = None) -> DataFrame:
     """Q2: historical, annualised and discounted multi-year CLV per account.
 
     ``projected_3yr_clv`` multiplies the annual value by the sum of discount
@@ -41,7 +61,7 @@ def customer_lifetime_value(model: CrmModel, discount_rate: float = 0.10,
     ``no_lifespan_factor`` instead (2.74 in the original analysis).
     """
     factor = C.discount_factor_sum(discount_rate, horizon_years, start=0)
-    s = _won_account_summary(model)
+    s = _won_account_summary(model) if _summary is None else _summary
     years = (C.day_diff("_first", "_last").cast("double") / F.lit(days_per_year))
     s = s.select(F.col("account").alias("company_sold_to"), "avg_value_per_deal",
                  "total_deals", years.alias("customer_lifespan_years"))
@@ -112,11 +132,21 @@ def predicted_clv(model: CrmModel, discount_rate: float = 0.10, margin: float =
     ``r`` is given, or else the pooled period retention of D3 (retained
     customers over customers at period start, summed over all periods).
     """
-    from .retention import period_retention
-
-    clv = customer_lifetime_value(model, sort=False)
-    if retention_rate is None:
-        pr = period_retention(model, granularity=granularity, sort=False)
+    from .retention import period_retention, retention_from_active_periods
+
+    if retention_rate is None and granularity == "year":
+        # One pass over the fact table: the per-(account, year) aggregate feeds
+        # both the account summary and the yearly active-account pairs.
+        years = reliable_checkpoint(_won_account_years(model))
+        clv = customer_lifetime_value(model, sort=False, _summary=_summary_from_years(years))
+        ap = (years.filter(F.col("account").isNotNull() & F.col("year").isNotNull())
+              .select("account", F.col("year").alias("period")))
+        pr = retention_from_active_periods(ap, "year", sort=False)
+    else:
+        clv = customer_lifetime_value(model, sort=False)
+        pr = (period_retention(model, granularity=granularity, sort=False)
+              if retention_rate is None else None)
+    if pr is not None:
         r = pr.agg(C.ratio(F.sum("retained_customers"), F.sum("customers_start")).alias("_r"))
     else:
         r = model.spark.range(1).select(F.lit(float(retention_rate)).alias("_r"))

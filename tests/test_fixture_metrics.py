@@ -230,3 +230,27 @@ def test_customer_360_unique_opportunities_option(fixture_model):
     exact = rows_by(O.customer_360(fixture_model), "account")
     fast = rows_by(O.customer_360(fixture_model, unique_opportunities=True), "account")
     assert exact == fast          # opportunity ids are unique in the fixture
+
+
+def test_no_won_deals_does_not_fail(spark, fixture_model):
+    """Degenerate input: every operator still runs (no ANSI division errors, no
+    empty-ranking failures) and reports what the SQL would."""
+    from salesgrid.plans.model import CrmModel
+    p = fixture_model.pipeline().filter("deal_stage <> 'Won'")
+    m = CrmModel.from_frames(p, fixture_model.accounts(), fixture_model.products(),
+                             fixture_model.sales_teams(), **fixture_model.params)
+    assert O.average_order_value(m).first()[0] is None
+    r = O.deal_conversion(m).first()
+    assert (r.total_opportunities, r.won_deals, r.win_rate, r.avg_deal_size) == (4, 0, 0.0, None)
+    assert O.cross_sell(m).count() == 0
+    assert O.repeat_purchase_rate(m).first().repeat_purchase_rate is None
+    for fn in (O.customer_lifetime_value, O.acquisition_cost_proxy, O.churn_status,
+               O.cohort_retention, O.cohort_retention_long, O.rfm_segments, O.value_segments,
+               O.health_score, O.churn_risk, O.product_penetration, O.period_retention,
+               O.discounted_clv, O.predicted_clv):
+        assert fn(m).count() == 0, fn.__name__
+    assert O.sales_cycle_stats(m).first().median_sales_cycle_days is None
+    for fn in (O.agent_performance, O.product_performance, O.industry_performance,
+               O.geographic_performance, O.customer_360, O.touchpoints, O.industry_penetration,
+               O.regional_ratio, O.stage_conversion):
+        assert fn(m).count() > 0, fn.__name__

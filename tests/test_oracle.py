@@ -40,3 +40,12 @@ def test_large_dimension_branch_matches_oracle(spark, con, name, monkeypatch):
     monkeypatch.setattr(starmap, "BROADCAST_MAX_ROWS", 0)
     err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
     assert err is None, err
+
+
+@pytest.mark.parametrize("name", ["rfm_segments", "value_segments", "profile"])
+def test_distributed_ranking_path_matches_oracle(spark, con, name, monkeypatch):
+    # force the range-partitioned exact ranking used above the single-task bound
+    from salesgrid.plans import ranking
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
+    err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
+    assert err is None, err

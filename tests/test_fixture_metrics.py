@@ -254,3 +254,10 @@ def test_no_won_deals_does_not_fail(spark, fixture_model):
                O.geographic_performance, O.customer_360, O.touchpoints, O.industry_penetration,
                O.regional_ratio, O.stage_conversion):
         assert fn(m).count() > 0, fn.__name__
+
+
+def test_view_joins_only_requested_dimensions(fixture_model):
+    v = crm_view(fixture_model, ["opportunity_id", "account", "sector"])
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert "accounts.csv" in plan and "products.csv" not in plan and "sales_teams.csv" not in plan
+    assert {r.opportunity_id: r.sector for r in v.collect()}["O4"] == "medical"

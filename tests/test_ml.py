@@ -40,6 +40,7 @@ def test_elbow_k1_closed_form_and_shape(model):
     out = K.elbow(model, k_max=4, matrix=matrix).collect()
     assert [r.k for r in out] == [1, 2, 3, 4]
     assert out[0].wcss == pytest.approx(n * d, rel=1e-9)
+    assert K.total_sum_of_squares(matrix) == pytest.approx(out[0].wcss, rel=1e-12)
     assert all(r.wcss <= out[0].wcss + 1e-6 for r in out)
 
 

@@ -96,3 +96,10 @@ def test_declared_tpch_schemas_match_files(spark):
     inferred = load_tables(spark, "/root/testdata/sf0.001", declared_schemas=False)
     for name, ddl in TPCH_SCHEMAS.items():
         assert inferred[name].schema.simpleString() == _parse_datatype_string(ddl).simpleString(), name
+
+
+def test_export_writes_a_result(spark, fixture_model):
+    d = tempfile.mkdtemp(prefix="sg-export-")
+    catalog.export(O.churn_status(fixture_model), f"{d}/churn")
+    back = spark.read.parquet(f"{d}/churn")
+    assert back.count() == 3 and "retention_status" in back.columns

@@ -104,8 +104,12 @@ def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
     n, var = _moments(matrix)
     mean_var = (sum(var) / len(var)) * ((n - 1) / n) if n > 1 and var else 1.0
 
+    shared = matrix is _MATRICES.get(model.derived_key("matrix"))
+
     def cost(k: int) -> float:
-        return float(_kmeans(k, seed, mean_var).fit(matrix).summary.trainingCost)
+        fitted = (_fit(model, matrix, k, seed, mean_var) if shared
+                  else _kmeans(k, seed, mean_var).fit(matrix))
+        return float(fitted.summary.trainingCost)
 
     # The fits are independent: submit them concurrently so their (small,
     # iterative) jobs share the executors instead of running back to back.
@@ -118,6 +122,22 @@ def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
 
 _MATRICES: dict[tuple, DataFrame] = {}
 _CLUSTERINGS: dict[tuple, Clustering] = {}
+_FITS: dict[tuple, KMeansModel] = {}
+
+
+def _fit(model: CrmModel, matrix: DataFrame, k: int, seed: int, mean_var: float) -> KMeansModel:
+    """Fit K-means; fits on the shared matrix are kept per (data, k, seed).
+
+    The matrix layout is fixed, so a repeated fit with the same k and seed
+    would give the same model (the elbow scan's k = 4 is the final fit).
+    """
+    key = model.derived_key("fit", k, seed)
+    if key is not None and key in _FITS:
+        return _FITS[key]
+    fitted = _kmeans(k, seed, mean_var).fit(matrix)
+    if key is not None:
+        _FITS[key] = fitted
+    return fitted
 
 
 def _matrix_for(model: CrmModel) -> DataFrame:
@@ -142,7 +162,7 @@ def cluster_accounts(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SE
         return _CLUSTERINGS[key]
     features = materialised_features(model)
     matrix = _matrix_for(model)
-    km = _kmeans(k, seed, _mean_population_variance(matrix)).fit(matrix)
+    km = _fit(model, matrix, k, seed, _mean_population_variance(matrix))
     labels = reliable_checkpoint(
         km.transform(matrix).select("account", F.col("cluster").cast("int").alias("cluster")))
     result = Clustering(features, matrix, km, labels)

@@ -100,3 +100,13 @@ def test_cohort_month0_covers_cohort(model):
     assert rows and all(r.month_0 >= r.cohort_size > 0 for r in rows)
     distinct = O.cohort_retention(model, distinct_customers=True, sort=False).collect()
     assert all(r.month_0 == r.cohort_size for r in distinct)
+
+
+def test_registered_queries_have_no_row_caps(spark):
+    # every registered query runs over whole tables: no LIMIT / top-k anywhere in its plan
+    for name, fn in E.queries().items():
+        if name in ("elbow", "pca_explained_variance"):
+            continue          # built from fitted-model summaries, not a scan plan
+        p = plan(fn(spark, SF))
+        for op in ("GlobalLimit", "LocalLimit", "CollectLimit", "TakeOrderedAndProject", "Sample"):
+            assert op not in p, f"{name}: {op}"

@@ -57,18 +57,24 @@ def desc(name: str, nulls_last: bool = True) -> Key:
 SINGLE_TASK_ROWS = 1_000_000
 
 
+# The value lookup of ``percentiles`` broadcasts the needed positions when there
+# are at most this many (checked by a count); otherwise it shuffle-joins them.
+BROADCAST_POSITIONS = 1_000_000
+
+
 def global_positions(df: DataFrame, keys: Sequence[Key], pos_col: str = "_pos",
                      count_col: str | None = None, partitions: int | None = None,
-                     single_task_rows: int | None = None) -> DataFrame:
+                     single_task_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row in the order ``keys``.
 
     ``keys`` must form a total order (end with a unique column) for the result
     to be deterministic. Optionally adds ``count_col`` with the total row count.
-    Callers should pass checkpointed input: the row count is taken first.
+    Callers should pass checkpointed input: the row count is taken first
+    (or passed in as ``rows``).
     """
     orders = [k.sort() for k in keys]
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n <= limit:
         out = df.withColumn(pos_col, (F.row_number().over(Window.orderBy(*orders)) - 1).cast("bigint"))
         return out.withColumn(count_col, F.lit(n).cast("bigint")) if count_col else out
@@ -135,8 +141,9 @@ def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
     if materialise:
         present = reliable_checkpoint(present)
     keys = [asc(g) for g in group_cols] + [asc("column"), asc("value"), asc("_rid")]
+    n_rows = present.count()
     ranked = global_positions(present, keys, "_pos", partitions=partitions,
-                              single_task_rows=single_task_rows)
+                              single_task_rows=single_task_rows, rows=n_rows)
 
     gk = group_cols + ["column"]
     bounds = ranked.groupBy(*gk).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
@@ -147,7 +154,14 @@ def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
     targets = targets.select(*gk, "q", "_rn",
                              (F.col("_start") + F.floor("_rn")).cast("bigint").alias("_lo"),
                              (F.col("_start") + F.ceil("_rn")).cast("bigint").alias("_hi"))
-    vals = ranked.select("_pos", "value")
+    # Pick the (at most two per target) needed rows out of all ranked rows with
+    # a semi-join, broadcasting the positions when their number is checked to
+    # be small, so the ranked rows are filtered where they are, not shuffled.
+    need = targets.select(F.explode(F.array("_lo", "_hi")).alias("_pos")).distinct()
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    small = n_rows <= limit or need.count() <= BROADCAST_POSITIONS
+    vals = ranked.join(F.broadcast(need) if small else need, "_pos", "left_semi").select(
+        "_pos", "value")
     lo = vals.select(F.col("_pos").alias("_lo"), F.col("value").alias("_vlo"))
     hi = vals.select(F.col("_pos").alias("_hi"), F.col("value").alias("_vhi"))
     joined = targets.join(lo, "_lo").join(hi, "_hi")

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, packing, quality, scratch, secrets, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -23,8 +27,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"])
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs), keep=["doc_id"])
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = scratch.folder(spark, "tokens")
+    token_output.write_tokens(_table(spark, sf_dir, "documents"), path,
+                              public_tokenizers.path("word_bpe_49k.json"), metadata=["source"])
+    return token_output.read_back(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_secrets": op5_secrets, "op6_mixing": op6_mixing}
+    return {"op2_packing": op2_packing, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
+            "op8_quality": op8_quality, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,6 +121,14 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     if len(both):
         marks = np.sort(np.concatenate([marks, np.repeat(np.unique(both), 2)]), kind="stable")
     start, end = marks[0::2].astype(np.int64), marks[1::2].astype(np.int64)
+    out = span_hashes(data, start, end, lower)
+    first = np.searchsorted(start, rows, side="left")
+    first[-1] = len(start)
+    return Words(data, rows, start, end, out, first.astype(np.int64))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of byte spans that are in order and do not overlap."""
     table = _LOWER if lower else _BYTE
     out = np.empty(len(start), np.uint64)
     at = 0
@@ -133,9 +141,18 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         s = start[at:upto] - base
         out[at:upto] = (sums[end[at:upto] - base] - sums[s]) * down[s]
         at = upto
-    first = np.searchsorted(start, rows, side="left")
-    first[-1] = len(start)
-    return Words(data, rows, start, end, mix(out), first.astype(np.int64))
+    return mix(out)
+
+
+def by_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Values told apart by row too: equal only for equal values of one row."""
+    return mix(values + mix(row.astype(np.uint64) + np.uint64(1)))
+
+
+def sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of ``flags`` between consecutive ``bounds``."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

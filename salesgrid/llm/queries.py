@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, scratch, secrets, token_output
+from . import mixing, packing, quality, scratch, secrets, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -41,7 +46,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
+    return {"op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
             "op8_quality": op8_quality, "op9_token_files": op9_token_files}
 
 

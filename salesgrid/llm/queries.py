@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, scratch, secrets, token_output, toxicity
+from . import mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -46,12 +50,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
+    return {"op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
+            "op4_near_vectors": op4_near_vectors, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
             "op8_quality": op8_quality, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _MIX_SQL}
+    return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -76,3 +81,18 @@ SELECT doc_id, size, source_size, target,
              ELSE budget // source_size * size
                   + greatest(0, least(size, budget % source_size - before)) END)::BIGINT AS taken FROM p
 """
+
+_NEAR_SQL = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT c.a AS r, min(v.vec_id) AS low FROM c JOIN v ON c.b = v.r GROUP BY c.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m.low, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(m.low, v.vec_id)) AS kept
+FROM v LEFT JOIN m ON v.r = m.r LEFT JOIN n ON v.r = n.r
+"""

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity
+from . import mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
 
@@ -50,7 +54,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
+    return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
             "op4_near_vectors": op4_near_vectors, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
             "op8_quality": op8_quality, "op9_token_files": op9_token_files}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity, warc
+from . import jaccard_join, mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +53,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_back(spark, path)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("class")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
             "op4_near_vectors": op4_near_vectors, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
-            "op8_quality": op8_quality, "op9_token_files": op9_token_files}
+            "op8_quality": op8_quality, "op9_token_files": op9_token_files,
+            "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL}
+    return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL, "op10_jaccard_join": _JACCARD_SQL}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -100,3 +105,21 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m
        v.vec_id = least(v.vec_id, coalesce(m.low, v.vec_id)) AS kept
 FROM v LEFT JOIN m ON v.r = m.r LEFT JOIN n ON v.r = n.r
 """
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+             WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+      FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
+FROM s LEFT JOIN m ON s.doc_id = m.doc_id
+"""

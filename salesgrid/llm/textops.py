@@ -83,10 +83,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] \
-        if len(texts) else np.zeros(1, np.int64)
-    body = texts.buffers()[2] if len(texts) else None
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    _, places, body = texts.buffers()
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)
+    offsets = offsets[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     data = data[offsets[0]:offsets[-1]]
     return data, offsets - offsets[0]

@@ -9,10 +9,12 @@ are written by the Parquet writer, and ids are dictionary- or delta-encoded, so
 metadata reads skip the tokens and token reads skip pages by id.
 
 Texts are cut at ASCII white space, which the tokenizer drops and never merges
-across, so each distinct word is encoded once per task and cache period
-(bounded by ``CACHE_WORDS``) and ids are gathered with numpy; tests compare
-this with whole-text encoding. A slice of rows (or one longer text) is in
-memory at a time.
+across, and before one last sign of ``TAIL`` after an ASCII letter or digit,
+which it always splits off. Each distinct piece, A-Z as a-z (it lowers case,
+except in the names of special tokens, so pieces with "<" keep theirs), is
+encoded once per Python worker and cache period (bounded by ``CACHE_WORDS``)
+and ids are gathered with numpy; tests compare this with whole-text encoding.
+A slice of rows (or one longer text) is in memory at a time.
 
 ``read_back`` derives each document's start (ids before it) from the files:
 sums by part (one row a partition), then a running sum inside the part.
@@ -36,15 +38,40 @@ from pyspark.sql import functions as F
 
 from . import textops
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+TAIL = ".,;:!?"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
     "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"},
 }
 
 
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in TAIL]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def pieces(texts: pa.Array) -> textops.Words:
+    """Words cut before a last sign; hashes of A-Z as a-z, except in pieces with "<"."""
+    w = textops.words(texts)
+    last = np.maximum(w.end - 1, 0)
+    tail = (w.end - w.start > 1) & _TAIL[w.data[last]] & _PLAIN[w.data[np.maximum(last - 1, 0)]]
+    size = 1 + tail.astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    start, end = np.repeat(w.start, size), np.repeat(w.end, size)
+    cut = first[:-1][tail]
+    end[cut] -= 1
+    start[cut + 1] = end[cut]
+    marked = np.unique(np.searchsorted(start, np.flatnonzero(w.data == ord("<")), side="right") - 1)
+    hashes = textops.span_hashes(w.data, start, end, lower=True)
+    if len(marked):
+        hashes[marked] = textops.mix(textops.span_hashes(w.data, start[marked], end[marked]) + np.uint64(1))
+    return textops.Words(w.data, w.row_start, start, end, hashes, first[w.first])
+
+
 class _Encoder:
-    """Ids of words, looked up by word hash; new words go through the tokenizer."""
+    """Ids of pieces, looked up by hash; new ones go through the tokenizer."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,14 +118,23 @@ class _Encoder:
         return out, offsets
 
 
-def _encode(file: str, end_id: int, part_of_task: bool = True):
+_ENCODERS: dict[str, _Encoder] = {}     # of this Python worker: one, bounded by CACHE_WORDS
+
+
+def _encoder(file: str) -> _Encoder:
+    if file not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[file] = _Encoder(file)
+    return _ENCODERS[file]
+
+
+def _encode(file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pos = None, 0
+        from salesgrid.llm import token_output      # the worker's own module, which outlives the task
+        pos = 0
         for batch in batches:
-            encoder = encoder or _Encoder(file)
             for piece in textops.slices(batch):
-                w = textops.words(piece.column("text"))
-                ids, offsets = encoder.encode(w, end_id)
+                ids, offsets = token_output._encoder(file).encode(pieces(piece.column("text")), end_id)
                 n = piece.num_rows
                 others = [piece.column(c) for c in piece.schema.names if c != "text"]
                 names = [c for c in piece.schema.names if c != "text"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, nn_descent, packing, quality, scratch, secrets, token_output, toxicity, warc
+from . import jaccard_join, mixing, nn_descent, packing, quality, scratch, secrets, substring, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"])
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.references(docs), keep=["doc_id"])
@@ -60,12 +64,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
             "op4_near_vectors": op4_near_vectors, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
-            "op8_quality": op8_quality, "op9_token_files": op9_token_files,
+            "op7_substring": op7_substring, "op8_quality": op8_quality, "op9_token_files": op9_token_files,
             "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL, "op10_jaccard_join": _JACCARD_SQL}
+    return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL, "op7_substring": _REPEATS_SQL,
+            "op10_jaccard_join": _JACCARD_SQL}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -123,3 +128,17 @@ m AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM s LEFT JOIN m ON s.doc_id = m.doc_id
 """
+
+_REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                      lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS x FROM p),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM v) WHERE k > 1),
+c AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+           list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]) END,
+           ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+"""

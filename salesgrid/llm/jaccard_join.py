@@ -413,7 +413,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> tuple[list[int]
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
                     threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and class of every row."""
+    """doc_id, n_shingles, component_id, class and component (of classes) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     profiled, wide = scratch.write(profile(rows, threshold), "jaccard-profile")
@@ -458,14 +458,49 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     names = grouped.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(names, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component")
 
 
 def representatives(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
                     threshold: Fraction = THRESHOLD) -> DataFrame:
-    """One row of each group, with all columns: that of the smallest id. Rows without words stay."""
+    """One row of each group, with all columns: that of the smallest id. Rows without words stay.
+
+    Ids decide alone unless some are null or repeated; of the rows with such an
+    id, the first by a digest of its columns stays.
+    """
     found, _ = scratch.write(near_duplicates(docs, text=text, doc_id=doc_id, threshold=threshold),
                              "jaccard-result")
+    ident = F.col(f"`{doc_id}`")
     gone = found.filter("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id") \
         .select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
+    odd = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL") \
+        .select(F.col("doc_id").alias("odd_id"))
+    if odd.isEmpty():
+        return docs.join(gone, ident == F.col("gone_id"), "left_anti")
+    plain = docs.join(odd, ident.eqNullSafe(F.col("odd_id")), "left_anti") \
+        .join(gone, ident == F.col("gone_id"), "left_anti")
+    rows = docs.join(odd, ident.eqNullSafe(F.col("odd_id")), "left_semi")
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    classed = _with_class(rows.select(F.struct("*").alias("row"), ident.alias("doc_id"), tie.alias("tie"),
+                                      F.col(f"`{text}`").cast("string").alias("text")))
+    groups = found.filter("n_shingles > 0").select("class", "component", "component_id").distinct()
+    ranked = classed.join(groups, "class", "left").withColumn("place", F.row_number().over(
+        W.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "tie")))
+    stays = F.col("component").isNull() \
+        | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("place") == 1))
+    return plain.unionByName(ranked.filter(stays).select("row.*"))
+
+
+def _with_class(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, tie, class); a text without words has no class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in textops.slices(batch):
+                sets = list(shingle_sets(piece.column("text")))
+                named = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(c) for c in ("row", "doc_id", "tie")], named],
+                    names=["row", "doc_id", "tie", "class"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"row {kinds['row']}, doc_id {kinds['doc_id']}, tie long, class long")

@@ -58,7 +58,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("class")
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("class", "component")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

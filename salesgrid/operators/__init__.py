@@ -1,5 +1,6 @@
 """The analytic operators: each is ``f(model, **params) -> DataFrame``, lazy."""
 
+from .audit import cluster_audit, feature_matrix_long
 from .clustering import (cluster_accounts, cluster_pca, cluster_profile, cluster_sector_crosstab,
                          cluster_sector_mix, elbow)
 from .conversion import agent_performance, deal_conversion, sales_cycle_stats, stage_conversion
@@ -16,10 +17,10 @@ from .value import (acquisition_cost_proxy, average_order_value, customer_lifeti
 
 __all__ = [
     "account_features", "acquisition_cost_proxy", "agent_performance", "average_order_value",
-    "churn_risk", "churn_status", "cluster_accounts", "cluster_pca", "cluster_profile",
+    "churn_risk", "churn_status", "cluster_accounts", "cluster_audit", "cluster_pca", "cluster_profile",
     "cluster_sector_crosstab", "cluster_sector_mix", "cohort_retention", "cohort_retention_long", "column_profile",
     "cross_sell", "customer_360", "customer_lifetime_value", "deal_conversion", "discounted_clv",
-    "elbow", "feature_matrix", "geographic_performance", "health_score", "industry_penetration",
+    "elbow", "feature_matrix", "feature_matrix_long", "geographic_performance", "health_score", "industry_penetration",
     "industry_performance", "period_retention", "predicted_clv", "product_penetration",
     "product_performance", "purchase_counts", "regional_ratio", "repeat_purchase_rate",
     "rfm_segments", "sales_cycle_stats", "stage_conversion", "touchpoints", "value_segments",

@@ -1,22 +1,25 @@
 """Account clustering: elbow scan, K-means labels, profiles, sector mix, PCA.
 
-The scaled matrix is checkpointed once and reused by every fit; Spark's
+The scaled matrix is checkpointed once and reused by every fit on it; Spark's
 K-means and PCA run distributed and only centres, costs and loadings reach
-the driver.
+the driver. Nothing is kept between calls: a caller who wants several reports
+from one fit holds a ``Clustering`` and passes it on, and releases it at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..plans import ranking
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
@@ -37,28 +40,31 @@ class Clustering:
     kmeans: KMeansModel
     labels: DataFrame       # account, cluster
 
+    def release(self) -> None:
+        """Drop the cached matrix (the checkpoint files follow the session's cleaner)."""
+        self.matrix.unpersist()
 
-# Rows per partition of the scaled matrix: every K-means iteration is one job
-# over all partitions, so small matrices should not be spread thinly.
-MATRIX_ROWS_PER_PARTITION = 100_000
 
+# Partitions of the scaled matrix. Spark's K-means draws its first centres per
+# partition, so the fit depends on the layout: it is part of the model, like
+# the seed, and not derived from the data's size or the session's settings.
+MATRIX_PARTITIONS = 32
+# Scaled values are rounded to so many decimals, so that the order in which a
+# mean was summed up cannot reach the fit.
+MATRIX_DECIMALS = 9
 
-def prepare_matrix(features: DataFrame, partitions: int | None = None) -> DataFrame:
+
+def prepare_matrix(features: DataFrame, partitions: int = MATRIX_PARTITIONS) -> DataFrame:
     """Scaled vectors of materialised feature rows, checkpointed and cached for the fits.
 
-    K-means initialisation samples each partition with the seed, so the same
-    seed gives the same fit only if every partition holds the same rows in
-    the same order. Rows arriving from a shuffle come in fetch order, so the
-    matrix gets a fixed layout first: hash-partitioned by account into a
-    number of partitions that depends only on the row count (capped by
-    ``spark.sql.shuffle.partitions``), and sorted by account inside each.
+    The same seed gives the same fit only if every partition holds the same
+    rows in the same order. So the matrix is hash-partitioned by account into
+    ``partitions`` and sorted by account inside each. On a large cluster, raise
+    ``partitions`` once, for all fits that are to be compared.
     """
-    spark = features.sparkSession
-    if partitions is None:
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = features.count()
-        partitions = max(1, min(cap, -(-rows // MATRIX_ROWS_PER_PARTITION)))
     matrix, _ = scaled_features(features)
+    rounded = F.transform(vector_to_array("features"), lambda x: F.round(x, MATRIX_DECIMALS))
+    matrix = matrix.select("account", array_to_vector(rounded).alias("features"))
     matrix = matrix.repartition(partitions, "account").sortWithinPartitions("account")
     return reliable_checkpoint(matrix).cache()
 
@@ -99,76 +105,39 @@ def _mean_population_variance(matrix: DataFrame) -> float:
 def elbow(model: CrmModel, k_max: int = 10, seed: int = DEFAULT_SEED,
           matrix: DataFrame | None = None, parallel_fits: int = 4) -> DataFrame:
     """Q26: within-cluster sum of squares for k = 1..k_max (k = 1 in closed form)."""
-    if matrix is None:
-        matrix = _matrix_for(model)
+    own = matrix is None
+    if own:
+        matrix = prepare_matrix(materialised_features(model))
     n, var = _moments(matrix)
     mean_var = (sum(var) / len(var)) * ((n - 1) / n) if n > 1 and var else 1.0
 
-    shared = matrix is _MATRICES.get(model.derived_key("matrix"))
-
     def cost(k: int) -> float:
-        fitted = (_fit(model, matrix, k, seed, mean_var) if shared
-                  else _kmeans(k, seed, mean_var).fit(matrix))
-        return float(fitted.summary.trainingCost)
+        return float(_kmeans(k, seed, mean_var).fit(matrix).summary.trainingCost)
 
     # The fits are independent: submit them concurrently so their (small,
     # iterative) jobs share the executors instead of running back to back.
     with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, k_max - 1))) as pool:
         costs = list(pool.map(cost, range(2, k_max + 1)))
+    if own:
+        matrix.unpersist()
     wcss1 = float(sum(var) * (n - 1)) if n > 1 else 0.0
     rows = [(1, wcss1)] + list(zip(range(2, k_max + 1), costs))
     return matrix.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
-_MATRICES: dict[tuple, DataFrame] = {}
-_CLUSTERINGS: dict[tuple, Clustering] = {}
-_FITS: dict[tuple, KMeansModel] = {}
-
-
-def _fit(model: CrmModel, matrix: DataFrame, k: int, seed: int, mean_var: float) -> KMeansModel:
-    """Fit K-means; fits on the shared matrix are kept per (data, k, seed).
-
-    The matrix layout is fixed, so a repeated fit with the same k and seed
-    would give the same model (the elbow scan's k = 4 is the final fit).
-    """
-    key = model.derived_key("fit", k, seed)
-    if key is not None and key in _FITS:
-        return _FITS[key]
-    fitted = _kmeans(k, seed, mean_var).fit(matrix)
-    if key is not None:
-        _FITS[key] = fitted
-    return fitted
-
-
-def _matrix_for(model: CrmModel) -> DataFrame:
-    key = model.derived_key("matrix")
-    if key is not None and key in _MATRICES:
-        return _MATRICES[key]
-    matrix = prepare_matrix(materialised_features(model))
-    if key is not None:
-        _MATRICES[key] = matrix
-    return matrix
-
-
-def cluster_accounts(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED) -> Clustering:
+def cluster_accounts(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
+                     partitions: int = MATRIX_PARTITIONS) -> Clustering:
     """Fit K-means on the scaled matrix; labels keep the account key (no positional join).
 
     Like the original analysis, which fits once and reports sizes, profiles,
-    sector mix and the PCA view from the same labels, one fit is shared by all
-    reports on the same data and parameters within an application.
+    sector mix and the PCA view from the same labels, pass the result to all reports.
     """
-    key = model.derived_key("kmeans", k, seed)
-    if key is not None and key in _CLUSTERINGS:
-        return _CLUSTERINGS[key]
     features = materialised_features(model)
-    matrix = _matrix_for(model)
-    km = _fit(model, matrix, k, seed, _mean_population_variance(matrix))
+    matrix = prepare_matrix(features, partitions)
+    km = _kmeans(k, seed, _mean_population_variance(matrix)).fit(matrix)
     labels = reliable_checkpoint(
         km.transform(matrix).select("account", F.col("cluster").cast("int").alias("cluster")))
-    result = Clustering(features, matrix, km, labels)
-    if key is not None:
-        _CLUSTERINGS[key] = result
-    return result
+    return Clustering(features, matrix, km, labels)
 
 
 def cluster_profile(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
@@ -179,8 +148,7 @@ def cluster_profile(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEE
     means = f.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         *[F.avg(F.col(x).cast("double")).alias(f"mean_{x}") for x in PROFILE_FEATURES])
-    med = ranking.percentiles(f, list(PROFILE_FEATURES), [0.5], group_cols=["cluster"],
-                              materialise=False)
+    med = ranking.percentiles(f, list(PROFILE_FEATURES), [0.5], group_cols=["cluster"])
     med_wide = med.groupBy("cluster").agg(*[
         F.max(F.when(F.col("column") == x, F.col("value"))).alias(f"median_{x}")
         for x in PROFILE_FEATURES])
@@ -199,21 +167,22 @@ def cluster_sector_mix(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_
 
 
 def cluster_sector_crosstab(model: CrmModel, k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
-                            normalise: bool = False, clustering: Clustering | None = None
-                            ) -> DataFrame:
+                            normalise: bool = False, clustering: Clustering | None = None,
+                            sectors: Sequence[str] | None = None) -> DataFrame:
     """Cluster x sector table, one column per sector (counts, or row shares).
 
-    The pivot's column set is the distinct sectors (Spark caps a pivot at
-    ``spark.sql.pivotMaxValues`` columns); missing combinations are 0.
+    Accounts without a sector are left out, as in the original. ``sectors``
+    names the columns; by default they are the sectors of the features (one
+    small job, sorted). Missing combinations are 0.
     """
     c = clustering or cluster_accounts(model, k, seed)
-    f = c.features.join(c.labels, "account").fillna({"sector": "NULL"})
-    wide = f.groupBy("cluster").pivot("sector").agg(F.count(F.lit(1))).na.fill(0)
-    sectors = [x for x in wide.columns if x != "cluster"]
+    f = c.features.join(c.labels, "account").filter(F.col("sector").isNotNull())
+    if sectors is None:
+        sectors = sorted(r.sector for r in f.select("sector").distinct().collect())
+    wide = f.groupBy("cluster").pivot("sector", list(sectors)).agg(F.count(F.lit(1))).na.fill(0)
     if normalise and sectors:
         total = sum((F.col(f"`{x}`") for x in sectors[1:]), F.col(f"`{sectors[0]}`"))
-        wide = wide.select("cluster", *[(F.col(f"`{x}`").cast("double") / total.cast("double"))
-                                        .alias(x) for x in sectors])
+        wide = wide.select("cluster", *[C.ratio(F.col(f"`{x}`"), total).alias(x) for x in sectors])
     return wide.orderBy("cluster")
 
 

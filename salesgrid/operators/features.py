@@ -83,19 +83,34 @@ def feature_pipeline(numeric: Sequence[str] = NUMERIC_FEATURES,
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True,
                                     handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=[*numeric, *ohe], outputCol="raw_features",
-                                  handleInvalid="keep"))
+                                  handleInvalid="error"))
     stages.append(StandardScaler(inputCol="raw_features", outputCol="sample_scaled",
                                  withMean=True, withStd=True))
     return Pipeline(stages=stages)
 
 
-def scaled_features(features: DataFrame, population_std: bool = True
-                    ) -> tuple[DataFrame, PipelineModel]:
+def _complete(features: DataFrame, fill: dict[str, float] | None) -> DataFrame:
+    """The features with ``fill`` put in; a numeric column that still has NULLs (or NaN) is an error."""
+    if fill:
+        features = features.fillna(fill)
+    missing = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    counts = features.agg(*[F.count(F.when(missing(c), 1)).alias(c) for c in NUMERIC_FEATURES]).first()
+    bad = [c for c in NUMERIC_FEATURES if counts[c]]
+    if bad:
+        raise ValueError(f"missing values in feature columns: {', '.join(bad)} (see the parameter fill)")
+    return features
+
+
+def scaled_features(features: DataFrame, population_std: bool = True,
+                    fill: dict[str, float] | None = None) -> tuple[DataFrame, PipelineModel]:
     """Q25 core: (account, features vector) plus the fitted pipeline.
 
     The fits read ``features`` several times (indexers, scaler, row count):
-    pass a materialised frame (see ``materialised_features``).
+    pass a materialised frame (see ``materialised_features``). Numeric columns
+    must be complete, since one missing value would spread through its column's
+    mean; ``fill`` gives values (column -> number) for missing ones.
     """
+    features = _complete(features, fill)
     fitted = feature_pipeline().fit(features)
     out = fitted.transform(features)
     if population_std:
@@ -109,22 +124,9 @@ def scaled_features(features: DataFrame, population_std: bool = True
     return out.select("account", "features"), fitted
 
 
-_MATERIALISED: dict[tuple, DataFrame] = {}
-
-
 def materialised_features(model: CrmModel, **kwargs) -> DataFrame:
-    """Q24 rows written once to the checkpoint folder (one row per account).
-
-    Within one application the checkpointed rows are reused for the same data
-    and parameters, so the clustering reports share one feature table.
-    """
-    key = model.derived_key("features", tuple(sorted(kwargs.items())))
-    if key is not None and key in _MATERIALISED:
-        return _MATERIALISED[key]
-    df = reliable_checkpoint(account_features(model, **kwargs))
-    if key is not None:
-        _MATERIALISED[key] = df
-    return df
+    """Q24 rows written once to the checkpoint folder (one row per account)."""
+    return reliable_checkpoint(account_features(model, **kwargs))
 
 
 def feature_matrix(model: CrmModel, **kwargs) -> DataFrame:

@@ -10,40 +10,39 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..plans import ranking
-from ..plans.model import CrmModel
+from ..plans.model import AGENT_KEY, CrmModel
 from ..session import reliable_checkpoint
 
 
-def customer_360(model: CrmModel, unique_opportunities: bool = False,
-                 sort: bool = True) -> DataFrame:
+def customer_360(model: CrmModel, sort: bool = True) -> DataFrame:
     """Q21: account attributes with opportunity, won-deal, value and product counts.
 
     Grouped by account first (the five attributes are functions of the
-    accounts key) and joined to accounts afterwards. The opportunity counts
-    are distinct counts; a distinct count of a per-row id cannot be reduced
-    before the shuffle, so with ``unique_opportunities=True`` (for a fact
-    table whose ``opportunity_id`` is a verified key) they become plain
-    counts and only the product count stays distinct.
+    accounts key) and joined to accounts afterwards. The distinct counts are
+    counts of distinct pairs, (account, opportunity) and, of won deals,
+    (account, product), taken from one aggregate of the fact rows: no row is
+    copied, and a hot account is split over its opportunities and products.
     """
     p = model.pipeline("account", "opportunity_id", "deal_stage", "close_value",
                        "close_date", "product")
     won = C.is_won()
-    if unique_opportunities:
-        opp_counts = [F.count("opportunity_id").alias("total_opportunities"),
-                      F.count(F.when(won, F.col("opportunity_id"))).alias("won_deals")]
-    else:
-        opp_counts = [F.countDistinct("opportunity_id").alias("total_opportunities"),
-                      F.countDistinct(F.when(won, F.col("opportunity_id"))).alias("won_deals")]
-    g = p.groupBy("account").agg(
-        *opp_counts,
-        F.sum(C.won_value()).cast("double").alias("lifetime_value"),
-        F.min(F.when(won, F.col("close_date"))).alias("first_purchase_date"),
-        F.max(F.when(won, F.col("close_date"))).alias("last_purchase_date"),
-        F.countDistinct(F.when(won, F.col("product"))).alias("unique_products_purchased"))
+    cells = reliable_checkpoint(p.groupBy("account", "opportunity_id", "product").agg(
+        F.max(won).alias("_won"), F.sum(C.won_value()).alias("_value"),
+        F.min(F.when(won, F.col("close_date"))).alias("_first"),
+        F.max(F.when(won, F.col("close_date"))).alias("_last")))
+    deals = cells.groupBy("account", "opportunity_id").agg(
+        F.max("_won").alias("_won"), F.sum("_value").alias("_value"), F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"))
+    g = deals.groupBy("account").agg(
+        F.count("opportunity_id").alias("total_opportunities"),
+        F.count(F.when(F.col("_won"), F.col("opportunity_id"))).alias("won_deals"),
+        F.sum("_value").cast("double").alias("lifetime_value"),
+        F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"))
+    products = _pair_counts(cells.filter("_won"), "product", "unique_products_purchased")
     acc = model.accounts().select("account", "sector", "year_established",
                                   F.col("revenue").alias("company_revenue"), "employees",
                                   "office_location")
-    j = g.join(acc, "account", "left")
+    j = _with_counts(g, products, "unique_products_purchased").join(acc, "account", "left")
     out = j.select("account", "sector", "year_established", "company_revenue", "employees",
                    "office_location", "total_opportunities", "won_deals", "lifetime_value",
                    "first_purchase_date", "last_purchase_date", "unique_products_purchased")
@@ -52,21 +51,38 @@ def customer_360(model: CrmModel, unique_opportunities: bool = False,
     return out
 
 
+def _pair_counts(p: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values of ``column`` per account, by distinct pairs."""
+    pairs = p.select("account", column).filter(F.col(column).isNotNull()).distinct()
+    return pairs.groupBy(F.col("account").alias("_a")).agg(F.count(F.lit(1)).alias(name))
+
+
+def _with_counts(g: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Attach a per-account count; the NULL account is a group like any other."""
+    return g.join(counts, F.col("account").eqNullSafe(F.col("_a")), "left").drop("_a") \
+        .withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+
+
 def touchpoints(model: CrmModel, sort: bool = True) -> DataFrame:
     """Q22: engagement-to-close days, distinct agents and products, per account (all stages).
 
-    One pass: the agent name is part of the narrow fact rows, and both
-    distinct counts share one aggregation (Spark expands each row once per
-    distinct column and deduplicates map-side before the shuffle).
+    Distinct (account, agent key) and (account, product) pairs are counted;
+    agents are named only after that, so fact rows never meet the agents' table.
     """
-    p = model.pipeline("account", "engage_date", "close_date", "sales_agent", "product")
+    p = model.agent_keyed_pipeline("account", "engage_date", "close_date", "product")
     d = C.day_diff("engage_date", "close_date")
-    g = p.groupBy("account").agg(
-        C.mean(d).alias("avg_engagement_to_close_days"),
-        F.min(d).alias("fastest_close_days"),
-        F.max(d).alias("longest_close_days"),
-        F.countDistinct("sales_agent").alias("unique_sales_agents"),
-        F.countDistinct("product").alias("unique_products_considered"))
+    cells = reliable_checkpoint(p.groupBy("account", AGENT_KEY, "product").agg(
+        F.sum(d).alias("_sum"), F.count(d).alias("_n"), F.min(d).alias("_lo"), F.max(d).alias("_hi")))
+    g = cells.groupBy("account").agg(
+        (F.sum("_sum").cast("double") / C.nullif_zero(F.sum("_n")).cast("double"))
+        .alias("avg_engagement_to_close_days"),
+        F.min("_lo").alias("fastest_close_days"), F.max("_hi").alias("longest_close_days"))
+    agents = model.agent_names(cells.select("account", AGENT_KEY).distinct())
+    g = _with_counts(g, _pair_counts(agents, "sales_agent", "unique_sales_agents"), "unique_sales_agents")
+    g = _with_counts(g, _pair_counts(cells, "product", "unique_products_considered"),
+                     "unique_products_considered")
+    g = g.select("account", "avg_engagement_to_close_days", "fastest_close_days", "longest_close_days",
+                 "unique_sales_agents", "unique_products_considered")
     if sort:
         g = g.orderBy(F.col("avg_engagement_to_close_days").asc_nulls_last(),
                       F.col("account").asc_nulls_last())
@@ -74,15 +90,14 @@ def touchpoints(model: CrmModel, sort: bool = True) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
-                   quantiles: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 6,
+                   quantiles: Sequence[float] = (0.25, 0.5, 0.75),
                    materialised: bool = False) -> DataFrame:
     """Q23: describe() + info() of a table, in long form (one row per column).
 
-    count / null_count / dtype for every column; mean, sample std, min,
-    exact interpolated quartiles and max for numeric ones (NULL otherwise).
-    Means and deviations are rounded to ``digits`` decimals so they do not
-    depend on summation order. One pass for the moments, one distributed
-    sort for all the quartiles.
+    count / null_count / dtype for every column; mean, sample std, min, exact
+    interpolated quartiles and max for numeric ones (NULL otherwise);
+    min_text and max_text for the others (NULL for numeric ones). One pass for
+    the moments, one distributed sort of value counts for all the quartiles.
     """
     if not materialised:
         df = reliable_checkpoint(df)  # read by the moments pass and by the quartile sort
@@ -93,35 +108,35 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         aggs.append(F.count(c).alias(f"_c{i}"))
+        x = F.col(c).cast("double" if c in numeric else "string")
+        aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
         if c in numeric:
-            x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                     F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+            aggs += [F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}")]
     stats = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
         num = c in numeric
-        null_d = F.lit(None).cast("double")
+        null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
             F.lit(types[c].simpleString()).alias("dtype"),
             F.col(f"_c{i}").alias("count"),
             (F.col("_n") - F.col(f"_c{i}")).alias("null_count"),
-            (F.round(F.col(f"_m{i}"), digits) if num else null_d).alias("mean"),
-            (F.round(F.col(f"_s{i}"), digits) if num else null_d).alias("std"),
+            (F.col(f"_m{i}") if num else null_d).alias("mean"),
+            (F.col(f"_s{i}") if num else null_d).alias("std"),
             (F.col(f"_lo{i}") if num else null_d).alias("min"),
-            (F.col(f"_hi{i}") if num else null_d).alias("max")))
+            (F.col(f"_hi{i}") if num else null_d).alias("max"),
+            (null_s if num else F.col(f"_lo{i}")).alias("min_text"),
+            (null_s if num else F.col(f"_hi{i}")).alias("max_text")))
     long = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    labels = {float(v): f"p{int(round(v * 100))}" for v in quantiles}
     if numeric:
-        q = ranking.percentiles(df, numeric, quantiles, materialise=False)
-        labels = {float(v): f"p{int(round(v * 100))}" for v in quantiles}
+        q = ranking.percentiles(df, numeric, quantiles)
         qw = q.groupBy("column").agg(*[
-            F.round(F.max(F.when(F.col("q") == F.lit(v), F.col("value"))), digits).alias(lbl)
-            for v, lbl in labels.items()])
+            F.max(F.when(F.col("q") == F.lit(v), F.col("value"))).alias(lbl) for v, lbl in labels.items()])
         long = long.join(qw, "column", "left")
     else:
-        for v in quantiles:
-            long = long.withColumn(f"p{int(round(v * 100))}", F.lit(None).cast("double"))
-    qcols = [f"p{int(round(v * 100))}" for v in quantiles]
+        for lbl in labels.values():
+            long = long.withColumn(lbl, F.lit(None).cast("double"))
     return long.select("position", "column", "dtype", "count", "null_count", "mean", "std",
-                       "min", *qcols, "max")
+                       "min", *labels.values(), "max", "min_text", "max_text")

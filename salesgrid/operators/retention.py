@@ -84,12 +84,15 @@ def cohort_retention(model: CrmModel, months: Sequence[int] = COHORT_MONTHS,
 
     ``month_N`` counts won *deals* in month N (as the original does), so it can
     exceed ``cohort_size``; ``distinct_customers=True`` counts accounts instead.
+    Accounts whose won deals have no close date form a cohort with NULL year and month.
     """
     m = _account_months(model)
     since = F.col("ym") - F.col("first_ym")
     weight = F.lit(1) if distinct_customers else F.col("deals")
-    aggs = [F.count(F.when(since == 0, F.lit(1))).alias("cohort_size")]
-    aggs += [F.sum(F.when(since == n, weight).otherwise(F.lit(0))).cast("int").alias(f"month_{n}")
+    # An account has one row in its first month; in the cohort without dates, it has one row.
+    is_first = F.col("ym").eqNullSafe(F.col("first_ym"))
+    aggs = [F.count(F.when(is_first, F.lit(1))).alias("cohort_size")]
+    aggs += [F.sum(F.when(since == n, weight).otherwise(F.lit(0))).cast("bigint").alias(f"month_{n}")
              for n in months]
     g = m.groupBy("first_ym").agg(*aggs)
     out = g.select(
@@ -111,8 +114,7 @@ def cohort_retention_long(model: CrmModel, months: Sequence[int] = COHORT_MONTHS
         F.concat(F.col("acquisition_year").cast("string"), F.lit("-"),
                  F.lpad(F.col("acquisition_month").cast("string"), 2, "0")).alias("cohort"),
         F.regexp_replace("month_label", "month_", "").cast("int").alias("month"),
-        ((F.col("active_customers").cast("double") / F.col("cohort_size").cast("double"))
-         * F.lit(100.0)).alias("retention_rate"),
+        (C.ratio("active_customers", "cohort_size") * F.lit(100.0)).alias("retention_rate"),
         "active_customers", "cohort_size")
     if sort:
         out = out.orderBy("cohort", "month")
@@ -130,6 +132,14 @@ _GRANULARITY = {
 }
 
 
+def active_periods(model: CrmModel, granularity: str = "year") -> DataFrame:
+    """Distinct (account, period) pairs of accounts with a won deal closing in the period."""
+    to_idx, _ = _GRANULARITY[granularity]
+    p = model.pipeline("account", "deal_stage", "close_date")
+    return (p.filter(C.is_won() & F.col("account").isNotNull() & F.col("close_date").isNotNull())
+            .select("account", to_idx(F.col("close_date")).alias("period")).distinct())
+
+
 def period_retention(model: CrmModel, granularity: str = "year", sort: bool = True) -> DataFrame:
     """D3: retention = (end - new) / start and churn = lost / start, per period.
 
@@ -139,14 +149,23 @@ def period_retention(model: CrmModel, granularity: str = "year", sort: bool = Tr
     accounts count as new, so churn = 1 - retention). Periods run from the
     second observed period to the last.
     """
-    to_idx, to_start = _GRANULARITY[granularity]
-    p = model.pipeline("account", "deal_stage", "close_date")
-    ap = (p.filter(C.is_won() & F.col("account").isNotNull() & F.col("close_date").isNotNull())
-          .select("account", to_idx(F.col("close_date")).alias("period"))
-          .distinct())
+    ap = active_periods(model, granularity)
     return retention_from_active_periods(ap, granularity, sort)
 
 
+def pooled_retention(ap: DataFrame, rate: str = "_r") -> DataFrame:
+    """One row: retained customers over customers at period start, summed over all periods of D3,
+    from distinct (account, period) pairs. One pass: no calendar is needed for the pooled rate.
+    """
+    w = Window.partitionBy("account").orderBy("period")
+    kept = ap.select("period", (F.lag("period").over(w) == F.col("period") - 1).alias("_kept"))
+    per = kept.groupBy("period").agg(F.count(F.lit(1)).alias("_active"), C.sum_flag(F.col("_kept")).alias("_retained"))
+    # Customers at the start of a period are those of the one before; the last one starts none.
+    last = F.max("period").over(Window.partitionBy())
+    flagged = per.select("_active", "_retained", (F.col("period") < last).alias("_starts"))
+    return flagged.agg(C.ratio(F.sum("_retained"), F.sum(F.when(F.col("_starts"), F.col("_active")))).alias(rate))
+
+
 def retention_from_active_periods(ap: DataFrame, granularity: str = "year",
                                   sort: bool = True) -> DataFrame:
     """D3 from distinct (account, period) pairs of accounts with a won deal."""

@@ -53,9 +53,8 @@ def rfm_segments(model: CrmModel, as_of: str | None = None, tiles: int = 5,
     """Recency / frequency / monetary quintiles and a named segment.
 
     NTILE orders: recency_days DESC, frequency ASC, monetary ASC; ties are
-    broken by account (NULLs last) so the scores are deterministic. Each score
-    is an exact global NTILE: one sorted task up to ``ranking.SINGLE_TASK_ROWS``
-    accounts, range partitioning with per-partition offsets above that.
+    broken by account (NULLs last) so the scores are deterministic. The three
+    exact NTILEs share one distributed sort of narrow (score, value, account) rows.
     """
     as_of = _as_of(model, as_of)
     p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id", "close_value")
@@ -64,10 +63,8 @@ def rfm_segments(model: CrmModel, as_of: str | None = None, tiles: int = 5,
                  F.count("opportunity_id").alias("frequency"),
                  F.sum("close_value").alias("monetary")))
     base = reliable_checkpoint(base)
-    tie = ranking.asc("account")
-    scored = ranking.add_ntile(base, [ranking.desc("recency_days"), tie], tiles, "r_score")
-    scored = ranking.add_ntile(scored, [ranking.asc("frequency"), tie], tiles, "f_score")
-    scored = ranking.add_ntile(scored, [ranking.asc("monetary"), tie], tiles, "m_score")
+    scored = ranking.add_ntiles(base, "account", {
+        "r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}, tiles)
 
     seg = None
     for label, r, f, m in RFM_RULES:
@@ -103,8 +100,7 @@ def value_segments(model: CrmModel, quantile: float = 0.75, sort: bool = True) -
               C.money_sum("close_value").alias("total_spend")))
     acc = model.accounts().select("account", "sector", "revenue")
     cv = reliable_checkpoint(g.join(acc, "account", "left"))
-    pct = ranking.percentiles(cv, ["avg_deal_size", "purchase_frequency"], [quantile],
-                              materialise=False)
+    pct = ranking.percentiles(cv, ["avg_deal_size", "purchase_frequency"], [quantile])
     thresholds = pct.groupBy().agg(
         F.max(F.when(F.col("column") == "avg_deal_size", F.col("value"))).alias("_p_size"),
         F.max(F.when(F.col("column") == "purchase_frequency", F.col("value"))).alias("_p_freq"))
@@ -127,13 +123,18 @@ def value_segments(model: CrmModel, quantile: float = 0.75, sort: bool = True) -
 def health_score(model: CrmModel, as_of: str | None = None,
                  weights: tuple[float, float, float] = (0.4, 0.3, 0.3),
                  tiers=HEALTH_TIERS, default: str = HEALTH_DEFAULT, sort: bool = True) -> DataFrame:
-    """Q19: weighted, max-normalised recency / frequency / monetary score.
+    """Q19: weighted, max-normalised recency / frequency / monetary score at ``as_of``.
+
+    ``as_of`` is required, here or as the model's parameter (the original takes
+    the current date). A maximum of 0 makes its normalised score NULL.
 
     recency score = 1000 / days since last purchase (NULL on day 0, which
     makes the health score NULL and the status the default tier). The three
     maxima are one global aggregate, broadcast as a single row.
     """
-    as_of = _as_of(model, as_of)
+    as_of = as_of or model.param("as_of")
+    if as_of is None:
+        raise ValueError("health_score needs an as_of date")
     p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id", "close_value")
     comp = (p.filter(C.is_won()).groupBy("account")
             .agg(C.days_since(F.max("close_date"), as_of).alias("_days"),
@@ -147,9 +148,9 @@ def health_score(model: CrmModel, as_of: str | None = None,
     mx = comp.agg(F.max("recency_score").alias("_mr"), F.max("frequency_score").alias("_mf"),
                   F.max("monetary_score").alias("_mm"))
     j = comp.crossJoin(single_row(mx))
-    nr = (F.col("recency_score") / F.col("_mr")) * F.lit(100.0)
-    nf = (F.col("frequency_score").cast("double") / F.col("_mf").cast("double")) * F.lit(100.0)
-    nm = (F.col("monetary_score") / F.col("_mm")) * F.lit(100.0)
+    nr = (F.col("recency_score") / C.nullif_zero("_mr")) * F.lit(100.0)
+    nf = (F.col("frequency_score").cast("double") / C.nullif_zero("_mf").cast("double")) * F.lit(100.0)
+    nm = (F.col("monetary_score") / C.nullif_zero("_mm")) * F.lit(100.0)
     n = j.select("account", nr.alias("norm_recency"), nf.alias("norm_frequency"),
                  nm.alias("norm_monetary"))
     wr, wf, wm = (F.lit(float(w)) for w in weights)

@@ -132,30 +132,27 @@ def predicted_clv(model: CrmModel, discount_rate: float = 0.10, margin: float =
     ``r`` is given, or else the pooled period retention of D3 (retained
     customers over customers at period start, summed over all periods).
     """
-    from .retention import period_retention, retention_from_active_periods
+    from .retention import active_periods, pooled_retention
 
-    if retention_rate is None and granularity == "year":
+    if retention_rate is not None:
+        clv = customer_lifetime_value(model, sort=False)
+        r = model.spark.range(1).select(F.lit(float(retention_rate)).alias("_r"))
+    elif granularity == "year":
         # One pass over the fact table: the per-(account, year) aggregate feeds
         # both the account summary and the yearly active-account pairs.
         years = reliable_checkpoint(_won_account_years(model))
         clv = customer_lifetime_value(model, sort=False, _summary=_summary_from_years(years))
-        ap = (years.filter(F.col("account").isNotNull() & F.col("year").isNotNull())
-              .select("account", F.col("year").alias("period")))
-        pr = retention_from_active_periods(ap, "year", sort=False)
+        r = pooled_retention(years.filter(F.col("account").isNotNull() & F.col("year").isNotNull())
+                             .select("account", F.col("year").alias("period")))
     else:
         clv = customer_lifetime_value(model, sort=False)
-        pr = (period_retention(model, granularity=granularity, sort=False)
-              if retention_rate is None else None)
-    if pr is not None:
-        r = pr.agg(C.ratio(F.sum("retained_customers"), F.sum("customers_start")).alias("_r"))
-    else:
-        r = model.spark.range(1).select(F.lit(float(retention_rate)).alias("_r"))
+        r = pooled_retention(active_periods(model, granularity))
     profit = F.col("annual_clv") * F.lit(float(margin))
     out = clv.crossJoin(single_row(r)).select(
         F.col("company_sold_to").alias("account"),
         profit.alias("annual_profit"),
         F.col("_r").alias("retention_rate"),
-        (profit * (F.col("_r") / (F.lit(1.0 + discount_rate) - F.col("_r")))).alias("predicted_clv"))
+        (profit * (F.col("_r") / C.nullif_zero(F.lit(1.0 + discount_rate) - F.col("_r")))).alias("predicted_clv"))
     if sort:
         out = out.orderBy(F.col("predicted_clv").desc_nulls_last(), F.col("account").asc_nulls_last())
     return out

@@ -35,9 +35,6 @@ class CrmModel:
         # optional surrogate agent key: (fact columns + AGENT_KEY, AGENT_KEY -> agent rows)
         self._agent_key = agent_key
         self._dims = {"accounts": accounts, "products": products, "sales_teams": sales_teams}
-        # identifies the underlying data within one application (None: unknown),
-        # so derived results such as a fitted clustering can be shared
-        self.source_key = None
         # dataset parameters (as-of date, home country, reference year, ...)
         self.params = dict(params)
 
@@ -48,21 +45,19 @@ class CrmModel:
         return cls(pipeline, accounts, products, sales_teams, **params)
 
     @classmethod
-    def from_tpch(cls, tables, **params) -> "CrmModel":
+    def from_tpch(cls, tables, validate_keys: bool = True, **params) -> "CrmModel":
+        """The driver's tables as a star; ``validate_keys`` checks the dimension keys first."""
         from ..sources import starmap
+        from ..sources.catalog import require_valid_keys
         model = cls(lambda cols: starmap.pipeline_from_tpch(tables, cols),
-                   lambda: starmap.accounts_from_tpch(tables),
-                   lambda: starmap.products_from_tpch(tables),
-                   lambda: starmap.sales_teams_from_tpch(tables),
-                   view=lambda cols: starmap.star_from_tpch(tables, cols),
-                   agent_key=(lambda cols: starmap.star_from_tpch(tables, (AGENT_KEY, *cols)),
-                              lambda: starmap.agents_by_key(tables)),
-                   **params)
-        paths = tables.__dict__.get("_paths")
-        if paths:
-            app = next(iter(tables.values())).sparkSession.sparkContext.applicationId
-            model.source_key = ("tpch", app, tuple(sorted(paths.items())))
-        return model
+                    lambda: starmap.accounts_from_tpch(tables),
+                    lambda: starmap.products_from_tpch(tables),
+                    lambda: starmap.sales_teams_from_tpch(tables),
+                    view=lambda cols: starmap.star_from_tpch(tables, cols),
+                    agent_key=(lambda cols: starmap.star_from_tpch(tables, (AGENT_KEY, *cols)),
+                               lambda: starmap.agents_by_key(tables)),
+                    **params)
+        return require_valid_keys(model) if validate_keys else model
 
     # -- access -------------------------------------------------------------
     @property
@@ -114,12 +109,6 @@ class CrmModel:
         return (keyed.join(teams, AGENT_KEY, "left")
                 .withColumnRenamed(AGENT_KEY, "sales_agent"))
 
-    def derived_key(self, *parts) -> tuple | None:
-        """Key for a result derived from this model's data and parameters (or None)."""
-        if self.source_key is None:
-            return None
-        return (self.source_key, tuple(sorted(self.params.items())), *parts)
-
     def param(self, name: str, default=None):
         return self.params.get(name, default)
 

@@ -1,24 +1,21 @@
 """Exact global ranks, NTILE and percentiles without a single-partition stage.
 
 A plain ``Window.orderBy`` (no PARTITION BY) moves every row into one task.
-Here the rows are range-partitioned on a *total* order (the caller's keys plus
-a unique tie-breaker), sorted inside each partition and numbered with
-``monotonically_increasing_id`` (documented as partition id in the upper 31
-bits, record number in the lower 33). The numbered rows are checkpointed to
-the shared checkpoint folder so every later use sees the same numbering.
-Per-partition counts (one row per partition: a proven bound) give each
-partition's offset; offset + local number is the exact 0-based global
-position. Heavy ties split across partitions because the order is total.
-
-Percentiles reuse the positions: for each group, rows are contiguous in the
-global order, so the group's first position and size give the two
-neighbouring ranks to interpolate, fetched by an equi-join on position.
+Here rows are range-partitioned on a *total* order, and each partition's rows
+are numbered (``positions``) or their counts summed up (``percentiles``);
+per-partition totals, one row a partition, give the partitions' offsets. The
+partitioned rows are checkpointed to the shared folder first, so that both
+uses see the same partitions.
+
+NTILEs of several columns share one sort: the columns are unpivoted into
+narrow (column, value, id) rows. Percentiles sort value counts, not rows:
+(group, column, value) is counted first, with partial counts before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,74 +26,30 @@ _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 
-@dataclass(frozen=True)
-class Key:
-    """One sort key: column name, direction and NULL placement."""
+def _ranged(df: DataFrame, orders: Sequence[Column], partitions: int | None) -> DataFrame:
+    return df.repartitionByRange(partitions, *orders) if partitions else df.repartitionByRange(*orders)
 
-    name: str
-    ascending: bool = True
-    nulls_last: bool = True
 
-    def sort(self) -> Column:
-        c = F.col(self.name)
-        if self.ascending:
-            return c.asc_nulls_last() if self.nulls_last else c.asc_nulls_first()
-        return c.desc_nulls_last() if self.nulls_last else c.desc_nulls_first()
+def _offsets(parts: DataFrame, size: Column) -> DataFrame:
+    """(_part, _offset): what all partitions before hold; one row a partition."""
+    per_part = parts.groupBy("_part").agg(size.alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
 
 
-def asc(name: str, nulls_last: bool = True) -> Key:
-    return Key(name, True, nulls_last)
+def positions(df: DataFrame, orders: Sequence[Column], pos_col: str = "_pos",
+              partitions: int | None = None) -> DataFrame:
+    """Add each row's exact 0-based position in a total order.
 
-
-def desc(name: str, nulls_last: bool = True) -> Key:
-    return Key(name, False, nulls_last)
-
-
-# Up to this many rows, one sorted task is cheaper than range partitioning and
-# its size is bounded by this constant; above it the distributed path is used.
-SINGLE_TASK_ROWS = 1_000_000
-
-
-# The value lookup of ``percentiles`` broadcasts the needed positions when there
-# are at most this many (checked by a count); otherwise it shuffle-joins them.
-BROADCAST_POSITIONS = 1_000_000
-
-
-def global_positions(df: DataFrame, keys: Sequence[Key], pos_col: str = "_pos",
-                     count_col: str | None = None, partitions: int | None = None,
-                     single_task_rows: int | None = None, rows: int | None = None) -> DataFrame:
-    """Add the exact 0-based position of each row in the order ``keys``.
-
-    ``keys`` must form a total order (end with a unique column) for the result
-    to be deterministic. Optionally adds ``count_col`` with the total row count.
-    Callers should pass checkpointed input: the row count is taken first
-    (or passed in as ``rows``).
+    ``monotonically_increasing_id`` holds the partition in its upper bits and
+    the number inside it in its lower 33.
     """
-    orders = [k.sort() for k in keys]
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    n = df.count() if rows is None else rows
-    if n <= limit:
-        out = df.withColumn(pos_col, (F.row_number().over(Window.orderBy(*orders)) - 1).cast("bigint"))
-        return out.withColumn(count_col, F.lit(n).cast("bigint")) if count_col else out
-    ranged = df.repartitionByRange(partitions, *orders) if partitions else df.repartitionByRange(*orders)
-    numbered = (ranged.sortWithinPartitions(*orders)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    numbered = reliable_checkpoint(numbered)
-    numbered = numbered.withColumn("_part", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    per_part = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
-    )
-    out = numbered.join(F.broadcast(offsets), "_part")
-    out = out.withColumn(pos_col, F.col("_offset") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)))
-    if count_col:
-        out = out.withColumn(count_col, F.col("_total"))
-    return out.drop("_mid", "_part", "_offset", "_total")
+    numbered = _ranged(df, orders, partitions).sortWithinPartitions(*orders) \
+        .withColumn("_mid", F.monotonically_increasing_id())
+    numbered = reliable_checkpoint(numbered).withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
+    local = F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))
+    return numbered.join(_offsets(numbered, F.count(F.lit(1))), "_part") \
+        .withColumn(pos_col, F.col("_offset") + local).drop("_mid", "_part", "_offset")
 
 
 def ntile_from_position(pos: Column, total: Column, n: int) -> Column:
@@ -111,64 +64,63 @@ def ntile_from_position(pos: Column, total: Column, n: int) -> Column:
             .otherwise(r + F.floor((pos - big) / F.greatest(b, F.lit(1))) + 1)).cast("bigint")
 
 
-def add_ntile(df: DataFrame, keys: Sequence[Key], n: int, out_col: str,
-              partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
-    """``NTILE(n) OVER (ORDER BY keys)``; above the row bound, without a single-task window."""
-    ranked = global_positions(df, keys, "_pos", "_cnt", partitions, single_task_rows)
-    return ranked.withColumn(out_col, ntile_from_position(F.col("_pos"), F.col("_cnt"), n)).drop(
-        "_pos", "_cnt")
+def add_ntiles(df: DataFrame, ident: str, tiles: Mapping[str, Column], n: int,
+               partitions: int | None = None) -> DataFrame:
+    """Add ``NTILE(n) OVER (ORDER BY value, ident)``, NULLs last, for each ``name: value``.
+
+    ``ident`` is unique (one NULL is allowed); values are numbers of up to 18
+    whole and 6 decimal digits (negate one for a descending order). ``df``
+    should be materialised: it is read for the ranking and for the result.
+    """
+    long = df.select(F.col(ident).alias("_id"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), value.cast("decimal(38,6)").alias("value"))
+        for name, value in tiles.items()])).alias("_t")).select("_id", "_t.name", "_t.value")
+    order = [F.col("name"), F.col("value").asc_nulls_last(), F.col("_id").asc_nulls_last()]
+    ranked = positions(long, order, partitions=partitions)
+    groups = ranked.groupBy("name").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_total"))
+    scored = ranked.join(groups, "name").select(
+        "_id", "name", ntile_from_position(F.col("_pos") - F.col("_first"), F.col("_total"), n).alias("_tile"))
+    wide = scored.groupBy("_id").agg(*[
+        F.max(F.when(F.col("name") == name, F.col("_tile"))).alias(name) for name in tiles])
+    return df.join(wide, df[ident].eqNullSafe(wide["_id"])).drop("_id")
 
 
 def percentiles(df: DataFrame, value_cols: Sequence[str], qs: Sequence[float],
-                group_cols: Sequence[str] = (), partitions: int | None = None,
-                single_task_rows: int | None = None, materialise: bool = True) -> DataFrame:
+                group_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT(q)`` of each value column, per group.
 
     Returns long form: ``group_cols..., column, q, value`` (value is DOUBLE,
     NULL when the group has no non-null value). NULLs are ignored, as in SQL.
-    All columns and groups are handled by one distributed sort. The row id
-    only orders equal values among themselves, so the values found at each
-    position do not depend on it; ``materialise=False`` skips writing the
-    exploded input when ``df`` is already cheap to re-read (checkpointed).
     """
-    group_cols = list(group_cols)
+    gk = [*group_cols, "column"]
     long = df.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in value_cols])).alias("_kv")).select(*group_cols, "_kv.column", "_kv.value")
-    present = long.filter(F.col("value").isNotNull())
-    # Total order: group, column, value, then a row id that is unique per row.
-    present = present.withColumn("_rid", F.monotonically_increasing_id())
-    if materialise:
-        present = reliable_checkpoint(present)
-    keys = [asc(g) for g in group_cols] + [asc("column"), asc("value"), asc("_rid")]
-    n_rows = present.count()
-    ranked = global_positions(present, keys, "_pos", partitions=partitions,
-                              single_task_rows=single_task_rows, rows=n_rows)
-
-    gk = group_cols + ["column"]
-    bounds = ranked.groupBy(*gk).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    qdf = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    targets = bounds.crossJoin(F.broadcast(qdf))
-    rn = F.col("q") * (F.col("_n") - 1).cast("double")
-    targets = targets.select(*gk, "q", "_start", rn.alias("_rn"))
-    targets = targets.select(*gk, "q", "_rn",
-                             (F.col("_start") + F.floor("_rn")).cast("bigint").alias("_lo"),
-                             (F.col("_start") + F.ceil("_rn")).cast("bigint").alias("_hi"))
-    # Pick the (at most two per target) needed rows out of all ranked rows with
-    # a semi-join, broadcasting the positions when their number is checked to
-    # be small, so the ranked rows are filtered where they are, not shuffled.
-    need = targets.select(F.explode(F.array("_lo", "_hi")).alias("_pos")).distinct()
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    small = n_rows <= limit or need.count() <= BROADCAST_POSITIONS
-    vals = ranked.join(F.broadcast(need) if small else need, "_pos", "left_semi").select(
-        "_pos", "value")
-    lo = vals.select(F.col("_pos").alias("_lo"), F.col("value").alias("_vlo"))
-    hi = vals.select(F.col("_pos").alias("_hi"), F.col("value").alias("_vhi"))
-    joined = targets.join(lo, "_lo").join(hi, "_hi")
-    d = F.col("_rn") - F.floor("_rn")
-    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        F.col("_vlo") + d * (F.col("_vhi") - F.col("_vlo")))
-    result = joined.select(*gk, "q", value.alias("value"))
-    # groups whose column is entirely NULL still get a (NULL) row
-    all_groups = long.select(*gk).distinct().crossJoin(F.broadcast(qdf))
-    return all_groups.join(result, gk + ["q"], "left")
+    counts = long.groupBy(*gk, "value").agg(F.count(F.lit(1)).alias("_n"))
+    orders = [F.col(c).asc_nulls_last() for c in [*gk, "value"]]
+    parts = reliable_checkpoint(_ranged(counts, orders, partitions)
+                                .withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
+    present = F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    summed = parts.select("*", present.alias("_m")) \
+        .withColumn("_inside", F.coalesce(F.sum("_m").over(inside), F.lit(0))) \
+        .join(_offsets(parts.select("_part", present.alias("_m")), F.sum("_m")), "_part") \
+        .select(*gk, "value", "_m", (F.col("_offset") + F.col("_inside")).alias("_before"))
+    names = [f"_g{i}" for i in range(len(gk))]
+    rank = F.col("q") * (F.greatest(F.col("_size"), F.lit(1)) - 1).cast("double")
+    wanted = summed.groupBy(*gk).agg(F.min("_before").alias("_first"), F.sum("_m").alias("_size")) \
+        .select(*[F.col(c).alias(n) for c, n in zip(gk, names)], "_first", "_size",
+                F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")) \
+        .select(*names, "q", (rank - F.floor(rank)).alias("_d"),
+                (F.col("_first") + F.floor(rank)).alias("_lo"), (F.col("_first") + F.ceil(rank)).alias("_hi"))
+    covers = lambda p: (F.col("_before") <= F.col(p)) & (F.col(p) < F.col("_before") + F.col("_m"))
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(c)) for n, c in zip(names, gk)])
+    hits = wanted.join(summed.filter("_m > 0"), same & (covers("_lo") | covers("_hi")), "left") \
+        .select(*[F.col(n).alias(c) for n, c in zip(names, gk)], "q", "_d",
+                F.when(covers("_lo"), F.col("value")).alias("_vlo"),
+                F.when(covers("_hi"), F.col("value")).alias("_vhi"))
+    ends = hits.groupBy(*gk, "q").agg(F.max("_d").alias("_d"), F.max("_vlo").alias("_vlo"),
+                                      F.max("_vhi").alias("_vhi"))
+    value = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
+        F.col("_vlo") + F.col("_d") * (F.col("_vhi") - F.col("_vlo")))
+    return ends.select(*gk, "q", value.alias("value"))

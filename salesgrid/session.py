@@ -42,13 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is named.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as-is. Only when it is unset (local tests) do we pick a scratch folder.
+    as-is. Only when it is unset on a local master (tests) do we pick a scratch
+    folder; elsewhere that would be one machine's disk, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="salesgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(named)

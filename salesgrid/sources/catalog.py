@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..plans.model import CrmModel, crm_view
 from ..schemas import DIMENSION_KEYS
 
@@ -29,36 +32,34 @@ def register_views(model: CrmModel, prefix: str = "") -> list[str]:
 
 
 def save_tables(model: CrmModel, path: str | None = None, database: str | None = None,
-                mode: str = "overwrite", pipeline_partitions: int | None = None,
-                buckets: int | None = None) -> dict[str, str]:
+                mode: str = "overwrite") -> dict[str, str]:
     """Materialise the four tables as Parquet (a path, or managed tables).
 
-    The fact table is hash-partitioned on ``account`` when
-    ``pipeline_partitions`` is given, which most per-account metrics group by.
-    With ``database`` and ``buckets``, the fact table and the accounts are
-    written as tables bucketed (and sorted) by ``account`` into the same
-    number of buckets: per-account aggregates then need no exchange, and
-    joins of per-account results with the accounts are co-located.
+    The fact rows keep the layout they have: laid out by account, one hot
+    account (or the NULL one) would be one task and one bucket. For repeated
+    per-account reports store ``account_days`` instead.
     """
     out = {}
     for name, df in _frames(model).items():
-        if name == "sales_pipeline" and pipeline_partitions:
-            df = df.repartition(pipeline_partitions, "account")
         w = df.write.mode(mode).format("parquet")
-        if database and buckets and name in ("sales_pipeline", "accounts"):
-            w = w.bucketBy(buckets, "account").sortBy("account")
         if database:
-            full = f"{database}.{name}"
-            w.saveAsTable(full)
-            out[name] = full
+            w.saveAsTable(f"{database}.{name}")
+            out[name] = f"{database}.{name}"
         else:
-            target = f"{path.rstrip('/')}/{name}"
-            w.save(target)
-            out[name] = target
+            w.save(f"{path.rstrip('/')}/{name}")
+            out[name] = f"{path.rstrip('/')}/{name}"
     return out
 
 
-def model_from_parquet(spark: SparkSession, path: str, validate_keys: bool = False,
+def account_days(model: CrmModel) -> DataFrame:
+    """Won deals per (account, close day): additive parts, at most a row for each day of an account."""
+    p = model.pipeline("account", "deal_stage", "close_date", "close_value", "opportunity_id")
+    return p.filter(C.is_won()).groupBy("account", "close_date").agg(
+        F.count("opportunity_id").alias("deals"), F.sum("close_value").alias("value"),
+        F.count("close_value").alias("valued_deals"))
+
+
+def model_from_parquet(spark: SparkSession, path: str, validate_keys: bool = True,
                        **params) -> CrmModel:
     """The star model from tables written by ``save_tables(path=...)``."""
     base = path.rstrip("/")
@@ -69,7 +70,7 @@ def model_from_parquet(spark: SparkSession, path: str, validate_keys: bool = Fal
 
 
 def model_from_tables(spark: SparkSession, database: str | None = None,
-                      validate_keys: bool = False, **params) -> CrmModel:
+                      validate_keys: bool = True, **params) -> CrmModel:
     """The star model from catalog tables (``database.name`` or current database)."""
     t = {n: spark.table(f"{database}.{n}" if database else n) for n in TABLE_NAMES}
     model = CrmModel.from_frames(t["sales_pipeline"], t["accounts"], t["products"],
@@ -99,11 +100,14 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
 
 def check_keys(model: CrmModel) -> dict[str, bool]:
     """Dimension keys must be unique and non-NULL: that makes the left joins
-    row-preserving and licenses aggregating the fact table before joining."""
+    row-preserving and licenses aggregating the fact table before joining.
+    One job; only the names of failing dimensions reach the driver."""
     dims = {"accounts": model.accounts(), "products": model.products(),
             "sales_teams": model.sales_teams()}
-    return {name: key_violations(df, DIMENSION_KEYS[name]).limit(1).count() == 0
-            for name, df in dims.items()}
+    bad = reduce(DataFrame.unionByName, [
+        key_violations(df, DIMENSION_KEYS[name]).select(F.lit(name).alias("name"))
+        for name, df in dims.items()]).distinct().collect()
+    return {name: name not in {r.name for r in bad} for name in dims}
 
 
 def require_valid_keys(model: CrmModel) -> CrmModel:

@@ -21,9 +21,14 @@ DATA_DICTIONARY = T.StructType([
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
-    """Parse ``path`` with ``schema``; malformed rows raise instead of turning NULL."""
+    """Parse ``path`` with ``schema``; malformed rows raise instead of turning NULL.
+
+    The header must name the schema's columns in its order: a file with other or
+    swapped columns fails instead of loading into the wrong ones.
+    """
     reader = (spark.read.schema(schema)
               .option("header", "true")
+              .option("enforceSchema", "false")
               .option("mode", "FAILFAST")
               .option("quote", '"')
               .option("escape", '"')
@@ -58,11 +63,11 @@ def read_data_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, DATA_DICTIONARY)
 
 
-def model_from_csv(spark: SparkSession, directory: str, validate_keys: bool = False, **params):
+def model_from_csv(spark: SparkSession, directory: str, validate_keys: bool = True, **params):
     """The star model from ``accounts.csv``, ``products.csv``, ``sales_pipeline.csv``
     and ``sales_teams.csv`` in ``directory``.
 
-    ``validate_keys=True`` checks that every dimension key is unique and
+    ``validate_keys`` checks that every dimension key is unique and
     non-NULL (one aggregate per dimension), which the metrics assume.
     """
     from ..plans.model import CrmModel

@@ -33,10 +33,11 @@ _NEEDS_ORDERS = {"account", "engage_date", "close_date"}
 
 
 def _stage(rf: Column, ls: Column) -> Column:
-    return (F.when(rf == "N", F.lit("Won"))
-            .when(rf == "R", F.lit("Lost"))
-            .when((rf == "A") & (ls == "F"), F.lit("Engaging"))
-            .when((rf == "A") & (ls == "O"), F.lit("Prospecting")))
+    # Nested rather than one CASE: a comparison with a stage then folds to the
+    # flags it stands for, which are pushed down to the scan.
+    open_stage = F.when(ls == "F", F.lit("Engaging")).when(ls == "O", F.lit("Prospecting"))
+    return F.when(rf.eqNullSafe("N"), F.lit("Won")).otherwise(
+        F.when(rf.eqNullSafe("R"), F.lit("Lost")).otherwise(F.when(rf == "A", open_stage)))
 
 
 def _accounts_keyed(tables, attrs=VIEW_DIMENSION_COLUMNS["accounts"]) -> DataFrame:
@@ -94,35 +95,6 @@ def sales_teams_from_tpch(tables) -> DataFrame:
     return _teams_keyed(tables).drop("s_suppkey")
 
 
-# Dimension tables up to this many rows are broadcast into the fact rows; the
-# check is an exact row count of the table. Larger ones are shuffle-joined,
-# ordered so the fact table moves as few times as possible.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def _small(tables, name: str) -> bool:
-    counter = getattr(tables, "row_count", None)
-    return counter is not None and counter(name) <= BROADCAST_MAX_ROWS
-
-
-def _spread_if_few_splits(tables, name: str, key: str) -> DataFrame:
-    """The fact scan, hash-spread over the cores if it has fewer input splits than cores.
-
-    A file written as one large row group scans in a single task, and every
-    operator fused above the scan (projection, broadcast joins, distinct
-    expansion, partial aggregation) then runs in that one task. A large input
-    has at least one split per core, so there this returns the scan unchanged
-    and adds no shuffle. Hash (not round-robin) partitioning keeps task
-    retries deterministic.
-    """
-    df = tables[name]
-    splitter = getattr(tables, "scan_partitions", None)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if splitter is None or splitter(name) >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 # Surrogate key of the agent on the fact side: the supplier key. Metrics that
 # group by agent aggregate by it and attach names to the aggregated rows only.
 AGENT_KEY = "_agent_key"
@@ -139,7 +111,8 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     result, so the fact table is shuffled once for the account (by order key)
     rather than once per join; agent and product attributes come through the
     supplier and part keys. A dimension is joined only if a requested column
-    needs it (its key is unique, so an unused left join changes nothing).
+    needs it (its key is unique, so an unused left join changes nothing). Which
+    sides are broadcast is left to the planner and AQE, which go by bytes.
     """
     cols = tuple(columns)
     allowed = (set(PIPELINE_COLUMNS) | set(_ACCOUNT_ATTRS) | set(_TEAM_ATTRS)
@@ -170,7 +143,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         li_cols += ["l_shipdate"]
     if "close_value" in wanted:
         li_cols += ["l_extendedprice"]
-    df = _spread_if_few_splits(tables, "lineitem", "l_orderkey").select(*dict.fromkeys(li_cols))
+    df = tables["lineitem"].select(*dict.fromkeys(li_cols))
 
     if need_orders:
         o_cols = ["o_orderkey"]
@@ -183,23 +156,16 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
             acc = _accounts_keyed(tables, acc_attrs).select(
                 "c_custkey", F.col("account").alias("_acct"),
                 *[F.col(c).alias(f"_a_{c}") for c in acc_attrs])
-            if _small(tables, "customer"):
-                # small accounts table (checked): broadcast it onto the fact rows
-                df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
-                df = df.join(F.broadcast(acc), df["o_custkey"] == acc["c_custkey"], "left")
-            else:
-                # large: name the orders first, so the fact table is shuffled once
-                orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")
-                df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
+            # name the orders first, so the fact table is shuffled once
+            orders = orders.join(acc, orders["o_custkey"] == acc["c_custkey"], "left")
+            df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
         else:
             df = df.join(orders, df["l_orderkey"] == orders["o_orderkey"], "left")
     if need_team:
         teams = _teams_keyed(tables).select("s_suppkey", *(["sales_agent"] + team_attrs))
-        teams = F.broadcast(teams) if _small(tables, "supplier") else teams
         df = df.join(teams, df["l_suppkey"] == teams["s_suppkey"], "left")
     if prod_attrs:
         prods = _products_keyed(tables).select("p_partkey", *prod_attrs)
-        prods = F.broadcast(prods) if _small(tables, "part") else prods
         df = df.join(prods, df["l_partkey"] == prods["p_partkey"], "left")
 
     stage = _stage(F.col("l_returnflag"), F.col("l_linestatus"))
@@ -241,10 +207,5 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
 
 
 def agents_by_key(tables) -> DataFrame:
-    """``_agent_key`` (supplier key) with the agent's name, manager and office.
-
-    Broadcast-hinted when the supplier table's exact row count is within the
-    bound (its planner estimate, being a join output, never would be).
-    """
-    agents = _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)
-    return F.broadcast(agents) if _small(tables, "supplier") else agents
+    """``_agent_key`` (supplier key) with the agent's name, manager and office."""
+    return _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)

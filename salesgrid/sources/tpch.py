@@ -25,7 +25,7 @@ TPCH_SCHEMAS = {
 
 
 class TableSet(dict):
-    """name -> DataFrame; attribute access, and memoised exact row counts."""
+    """name -> DataFrame, with attribute access."""
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -33,31 +33,6 @@ class TableSet(dict):
         except KeyError as exc:  # pragma: no cover - plain attribute error
             raise AttributeError(name) from exc
 
-    def row_count(self, name: str) -> int:
-        """Exact row count of a table: one count job per table and session.
-
-        Like Spark's own file-listing cache, this assumes the input files do
-        not change while the application runs.
-        """
-        paths = self.__dict__.get("_paths", {})
-        key = (self[name].sparkSession.sparkContext.applicationId, paths.get(name, id(self[name])))
-        if key not in _ROW_COUNTS:
-            _ROW_COUNTS[key] = self[name].count()
-        return _ROW_COUNTS[key]
-
-
-    def scan_partitions(self, name: str) -> int:
-        """Number of input splits of a table's scan (planning only, no job); memoised."""
-        paths = self.__dict__.get("_paths", {})
-        key = (self[name].sparkSession.sparkContext.applicationId, paths.get(name, id(self[name])))
-        if key not in _SPLITS:
-            _SPLITS[key] = self[name].rdd.getNumPartitions()
-        return _SPLITS[key]
-
-
-_ROW_COUNTS: dict[tuple, int] = {}
-_SPLITS: dict[tuple, int] = {}
-
 
 def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES,
                 declared_schemas: bool = True) -> TableSet:
@@ -68,21 +43,9 @@ def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES,
     whose physical types differ, e.g. time-zone-adjusted timestamps).
     """
     base = directory.rstrip("/")
-    key = (spark.sparkContext.applicationId, base, tuple(names), declared_schemas)
-    if key in _SCANS:
-        return _SCANS[key]
-    paths = {n: f"{base}/{n}.parquet" for n in names}
-    def scan(name: str, path: str) -> DataFrame:
-        schema = TPCH_SCHEMAS.get(name) if declared_schemas else None
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-
-    tables = TableSet({n: scan(n, p) for n, p in paths.items()})
-    tables.__dict__["_paths"] = paths
-    _SCANS[key] = tables
-    return tables
 
+    def scan(name: str) -> DataFrame:
+        schema = TPCH_SCHEMAS.get(name) if declared_schemas else None
+        return (spark.read.schema(schema) if schema else spark.read).parquet(f"{base}/{name}.parquet")
 
-# Scans are plans, not data: reusing them within one application avoids
-# listing the same files again for every query (Spark keeps its own listing
-# cache under the same assumption that inputs do not change mid-application).
-_SCANS: dict[tuple, TableSet] = {}
+    return TableSet({n: scan(n) for n in names})

@@ -2,6 +2,9 @@
 
 import math
 
+import pytest
+
+
 from salesgrid import operators as O
 from salesgrid.plans.model import crm_view
 from tests.conftest import rows_by
@@ -226,10 +229,67 @@ def test_unmatched_agent_keeps_its_name(spark, fixture_model):
     assert None in rr
 
 
-def test_customer_360_unique_opportunities_option(fixture_model):
-    exact = rows_by(O.customer_360(fixture_model), "account")
-    fast = rows_by(O.customer_360(fixture_model, unique_opportunities=True), "account")
-    assert exact == fast          # opportunity ids are unique in the fixture
+def _frames(spark, deals):
+    """A model of won deals (account, engage, close, value, product) of three accounts."""
+    from salesgrid import CrmModel
+    rows = [(str(i), "agent", p, a, "Won", e, c, v) for i, (a, e, c, v, p) in enumerate(deals)]
+    pipeline = spark.createDataFrame(rows, "opportunity_id string, sales_agent string, product string, account string, "
+                                           "deal_stage string, engage_date string, close_date string, close_value int")
+    pipeline = pipeline.selectExpr("opportunity_id", "sales_agent", "product", "account", "deal_stage",
+                                   "date(engage_date) engage_date", "date(close_date) close_date",
+                                   "cast(close_value as decimal(15,2)) close_value")
+    accounts = spark.createDataFrame([(a, "s", 1990, 1.0, 5, "X", None) for a in "abc"],
+                                     "account string, sector string, year_established int, revenue double, "
+                                     "employees int, office_location string, subsidiary_of string")
+    products = spark.createDataFrame([("p", "s", 1.0)], "product string, series string, sales_price double")
+    teams = spark.createDataFrame([("agent", "m", "o")], "sales_agent string, manager string, regional_office string")
+    return CrmModel.from_frames(pipeline, accounts, products, teams)
+
+
+def test_cohort_of_accounts_without_close_dates(spark):
+    m = _frames(spark, [("a", "2017-01-01", None, 5, "p"), ("a", "2017-01-01", None, 5, "p"),
+                        ("b", "2017-01-01", "2017-02-01", 5, "p"), ("c", "2017-01-01", "2017-02-03", 5, "p")])
+    rows = {r.acquisition_year: r for r in O.cohort_retention(m).collect()}
+    assert rows[None].cohort_size == 1 and rows[None].month_0 == 0
+    assert rows[2017].cohort_size == 2 and rows[2017].month_0 == 2
+    assert O.cohort_retention_long(m).filter("cohort is null").count() == 6
+    assert dict(O.cohort_retention(m).dtypes)["month_12"] == "bigint"
+
+
+def test_divisions_by_zero_give_null(spark):
+    m = _frames(spark, [("a", "2017-01-01", "2017-02-01", 0, "p"), ("b", "2017-01-01", "2017-03-01", 0, "p")])
+    rows = O.health_score(m, as_of="2018-01-01").collect()
+    assert [r.norm_monetary for r in rows] == [None, None] and {r.health_status for r in rows} == {"Critical"}
+    assert {r.predicted_clv for r in O.predicted_clv(m, discount_rate=0.0, retention_rate=1.0).collect()} == {None}
+
+
+def test_health_score_needs_a_date(spark):
+    with pytest.raises(ValueError, match="as_of"):
+        O.health_score(_frames(spark, [("a", "2017-01-01", "2017-02-01", 1, "p")]))
+
+
+@pytest.mark.parametrize("granularity,starts", [("quarter", ["2017-04-01", "2017-07-01", "2017-10-01"]),
+                                                ("month", [f"2017-{m:02d}-01" for m in range(3, 11)])])
+def test_retention_by_quarter_and_month(spark, granularity, starts):
+    m = _frames(spark, [("a", None, "2017-02-10", 1, "p"), ("a", None, "2017-05-10", 1, "p"),
+                        ("b", None, "2017-02-11", 1, "p"), ("b", None, "2017-10-01", 1, "p"),
+                        ("c", None, "2017-05-30", 1, "p"), (None, None, "2017-05-30", 1, "p")])
+    rows = O.period_retention(m, granularity=granularity).collect()
+    assert [str(r.period_start) for r in rows] == starts
+    if granularity == "quarter":
+        assert [(r.customers_start, r.customers_end, r.new_customers, r.retained_customers, r.lost_customers)
+                for r in rows] == [(2, 2, 1, 1, 1), (2, 0, 0, 0, 2), (0, 1, 1, 0, 0)]
+    assert sum(r.retained_customers for r in rows) == (1 if granularity == "quarter" else 0)
+    pooled = O.predicted_clv(m, granularity=granularity).first().retention_rate
+    assert pooled == sum(r.retained_customers for r in rows) / sum(r.customers_start for r in rows)
+
+
+def test_customer_360_with_a_hot_account(spark):
+    deals = [("a", "2017-01-01", "2017-02-01", 1, f"p{i % 7}") for i in range(300)] + [("b", None, None, 2, None)]
+    rows = {r.account: r for r in O.customer_360(_frames(spark, deals)).collect()}
+    assert (rows["a"].total_opportunities, rows["a"].won_deals, rows["a"].unique_products_purchased,
+            rows["a"].lifetime_value) == (300, 300, 7, 300.0)
+    assert rows["b"].unique_products_purchased == 0
 
 
 def test_no_won_deals_does_not_fail(spark, fixture_model):

@@ -77,14 +77,44 @@ def test_pca_variance_and_points(clustering, model):
     assert points.filter(F.col("cluster").isNull()).count() == 0
 
 
-def test_same_seed_same_labels(spark, clustering):
-    fresh = E.model_for(spark, SF)
-    fresh.source_key = None          # bypass the shared fit: really fit again
-    again = K.cluster_accounts(fresh, k=4, seed=42)
-    assert again is not clustering
-    a = {r.account: r.cluster for r in clustering.labels.collect()}
-    b = {r.account: r.cluster for r in again.labels.collect()}
-    assert a == b
+def _labels(c):
+    return {r.account: r.cluster for r in c.labels.collect()}
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "16"])
+def test_labels_and_costs_do_not_depend_on_settings_or_row_order(spark, clustering, model, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        shuffled = K.materialised_features(model).orderBy(F.xxhash64(F.lit(int(partitions)), "account"))
+        matrix = K.prepare_matrix(shuffled.repartition(int(partitions) + 1))
+        km = K._kmeans(4, 42, K._mean_population_variance(matrix)).fit(matrix)
+        labels = {r.account: r.cluster for r in km.transform(matrix).collect()}
+        costs = [r.wcss for r in K.elbow(model, k_max=3, matrix=matrix).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert labels == _labels(clustering)
+    assert costs == pytest.approx([r.wcss for r in K.elbow(model, k_max=3, matrix=clustering.matrix).collect()],
+                                  rel=1e-12)
+
+
+def test_missing_feature_values_are_named_or_filled(model):
+    features = K.materialised_features(model)
+    holed = features.withColumn("avg_days_close_deal", F.when(F.col("account") > "Customer#000000050",
+                                                              F.col("avg_days_close_deal")))
+    with pytest.raises(ValueError, match="avg_days_close_deal"):
+        scaled_features(holed)
+    matrix, _ = scaled_features(holed, fill={"avg_days_close_deal": 0.0})
+    assert not np.isnan(np.array([r.features.toArray() for r in matrix.collect()])).any()
+
+
+def test_accounts_without_a_sector_are_left_out_of_the_crosstab(spark, clustering, model):
+    holed = clustering.features.withColumn("sector", F.when(F.col("company_age") % 2 == 0, F.col("sector")))
+    c = K.Clustering(holed, clustering.matrix, clustering.kmeans, clustering.labels)
+    wide = K.cluster_sector_crosstab(model, clustering=c)
+    assert "NULL" not in wide.columns
+    total = sum(v for r in wide.collect() for k, v in r.asDict().items() if k != "cluster")
+    assert total == holed.filter("sector IS NOT NULL").count()
 
 
 def test_sector_crosstab_matches_long_form(clustering, model):
@@ -97,9 +127,3 @@ def test_sector_crosstab_matches_long_form(clustering, model):
     norm = K.cluster_sector_crosstab(model, normalise=True, clustering=clustering).collect()
     for r in norm:
         assert sum(v for k_, v in r.asDict().items() if k_ != "cluster") == pytest.approx(1.0)
-
-
-def test_reports_share_one_fit(spark):
-    a = K.cluster_accounts(E.model_for(spark, SF))
-    b = K.cluster_accounts(E.model_for(spark, SF))
-    assert a is b

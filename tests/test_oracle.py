@@ -16,7 +16,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.oracle.oracle_sql()))
 def test_matches_oracle(spark, con, name):
     err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
     assert err is None, err
@@ -26,6 +26,12 @@ def test_every_sql_key_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def crm_queries():
+    """The queries of the library itself, without the optional ones."""
+    optional = set(E.llm_queries.queries()) | {"pipeline"} if E.llm_queries else set()
+    return {k: v for k, v in E.queries().items() if k not in optional}
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
@@ -34,18 +40,30 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", ["crm_view", "customer_lifetime_value", "touchpoints",
                                   "agent_performance", "customer_360", "industry_performance"])
-def test_large_dimension_branch_matches_oracle(spark, con, name, monkeypatch):
-    # force the shuffle-join branch used when dimensions exceed the broadcast bound
-    from salesgrid.sources import starmap
-    monkeypatch.setattr(starmap, "BROADCAST_MAX_ROWS", 0)
-    err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
+def test_without_broadcasts_matches_oracle(spark, con, name):
+    # plan every join as a shuffle join, as the planner does for large dimensions
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert err is None, err
 
 
-@pytest.mark.parametrize("name", ["rfm_segments", "value_segments", "profile"])
-def test_distributed_ranking_path_matches_oracle(spark, con, name, monkeypatch):
-    # force the range-partitioned exact ranking used above the single-task bound
-    from salesgrid.plans import ranking
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
-    err = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql()[name])
-    assert err is None, err
+def test_oracle_shares_nothing_with_the_library():
+    import crm_oracle
+    assert "salesgrid" not in open(crm_oracle.__file__).read()
+
+
+def test_new_input_files_give_new_answers(spark, tmp_path):
+    """Nothing is kept by path: a query after the files changed sees the change."""
+    import shutil
+    shutil.copytree(SF, tmp_path / "sf")
+    before = E.queries()["account_features"](spark, str(tmp_path / "sf")).agg({"total_deals": "sum"}).first()[0]
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(500).coalesce(1).write.parquet(str(tmp_path / "part"))
+    (part,) = (tmp_path / "part").glob("part-*.parquet")
+    part.replace(tmp_path / "sf" / "lineitem.parquet")
+    spark.catalog.refreshByPath(str(tmp_path / "sf"))
+    after = E.queries()["account_features"](spark, str(tmp_path / "sf")).agg({"total_deals": "sum"}).first()[0]
+    assert before > 500 >= after > 0

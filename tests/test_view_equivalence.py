@@ -74,9 +74,8 @@ def test_acquisition_two_cte_form_equals_fused(views, fixture_model):
        st.integers(min_value=1, max_value=7))
 def test_ntile_property(spark, values, tiles):
     df = spark.createDataFrame([(f"a{i:03d}", v) for i, v in enumerate(values)], "account string, v long")
-    keys = [ranking.asc("v"), ranking.asc("account")]
-    got = {r.account: r.t for r in ranking.add_ntile(df, keys, tiles, "t", partitions=3,
-                                                     single_task_rows=0).collect()}
+    got = {r.account: r.t for r in ranking.add_ntiles(df, "account", {"t": F.col("v")}, tiles,
+                                                      partitions=3).collect()}
     w = Window.orderBy(F.col("v").asc_nulls_last(), F.col("account").asc_nulls_last())
     want = {r.account: r.t for r in df.withColumn("t", F.ntile(tiles).over(w)).collect()}
     assert got == want

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import textops
+from . import scratch, textops
 
 COMMON_WORDS = 100
 MAX_LANGUAGES = 256
@@ -59,7 +59,7 @@ class Limits:
 
 def _class_table() -> np.ndarray:
     table = np.full(256, N_CLASSES - 1, np.int64)
-    table[0x80:0xC0] = -1            # inside a character
+    table[0x80:0xC0] = N_CLASSES     # inside a character: not counted
     table[0xC0:] = len(CLASSES)
     for i, chars in enumerate(CLASSES):
         table[[ord(c) for c in chars]] = i
@@ -73,8 +73,9 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 def class_counts(w: textops.Words) -> np.ndarray:
     """Characters of each class in each row."""
-    kind = _CLASS[w.data]
-    return np.stack([textops.sums(kind == c, w.row_start) for c in range(N_CLASSES)], axis=1)
+    width = N_CLASSES + 1
+    slot = np.repeat(np.arange(len(w)) * width, np.diff(w.row_start)) + _CLASS[w.data]
+    return np.bincount(slot, minlength=len(w) * width).reshape(len(w), width)[:, :N_CLASSES]
 
 
 def base_counts(w: textops.Words, window: int = 8) -> dict[str, np.ndarray]:
@@ -170,10 +171,12 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     ranked = sums.withColumn("place", F.row_number().over(
         W.partitionBy("lang", "kind").orderBy(F.col("docs").desc(), "item")))
     ranked = ranked.filter(F.col("place") <= max(common_words, N_CLASSES))
-    found = ranked.filter((F.col("kind") == 1) | (F.col("place") <= common_words))
+    found, path = scratch.write(ranked.filter((F.col("kind") == 1) | (F.col("place") <= common_words)),
+                                "language-profiles")
     size = found.filter("kind = 1").groupBy("lang").agg(F.max("docs").alias("n")) \
         .filter(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "lang").limit(max_languages)
     table = found.join(size, "lang").toPandas()
+    scratch.remove(docs.sparkSession, path)
     out = []
     for name, part in sorted(table.groupby("lang")):
         n = int(part["n"].iloc[0])

@@ -155,8 +155,11 @@ def by_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``flags`` between consecutive ``bounds``."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    out = np.zeros(len(bounds) - 1, np.int64)
+    filled = bounds[1:] > bounds[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(flags[:bounds[-1]], bounds[:-1][filled], dtype=np.int64)
+    return out
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -9,10 +9,13 @@ first, so only one row per key reaches the dimension join.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.model import ACCOUNT_KEY, CrmModel
 
 PARTS = ("_rows", "_opps", "_won", "_lost", "_won_value", "_won_v_sum", "_won_v_n",
          "_won_d_sum", "_won_d_n")
@@ -54,3 +57,27 @@ def avg_deal_size() -> Column:
 
 def avg_sales_cycle() -> Column:
     return F.col("_won_d_sum").cast("double") / C.nullif_zero("_won_d_n").cast("double")
+
+
+_MERGES = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def per_account(model: CrmModel, columns: Sequence[str], parts: Mapping[str, tuple[str, object]],
+                where: Column | None = None, keys: Mapping[str, Column] | None = None) -> DataFrame:
+    """account, ``keys`` and additive ``parts`` (name -> (sum | count | min | max, column)).
+
+    The fact rows are aggregated by the account's key; names are joined to the
+    aggregated rows, and rows of one name (keys without one) are merged. Without
+    parts: the distinct (account, keys) rows.
+    """
+    p = model.account_keyed_pipeline(*columns)
+    if where is not None:
+        p = p.filter(where)
+    keys = keys or {}
+    by = [F.col(ACCOUNT_KEY), *[k.alias(n) for n, k in keys.items()]]
+    if not parts:
+        return model.account_names(p.select(*by).distinct()).select("account", *keys).distinct()
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    grouped = p.groupBy(*by).agg(*[_MERGES[kind][0](col(c)).alias(n) for n, (kind, c) in parts.items()])
+    return model.account_names(grouped).groupBy("account", *keys).agg(
+        *[_MERGES[kind][1](n).alias(n) for n, (kind, _) in parts.items()])

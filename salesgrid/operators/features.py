@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
+from . import _stats as S
 
 # The clustering feature lists of the original analysis.
 NUMERIC_FEATURES = ("revenue", "employees", "company_age", "completed_deals", "failed_deals",
@@ -36,12 +37,13 @@ def account_features(model: CrmModel, reference_year: int | None = None,
     """
     reference_year = reference_year or model.param("reference_year", DEFAULT_REFERENCE_YEAR)
     home = home or model.param("home", DEFAULT_HOME)
-    p = model.pipeline("account", "deal_stage", "engage_date", "close_date")
-    agg = (p.filter(F.col("deal_stage").isin("Won", "Lost"))
-           .groupBy("account")
-           .agg(C.sum_flag(C.is_won()).cast("double").alias("completed_deals"),
-                C.sum_flag(C.is_lost()).cast("double").alias("failed_deals"),
-                C.mean(C.day_diff("engage_date", "close_date")).alias("avg_days_close_deal")))
+    days = C.day_diff("engage_date", "close_date")
+    agg = S.per_account(model, ("deal_stage", "engage_date", "close_date"), {
+        "_won": ("count", F.when(C.is_won(), 1)), "_lost": ("count", F.when(C.is_lost(), 1)),
+        "_days": ("sum", days), "_timed": ("count", days)}, F.col("deal_stage").isin("Won", "Lost"))
+    agg = agg.select("account", F.col("_won").cast("double").alias("completed_deals"),
+                     F.col("_lost").cast("double").alias("failed_deals"),
+                     C.ratio("_days", "_timed").alias("avg_days_close_deal"))
     total = F.col("completed_deals") + F.col("failed_deals")
     agg = agg.select("account", "completed_deals", "failed_deals", "avg_days_close_deal",
                      total.alias("total_deals"),

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.model import AGENT_KEY, CrmModel
+from ..plans.model import ACCOUNT_KEY, AGENT_KEY, CrmModel
 from . import _stats as S
 
 
 def _per_account_parts(model: CrmModel) -> DataFrame:
-    p = model.pipeline("account", "opportunity_id", "deal_stage", "close_value")
-    return S.deal_stats(p, ["account"], with_cycle=False)
+    p = model.account_keyed_pipeline("opportunity_id", "deal_stage", "close_value")
+    keyed = S.deal_stats(p, [ACCOUNT_KEY], with_cycle=False)
+    return S.rollup(model.account_names(keyed), ["account"])
 
 
 def _by_account_attribute(model: CrmModel, attribute: str) -> DataFrame:
@@ -62,9 +63,8 @@ def geographic_performance(model: CrmModel, sort: bool = True) -> DataFrame:
 
 def industry_penetration(model: CrmModel, sort: bool = True) -> DataFrame:
     """Customers in a sector (accounts with a won deal) over all accounts in it."""
-    won_accounts = (model.pipeline("account", "deal_stage")
-                    .filter(C.is_won() & F.col("account").isNotNull())
-                    .select("account").distinct().withColumn("_buyer", F.lit(1)))
+    won_accounts = S.per_account(model, ("deal_stage",), {}, C.is_won()) \
+        .filter(F.col("account").isNotNull()).withColumn("_buyer", F.lit(1))
     acc = model.accounts().select("account", "sector")
     j = acc.join(won_accounts, "account", "left")
     g = j.groupBy("sector").agg(

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.joins import single_row
-from ..plans.model import CrmModel
+from ..plans.model import ACCOUNT_KEY, CrmModel
 from ..session import reliable_checkpoint
 from . import _stats as S
 
 
 def product_performance(model: CrmModel, sort: bool = True) -> DataFrame:
     """Q14: per product and series: deal counts, win rate, revenue, cycle, customers."""
-    p = model.pipeline("product", "account", "opportunity_id", "deal_stage", "close_value",
-                       "engage_date", "close_date")
-    parts = S.deal_stats(p, ["product"],
-                         extra=[F.countDistinct("account").alias("unique_customers")])
+    p = model.account_keyed_pipeline("product", "opportunity_id", "deal_stage", "close_value",
+                                     "engage_date", "close_date")
+    cells = model.account_names(S.deal_stats(p, ["product", ACCOUNT_KEY]))
+    parts = S.rollup(S.rollup(cells, ["product", "account"]), ["product"],
+                     extra=[F.count("account").alias("unique_customers")])
     prods = model.products().select("product", "series")
     j = parts.join(prods, "product", "left")
     out = j.select("product", "series",
@@ -34,8 +35,7 @@ def product_performance(model: CrmModel, sort: bool = True) -> DataFrame:
 
 def _won_pairs(model: CrmModel) -> DataFrame:
     """Distinct (account, product) pairs of won deals: one shuffle, deduplicated map-side."""
-    p = model.pipeline("account", "product", "deal_stage")
-    return p.filter(C.is_won()).select("account", "product").distinct()
+    return S.per_account(model, ("product", "deal_stage"), {}, C.is_won(), {"product": F.col("product")})
 
 
 def product_penetration(model: CrmModel, sort: bool = True) -> DataFrame:

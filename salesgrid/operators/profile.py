@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..plans import ranking
-from ..plans.model import AGENT_KEY, CrmModel
+from ..plans.model import ACCOUNT_KEY, AGENT_KEY, CrmModel
 from ..session import reliable_checkpoint
 
 
@@ -21,24 +21,28 @@ def customer_360(model: CrmModel, sort: bool = True) -> DataFrame:
     accounts key) and joined to accounts afterwards. The distinct counts are
     counts of distinct pairs, (account, opportunity) and, of won deals,
     (account, product), taken from one aggregate of the fact rows: no row is
-    copied, and a hot account is split over its opportunities and products.
+    copied, and a hot account is split over its opportunities and products. An
+    opportunity belongs to one account.
     """
-    p = model.pipeline("account", "opportunity_id", "deal_stage", "close_value",
-                       "close_date", "product")
+    p = model.account_keyed_pipeline("opportunity_id", "deal_stage", "close_value", "close_date", "product")
     won = C.is_won()
-    cells = reliable_checkpoint(p.groupBy("account", "opportunity_id", "product").agg(
+    cells = reliable_checkpoint(p.groupBy(ACCOUNT_KEY, "opportunity_id", "product").agg(
         F.max(won).alias("_won"), F.sum(C.won_value()).alias("_value"),
         F.min(F.when(won, F.col("close_date"))).alias("_first"),
         F.max(F.when(won, F.col("close_date"))).alias("_last")))
-    deals = cells.groupBy("account", "opportunity_id").agg(
+    deals = cells.groupBy(ACCOUNT_KEY, "opportunity_id").agg(
         F.max("_won").alias("_won"), F.sum("_value").alias("_value"), F.min("_first").alias("_first"),
         F.max("_last").alias("_last"))
-    g = deals.groupBy("account").agg(
-        F.count("opportunity_id").alias("total_opportunities"),
-        F.count(F.when(F.col("_won"), F.col("opportunity_id"))).alias("won_deals"),
+    keyed = deals.groupBy(ACCOUNT_KEY).agg(
+        F.count("opportunity_id").alias("_opps"),
+        F.count(F.when(F.col("_won"), F.col("opportunity_id"))).alias("_wins"),
+        F.sum("_value").alias("_value"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    g = model.account_names(keyed).groupBy("account").agg(
+        F.sum("_opps").alias("total_opportunities"), F.sum("_wins").alias("won_deals"),
         F.sum("_value").cast("double").alias("lifetime_value"),
         F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"))
-    products = _pair_counts(cells.filter("_won"), "product", "unique_products_purchased")
+    bought = model.account_names(cells.filter("_won").select(ACCOUNT_KEY, "product").distinct())
+    products = _pair_counts(bought, "product", "unique_products_purchased")
     acc = model.accounts().select("account", "sector", "year_established",
                                   F.col("revenue").alias("company_revenue"), "employees",
                                   "office_location")
@@ -69,17 +73,20 @@ def touchpoints(model: CrmModel, sort: bool = True) -> DataFrame:
     Distinct (account, agent key) and (account, product) pairs are counted;
     agents are named only after that, so fact rows never meet the agents' table.
     """
-    p = model.agent_keyed_pipeline("account", "engage_date", "close_date", "product")
+    p = model.account_keyed_pipeline(AGENT_KEY, "engage_date", "close_date", "product")
     d = C.day_diff("engage_date", "close_date")
-    cells = reliable_checkpoint(p.groupBy("account", AGENT_KEY, "product").agg(
+    cells = reliable_checkpoint(p.groupBy(ACCOUNT_KEY, AGENT_KEY, "product").agg(
         F.sum(d).alias("_sum"), F.count(d).alias("_n"), F.min(d).alias("_lo"), F.max(d).alias("_hi")))
-    g = cells.groupBy("account").agg(
+    keyed = cells.groupBy(ACCOUNT_KEY).agg(
+        F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    g = model.account_names(keyed).groupBy("account").agg(
         (F.sum("_sum").cast("double") / C.nullif_zero(F.sum("_n")).cast("double"))
         .alias("avg_engagement_to_close_days"),
         F.min("_lo").alias("fastest_close_days"), F.max("_hi").alias("longest_close_days"))
-    agents = model.agent_names(cells.select("account", AGENT_KEY).distinct())
+    agents = model.account_names(model.agent_names(cells.select(ACCOUNT_KEY, AGENT_KEY).distinct()))
+    products = model.account_names(cells.select(ACCOUNT_KEY, "product").distinct())
     g = _with_counts(g, _pair_counts(agents, "sales_agent", "unique_sales_agents"), "unique_sales_agents")
-    g = _with_counts(g, _pair_counts(cells, "product", "unique_products_considered"),
+    g = _with_counts(g, _pair_counts(products, "product", "unique_products_considered"),
                      "unique_products_considered")
     g = g.select("account", "avg_engagement_to_close_days", "fastest_close_days", "longest_close_days",
                  "unique_sales_agents", "unique_products_considered")

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
+from . import _stats as S
 
 DEFAULT_AS_OF = "2018-04-15"
 
@@ -30,11 +31,9 @@ def churn_status(model: CrmModel, as_of: str | None = None,
                  tiers=CHURN_TIERS, default: str = CHURN_DEFAULT, sort: bool = True) -> DataFrame:
     """Q4: first/last purchase, days since last purchase and a retention label."""
     as_of = _as_of(model, as_of)
-    p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id")
-    g = (p.filter(C.is_won()).groupBy("account")
-         .agg(F.min("close_date").alias("first_purchase_date"),
-              F.max("close_date").alias("last_purchase_date"),
-              F.count("opportunity_id").alias("purchase_count")))
+    g = S.per_account(model, ("deal_stage", "close_date", "opportunity_id"), {
+        "first_purchase_date": ("min", "close_date"), "last_purchase_date": ("max", "close_date"),
+        "purchase_count": ("count", "opportunity_id")}, C.is_won())
     out = g.select("account", "first_purchase_date", "last_purchase_date",
                    C.days_since("last_purchase_date", as_of).alias("days_since_last_purchase"),
                    "purchase_count")
@@ -47,9 +46,8 @@ def churn_status(model: CrmModel, as_of: str | None = None,
 
 def purchase_counts(model: CrmModel) -> DataFrame:
     """Q5: number of won deals per account (the NULL account is its own group)."""
-    p = model.pipeline("account", "deal_stage", "opportunity_id")
-    return p.filter(C.is_won()).groupBy("account").agg(
-        F.count("opportunity_id").alias("purchase_count"))
+    return S.per_account(model, ("deal_stage", "opportunity_id"),
+                         {"purchase_count": ("count", "opportunity_id")}, C.is_won())
 
 
 def repeat_purchase_rate(model: CrmModel) -> DataFrame:
@@ -71,10 +69,8 @@ def _account_months(model: CrmModel) -> DataFrame:
     window, so a window partition holds at most one row per month of history
     however many deals a hot account has.
     """
-    p = model.pipeline("account", "deal_stage", "close_date")
-    m = (p.filter(C.is_won() & F.col("account").isNotNull())
-         .select("account", C.month_index("close_date").alias("ym"))
-         .groupBy("account", "ym").agg(F.count(F.lit(1)).alias("deals")))
+    m = S.per_account(model, ("deal_stage", "close_date"), {"deals": ("count", F.lit(1))}, C.is_won(),
+                      {"ym": C.month_index("close_date")}).filter(F.col("account").isNotNull())
     return m.withColumn("first_ym", F.min("ym").over(Window.partitionBy("account")))
 
 
@@ -135,9 +131,8 @@ _GRANULARITY = {
 def active_periods(model: CrmModel, granularity: str = "year") -> DataFrame:
     """Distinct (account, period) pairs of accounts with a won deal closing in the period."""
     to_idx, _ = _GRANULARITY[granularity]
-    p = model.pipeline("account", "deal_stage", "close_date")
-    return (p.filter(C.is_won() & F.col("account").isNotNull() & F.col("close_date").isNotNull())
-            .select("account", to_idx(F.col("close_date")).alias("period")).distinct())
+    return S.per_account(model, ("deal_stage", "close_date"), {}, C.is_won() & F.col("close_date").isNotNull(),
+                         {"period": to_idx(F.col("close_date"))}).filter(F.col("account").isNotNull())
 
 
 def period_retention(model: CrmModel, granularity: str = "year", sort: bool = True) -> DataFrame:

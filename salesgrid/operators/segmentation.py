@@ -10,6 +10,7 @@ from ..plans import ranking
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
+from . import _stats as S
 from .retention import _as_of
 
 # RFM segment rules, checked in this order; the first match wins.
@@ -57,11 +58,10 @@ def rfm_segments(model: CrmModel, as_of: str | None = None, tiles: int = 5,
     exact NTILEs share one distributed sort of narrow (score, value, account) rows.
     """
     as_of = _as_of(model, as_of)
-    p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id", "close_value")
-    base = (p.filter(C.is_won()).groupBy("account")
-            .agg(C.days_since(F.max("close_date"), as_of).alias("recency_days"),
-                 F.count("opportunity_id").alias("frequency"),
-                 F.sum("close_value").alias("monetary")))
+    base = S.per_account(model, ("deal_stage", "close_date", "opportunity_id", "close_value"), {
+        "_last": ("max", "close_date"), "frequency": ("count", "opportunity_id"),
+        "monetary": ("sum", "close_value")}, C.is_won())
+    base = base.select("account", C.days_since("_last", as_of).alias("recency_days"), "frequency", "monetary")
     base = reliable_checkpoint(base)
     scored = ranking.add_ntiles(base, "account", {
         "r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}, tiles)
@@ -93,11 +93,11 @@ def value_segments(model: CrmModel, quantile: float = 0.75, sort: bool = True) -
     attaching the account's attributes afterwards, because ``account`` is the
     accounts key; so the fact table is aggregated first and joined after.
     """
-    p = model.pipeline("account", "deal_stage", "close_value", "opportunity_id")
-    g = (p.filter(C.is_won()).groupBy("account")
-         .agg(C.money_mean("close_value").alias("avg_deal_size"),
-              F.count("opportunity_id").alias("purchase_frequency"),
-              C.money_sum("close_value").alias("total_spend")))
+    g = S.per_account(model, ("deal_stage", "close_value", "opportunity_id"), {
+        "_sum": ("sum", "close_value"), "_n": ("count", "close_value"),
+        "purchase_frequency": ("count", "opportunity_id")}, C.is_won())
+    g = g.select("account", C.ratio("_sum", "_n").alias("avg_deal_size"), "purchase_frequency",
+                 F.col("_sum").cast("double").alias("total_spend"))
     acc = model.accounts().select("account", "sector", "revenue")
     cv = reliable_checkpoint(g.join(acc, "account", "left"))
     pct = ranking.percentiles(cv, ["avg_deal_size", "purchase_frequency"], [quantile])
@@ -135,11 +135,11 @@ def health_score(model: CrmModel, as_of: str | None = None,
     as_of = as_of or model.param("as_of")
     if as_of is None:
         raise ValueError("health_score needs an as_of date")
-    p = model.pipeline("account", "deal_stage", "close_date", "opportunity_id", "close_value")
-    comp = (p.filter(C.is_won()).groupBy("account")
-            .agg(C.days_since(F.max("close_date"), as_of).alias("_days"),
-                 F.count("opportunity_id").alias("frequency_score"),
-                 C.money_sum("close_value").alias("monetary_score")))
+    comp = S.per_account(model, ("deal_stage", "close_date", "opportunity_id", "close_value"), {
+        "_last": ("max", "close_date"), "frequency_score": ("count", "opportunity_id"),
+        "_sum": ("sum", "close_value")}, C.is_won())
+    comp = comp.select("account", C.days_since("_last", as_of).alias("_days"), "frequency_score",
+                       F.col("_sum").cast("double").alias("monetary_score"))
     comp = comp.select("account",
                        ((F.lit(1.0) / C.nullif_zero("_days").cast("double")) * F.lit(1000.0))
                        .alias("recency_score"),
@@ -173,13 +173,13 @@ def churn_risk(model: CrmModel, as_of: str | None = None, day_weight: float = 0.
     count and average value (an average of 0 makes the score NULL).
     """
     as_of = _as_of(model, as_of)
-    p = model.pipeline("account", "deal_stage", "close_date", "engage_date",
-                       "opportunity_id", "close_value")
-    g = (p.filter(C.is_won()).groupBy("account")
-         .agg(F.max("close_date").alias("last_purchase_date"),
-              F.count("opportunity_id").alias("purchase_count"),
-              C.mean(C.day_diff("engage_date", "close_date")).alias("avg_sales_cycle"),
-              C.money_mean("close_value").alias("avg_purchase_value")))
+    days = C.day_diff("engage_date", "close_date")
+    g = S.per_account(model, ("deal_stage", "close_date", "engage_date", "opportunity_id", "close_value"), {
+        "last_purchase_date": ("max", "close_date"), "purchase_count": ("count", "opportunity_id"),
+        "_days": ("sum", days), "_timed": ("count", days), "_sum": ("sum", "close_value"),
+        "_n": ("count", "close_value")}, C.is_won())
+    g = g.select("account", "last_purchase_date", "purchase_count", C.ratio("_days", "_timed").alias("avg_sales_cycle"),
+                 C.ratio("_sum", "_n").alias("avg_purchase_value"))
     g = g.withColumn("days_since_purchase", C.days_since("last_purchase_date", as_of))
     den = (C.nullif_zero("purchase_count").cast("double") * F.lit(float(count_weight))
            + C.nullif_zero("avg_purchase_value") * F.lit(float(value_weight)) + F.lit(1.0))

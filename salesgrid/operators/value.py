@@ -14,6 +14,7 @@ from ..functions import columns as C
 from ..plans.joins import single_row
 from ..plans.model import CrmModel
 from ..session import reliable_checkpoint
+from . import _stats as S
 
 
 def average_order_value(model: CrmModel) -> DataFrame:
@@ -22,24 +23,22 @@ def average_order_value(model: CrmModel) -> DataFrame:
     return p.agg(C.money_mean("close_value").alias("average_order_value"))
 
 
+_SUMMARY_COLUMNS = ("deal_stage", "close_value", "close_date", "opportunity_id")
+_SUMMARY_PARTS = {"_v_sum": ("sum", "close_value"), "_v_n": ("count", "close_value"),
+                  "_opps": ("count", "opportunity_id"), "_first": ("min", "close_date"),
+                  "_last": ("max", "close_date")}
+
+
 def _won_account_summary(model: CrmModel) -> DataFrame:
-    p = model.pipeline("account", "deal_stage", "close_value", "close_date", "opportunity_id")
-    return (p.filter(C.is_won())
-            .groupBy("account")
-            .agg(C.money_mean("close_value").alias("avg_value_per_deal"),
-                 F.count("opportunity_id").alias("total_deals"),
-                 F.min("close_date").alias("_first"),
-                 F.max("close_date").alias("_last")))
+    g = S.per_account(model, _SUMMARY_COLUMNS, _SUMMARY_PARTS, C.is_won())
+    return g.select("account", C.ratio("_v_sum", "_v_n").alias("avg_value_per_deal"),
+                    F.col("_opps").alias("total_deals"), "_first", "_last")
 
 
 def _won_account_years(model: CrmModel) -> DataFrame:
     """Won deals per (account, close year): additive parts of the per-account summary."""
-    p = model.pipeline("account", "deal_stage", "close_value", "close_date", "opportunity_id")
-    return (p.filter(C.is_won())
-            .groupBy("account", F.year("close_date").cast("bigint").alias("year"))
-            .agg(F.sum("close_value").alias("_v_sum"), F.count("close_value").alias("_v_n"),
-                 F.count("opportunity_id").alias("_opps"),
-                 F.min("close_date").alias("_first"), F.max("close_date").alias("_last")))
+    return S.per_account(model, _SUMMARY_COLUMNS, _SUMMARY_PARTS, C.is_won(),
+                         {"year": F.year("close_date").cast("bigint")})
 
 
 def _summary_from_years(years: DataFrame) -> DataFrame:
@@ -88,11 +87,12 @@ def acquisition_cost_proxy(model: CrmModel, daily_cost: float = 100.0, sort: boo
     here it is one aggregate (one shuffle). The join dropped the NULL account
     group, so it is filtered out explicitly.
     """
-    p = model.pipeline("account", "deal_stage", "engage_date", "close_date", "close_value")
-    g = (p.filter(C.is_won() & F.col("account").isNotNull())
-         .groupBy("account")
-         .agg(C.mean(C.day_diff("engage_date", "close_date")).alias("avg_sales_cycle_days"),
-              C.money_sum("close_value").alias("_total")))
+    days = C.day_diff("engage_date", "close_date")
+    g = S.per_account(model, ("deal_stage", "engage_date", "close_date", "close_value"), {
+        "_days": ("sum", days), "_timed": ("count", days), "_sum": ("sum", "close_value")}, C.is_won())
+    g = g.filter(F.col("account").isNotNull()).select(
+        "account", C.ratio("_days", "_timed").alias("avg_sales_cycle_days"),
+        F.col("_sum").cast("double").alias("_total"))
     cac = F.col("avg_sales_cycle_days") * F.lit(float(daily_cost))
     out = g.select(
         "account", "avg_sales_cycle_days",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..schemas import PIPELINE_COLUMNS, VIEW_DIMENSION_COLUMNS
 
 AGENT_KEY = "_agent_key"
+ACCOUNT_KEY = "_account_key"
 
 
 class CrmModel:
@@ -27,6 +28,8 @@ class CrmModel:
                  view: Callable[[tuple[str, ...]], DataFrame] | None = None,
                  agent_key: tuple[Callable[[tuple[str, ...]], DataFrame],
                                   Callable[[], DataFrame]] | None = None,
+                 account_key: tuple[Callable[[tuple[str, ...]], DataFrame],
+                                    Callable[[], DataFrame]] | None = None,
                  **params):
         self._pipeline = pipeline
         # optional source-specific builder of the joined view (same result as
@@ -34,6 +37,8 @@ class CrmModel:
         self._view = view
         # optional surrogate agent key: (fact columns + AGENT_KEY, AGENT_KEY -> agent rows)
         self._agent_key = agent_key
+        # the same for accounts: (fact columns + keys, ACCOUNT_KEY -> account)
+        self._account_key = account_key
         self._dims = {"accounts": accounts, "products": products, "sales_teams": sales_teams}
         # dataset parameters (as-of date, home country, reference year, ...)
         self.params = dict(params)
@@ -56,6 +61,8 @@ class CrmModel:
                     view=lambda cols: starmap.star_from_tpch(tables, cols),
                     agent_key=(lambda cols: starmap.star_from_tpch(tables, (AGENT_KEY, *cols)),
                                lambda: starmap.agents_by_key(tables)),
+                    account_key=(lambda cols: starmap.star_from_tpch(tables, (ACCOUNT_KEY, *cols)),
+                                 lambda: starmap.accounts_by_key(tables)),
                     **params)
         return require_valid_keys(model) if validate_keys else model
 
@@ -94,6 +101,26 @@ class CrmModel:
             return self._agent_key[0](tuple(columns))
         return self.pipeline("sales_agent", *columns).withColumnRenamed("sales_agent", AGENT_KEY)
 
+    def account_keyed_pipeline(self, *columns: str) -> DataFrame:
+        """Fact columns (``AGENT_KEY`` among them, if wanted) plus ``ACCOUNT_KEY``.
+
+        Aggregating by the key and naming afterwards (``account_names``) joins
+        aggregated rows only with the accounts' names.
+        """
+        if self._account_key is not None:
+            return self._account_key[0](tuple(columns))
+        cols = ["sales_agent" if c == AGENT_KEY else c for c in columns]
+        return self.pipeline("account", *cols).withColumnRenamed("account", ACCOUNT_KEY) \
+            .withColumnRenamed("sales_agent", AGENT_KEY)
+
+    def account_names(self, keyed: DataFrame) -> DataFrame:
+        """``account`` instead of ``ACCOUNT_KEY``. Keys without a name all become NULL,
+        so rows of one account (that of NULL) may have to be merged again.
+        """
+        if self._account_key is not None:
+            return keyed.join(self._account_key[1](), ACCOUNT_KEY, "left").drop(ACCOUNT_KEY)
+        return keyed.withColumnRenamed(ACCOUNT_KEY, "account")
+
     def agent_names(self, keyed: DataFrame) -> DataFrame:
         """Attach sales_agent, manager and regional_office to rows carrying ``AGENT_KEY``.
 

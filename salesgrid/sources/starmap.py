@@ -98,6 +98,8 @@ def sales_teams_from_tpch(tables) -> DataFrame:
 # Surrogate key of the agent on the fact side: the supplier key. Metrics that
 # group by agent aggregate by it and attach names to the aggregated rows only.
 AGENT_KEY = "_agent_key"
+# Likewise of the account: the order's customer key (NULL where there is no account).
+ACCOUNT_KEY = "_account_key"
 
 _ACCOUNT_ATTRS = VIEW_DIMENSION_COLUMNS["accounts"]
 _TEAM_ATTRS = VIEW_DIMENSION_COLUMNS["sales_teams"]
@@ -116,7 +118,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     """
     cols = tuple(columns)
     allowed = (set(PIPELINE_COLUMNS) | set(_ACCOUNT_ATTRS) | set(_TEAM_ATTRS)
-               | set(_PRODUCT_ATTRS) | {AGENT_KEY})
+               | set(_PRODUCT_ATTRS) | {AGENT_KEY, ACCOUNT_KEY})
     unknown = set(cols) - allowed
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
@@ -125,7 +127,8 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     team_attrs = [c for c in _TEAM_ATTRS if c in wanted]
     prod_attrs = [c for c in _PRODUCT_ATTRS if c in wanted]
     need_account = "account" in wanted or bool(acc_attrs)
-    need_orders = need_account or bool(wanted & {"engage_date", "close_date"})
+    need_key = need_account or ACCOUNT_KEY in wanted
+    need_orders = need_key or bool(wanted & {"engage_date", "close_date"})
     need_team = "sales_agent" in wanted or bool(team_attrs)
 
     li_cols = ["l_returnflag", "l_linestatus"]
@@ -135,7 +138,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         li_cols += ["l_partkey"]
     if need_team or AGENT_KEY in wanted:
         li_cols += ["l_suppkey"]
-    if need_account:
+    if need_key:
         li_cols += ["l_linenumber"]
     if need_orders:
         li_cols += ["l_orderkey"]
@@ -147,7 +150,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
 
     if need_orders:
         o_cols = ["o_orderkey"]
-        if need_account:
+        if need_key:
             o_cols.append("o_custkey")
         if wanted & {"engage_date", "close_date"}:
             o_cols.append("o_orderdate")
@@ -190,6 +193,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
             .when(stage == F.lit("Lost"), F.lit(0).cast(CLOSE_VALUE))),
     }
     exprs[AGENT_KEY] = lambda: F.col("l_suppkey")
+    exprs[ACCOUNT_KEY] = lambda: F.when(no_account, F.lit(None)).otherwise(F.col("o_custkey"))
     for c in acc_attrs:
         exprs[c] = (lambda c=c: F.when(no_account, F.lit(None)).otherwise(F.col(f"_a_{c}")))
     for c in team_attrs + prod_attrs:
@@ -206,6 +210,11 @@ def pipeline_from_tpch(tables, columns: Iterable[str] | None = None) -> DataFram
     return star_from_tpch(tables, cols)
 
 
+def accounts_by_key(tables) -> DataFrame:
+    """``_account_key`` (customer key) with the account's name."""
+    return tables["customer"].select(F.col("c_custkey").alias(ACCOUNT_KEY), F.col("c_name").alias("account"))
+
+
 def agents_by_key(tables) -> DataFrame:
     """``_agent_key`` (supplier key) with the agent's name, manager and office."""
     return _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)

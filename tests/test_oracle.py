@@ -51,6 +51,21 @@ def test_without_broadcasts_matches_oracle(spark, con, name):
     assert err is None, err
 
 
+def test_orders_of_unknown_customers_match_oracle(spark, tmp_path):
+    """Accounts are aggregated by key and named afterwards: keys without a name are the NULL account."""
+    import shutil
+    shutil.copytree(SF, tmp_path / "sf")
+    spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey % 3 <> 0").coalesce(1) \
+        .write.parquet(str(tmp_path / "part"))
+    (part,) = (tmp_path / "part").glob("part-*.parquet")
+    part.replace(tmp_path / "sf" / "customer.parquet")
+    sf = str(tmp_path / "sf")
+    for name in ("churn_status", "customer_360", "touchpoints", "product_performance", "cross_sell", "rfm_segments",
+                 "industry_performance", "cohort_retention", "predicted_clv", "account_features"):
+        err = compare(spark, duck(sf), sf, name, E.queries()[name], E.oracle_sql()[name])
+        assert err is None, (name, err)
+
+
 def test_oracle_shares_nothing_with_the_library():
     import crm_oracle
     assert "salesgrid" not in open(crm_oracle.__file__).read()

@@ -116,6 +116,22 @@ def test_no_single_task_stage_over_unbounded_input(spark, steps):
             spark.conf.set(k, v)
 
 
+def test_accounts_are_named_after_aggregation(spark, model, steps):
+    """Without broadcasts, orders are not shuffled to the customers: only aggregated rows are."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, fn in crm_queries().items():
+            if name in ML or name == "crm_view":
+                continue
+            steps.clear()
+            final = plan(fn(spark, SF))
+            for p in [*steps, final]:
+                assert "hashpartitioning(o_custkey" not in p, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_distinct_counts_without_row_copies(model, steps):
     """customer_360 and touchpoints: no Expand, and fact rows never meet the agents' table."""
     for fn in (O.customer_360, O.touchpoints):

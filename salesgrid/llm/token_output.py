@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 TAIL = ".,;:!?"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
@@ -71,43 +71,100 @@ def pieces(texts: pa.Array) -> textops.Words:
 
 
 class _Encoder:
-    """Ids of pieces, looked up by hash; new ones go through the tokenizer."""
+    """Ids of pieces, looked up by hash in an open-addressing table; new ones go through the tokenizer.
+
+    New pieces are encoded many at a time, with a special token between them: it
+    is taken out of the text first, so that what stands on either side is encoded
+    on its own, and its id shows where each piece ends. A piece that could hold
+    special tokens itself (it has "<") is encoded alone.
+    """
+
+    AT_ONCE = 512
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.between, self.between_id = next(((k, i) for k, i in special.items() if "<" in k), (None, None))
         self.clear()
 
-    def clear(self) -> None:
-        self.place: dict[int, int] = {}
+    def clear(self, words: int | None = None) -> None:
+        size = 1 << int(np.ceil(np.log2(2 * (words or CACHE_WORDS))))
+        self.keys = np.zeros(size, np.uint64)        # 0: a free slot
+        self.place = np.zeros(size, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
-
-    def _learn(self, w: textops.Words, at: np.ndarray, hashes: list[int]) -> None:
-        body = w.data
-        texts = [bytes(body[a:b]).decode() for a, b in zip(w.start[at], w.end[at])]
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in found for i in ids), np.int32)
-        used = self.ends[-1]
+        self.ends = np.zeros(1, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for unknown ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(hashes), -1, np.int64)
+        todo, slot = np.arange(len(hashes)), (hashes & mask).astype(np.int64)
+        while len(todo):
+            seen = self.keys[slot]
+            hit = seen == hashes[todo]
+            out[todo[hit]] = self.place[slot[hit]]
+            more = ~hit & (seen != 0)
+            todo, slot = todo[more], (slot[more] + 1) & int(mask)
+        return out
+
+    def _put(self, hashes: np.ndarray, place: np.ndarray) -> None:
+        """Add distinct new hashes."""
+        mask = len(self.keys) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(slot):
+            free = self.keys[slot] == 0
+            first = np.zeros(len(slot), bool)
+            first[np.unique(slot, return_index=True)[1]] = True     # one of those that want a slot
+            fits = free & first
+            self.keys[slot[fits]], self.place[slot[fits]] = hashes[fits], place[fits]
+            hashes, place, slot = hashes[~fits], place[~fits], (slot[~fits] + 1) & mask
+
+    def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.between and "<" not in t]
+        for at in range(0, len(plain), self.AT_ONCE):
+            some = plain[at:at + self.AT_ONCE]
+            joined = self.between.join([texts[i] for i in some])
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(ids == self.between_id)
+            begins = np.concatenate([[0], cuts + 1])
+            for i, a, b in zip(some, begins.tolist(), [*cuts.tolist(), len(ids)]):
+                out[i] = ids[a:b]
+        known = set(plain)
+        for i, t in enumerate(texts):
+            if i not in known:
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+        return out
+
+    def _learn(self, w: textops.Words, hashes: np.ndarray, at: np.ndarray) -> None:
+        distinct, first = np.unique(hashes, return_index=True)
+        spans = zip(w.start[at[first]].tolist(), w.end[at[first]].tolist())
+        found = self._ids_of([w.data[a:b].tobytes().decode() for a, b in spans])
+        flat = np.concatenate(found)
+        used = int(self.ends[-1])
         if used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * len(flat), np.int32)])
         self.ids[used:used + len(flat)] = flat
-        self.place.update(zip(hashes, range(len(self.place), len(self.place) + len(hashes))))
-        self.ends.extend((used + np.cumsum([len(ids) for ids in found])).tolist())
+        self._put(distinct, np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(distinct), dtype=np.int32))
+        self.ends = np.concatenate([self.ends, used + np.cumsum([len(x) for x in found])])
 
     def encode(self, w: textops.Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows with the end id after each, and the row offsets."""
-        distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > CACHE_WORDS:
-            self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
-            self._learn(w, first[new], [keys[i] for i in new])
-        place = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))
-        ends = np.asarray(self.ends, np.int64)
-        begin, size = ends[place][inverse], (ends[place + 1] - ends[place])[inverse]
+        hashes = np.maximum(w.hash, np.uint64(1))
+        place = self._find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.ends) + len(new) > CACHE_WORDS:     # full, at the worst: start anew with this slice
+                distinct = len(np.unique(hashes[new]))
+                if len(self.ends) + distinct > CACHE_WORDS:
+                    self.clear(max(CACHE_WORDS, len(hashes)))
+                    new = np.arange(len(hashes))
+            self._learn(w, hashes[new], new)
+            place[new] = self._find(hashes[new])
+        begin, size = self.ends[place], self.ends[place + 1] - self.ends[place]
         before = np.concatenate([[0], np.cumsum(size)])
         offsets = before[w.first] + np.arange(len(w) + 1)
         gaps = np.repeat(begin - before[:-1], size) + np.arange(before[-1])
@@ -171,9 +228,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int
     writer.parquet(path)
 
 
-def starts(tokens: DataFrame) -> DataFrame:
-    """The table with ``start`` (ids of all documents before) instead of tokens; reads metadata only."""
-    parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+def starts(tokens: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The table with ``start``: the ids of all documents before.
+
+    Reads metadata only; ``sizes`` is where (part, n_tokens) are read from, if not there.
+    """
+    parts = (tokens if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("size"))
     offsets = parts.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("offset"))
     inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("pos")) - F.col("n_tokens")
     return tokens.withColumn("inside", inside).join(offsets, "part") \
@@ -196,4 +256,5 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     tokens = spark.read.parquet(path).select("part", "pos", "doc_id", "n_tokens", "tokens")
     kind = tokens.schema["doc_id"].dataType.simpleString()
     summed = tokens.mapInArrow(_checksums, f"part int, pos long, doc_id {kind}, n_tokens long, ids_crc32 long")
-    return starts(summed).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sizes = spark.read.parquet(path).select("part", "n_tokens")
+    return starts(summed, sizes).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -45,6 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch, textops
+from .bitmap import Bitmap
 from .components import connected_components
 
 SHINGLE = 5
@@ -258,10 +259,18 @@ def candidates(posted: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(class, items): whole sets of the classes in ``first`` (class, doc_id, n)."""
+    """(class, items): whole sets of the classes in ``first`` (class, doc_id, n).
+
+    A bitmap of the wanted ids tells the tasks which texts to work on, so that
+    texts needn't be shuffled; the join by class drops what it lets through.
+    """
+    ident = F.xxhash64("doc_id")
+    wanted = Bitmap(first.select(ident.alias("key")), first.count())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in textops.slices(batch):
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            for piece in textops.slices(batch.filter(pa.array(wanted.has(keys)))):
                 sets = list(shingle_sets(piece.column("text")))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -269,10 +278,8 @@ def sets_of(docs: DataFrame, first: DataFrame) -> DataFrame:
                     [pa.array([class_of(s) for s in sets], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["class", "items"])
 
-    texts = docs.join(first.select(F.col("doc_id").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("wanted")),
-                      "left_semi").select("text")
-    # A repeated id can bring other texts along: only wanted classes stay, each once.
-    return texts.mapInArrow(run, "class long, items array<long>").join(first.select("class"), "class", "left_semi") \
+    return docs.select(ident.alias("key"), "text").mapInArrow(run, "class long, items array<long>") \
+        .join(first.select("class"), "class", "left_semi") \
         .groupBy("class").agg(F.any_value("items").alias("items"))
 
 

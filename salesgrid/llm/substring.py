@@ -20,7 +20,7 @@ repeats go; windows are judged on the input. Every repeat is found:
    with every window as a run of its own, which needs no automaton.
 
 What steps 2 and 3 read again from the texts is found with bitmaps of at most
-``MAX_BITS`` bits (a fixed bound, built by a distributed ``bit_or``); a false hit is dropped
+``bitmap.MAX_BITS`` bits (a fixed bound); a false hit is dropped
 by a join, and a full bitmap costs time, not results.
 
 Defined results: a null text has no words; a null id comes last; rows that
@@ -40,12 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textops
+from .bitmap import Bitmap
 
 WINDOW = 20
 GRAM = 8
 MAX_RUN = 64               # windows of a run
 MAX_CONTENTS = 1024        # different runs of an anchor in one automaton
-MAX_BITS = 1 << 30
 LAST = (1 << 63) - 1       # the order of a null id
 
 
@@ -155,26 +155,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
-class Bitmap:
-    """A fixed-size set of 64-bit keys that may say yes to others."""
-
-    def __init__(self, keys: DataFrame, n: int):
-        bits = 1 << int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 16, np.log2(MAX_BITS)))
-        at = F.col("key").bitwiseAND(F.lit(bits - 1))
-        bit = F.expr(f"shiftleft(1L, CAST(key & 63 AS INT))")
-        table = keys.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word") \
-            .agg(F.bit_or("bit").alias("bits")).toPandas()
-        words = np.zeros(bits // 64, np.int64)
-        words[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
-        self.mask = np.uint64(bits - 1)
-        self.words = keys.sparkSession.sparkContext.broadcast(words.view(np.uint64))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        word = self.words.value[(at >> np.uint64(6)).astype(np.int64)]
-        return (word >> (keys & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in textops.slices(batch):

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from salesgrid.llm import queries, substring
+from salesgrid.llm import bitmap, queries, substring
 
 from .helpers import docs, prose, words
 
@@ -60,7 +60,7 @@ def test_generated_tables_against_brute_force(spark, monkeypatch):
 
 
 def test_full_bitmap_costs_no_result(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MAX_BITS", 1 << 16)
+    monkeypatch.setattr(bitmap, "MAX_BITS", 1 << 16)
     rows = next(_tables())
     assert _found(substring.remove_repeats(docs(spark, rows))) == _brute(rows)
 

@@ -19,6 +19,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node either links to one smaller node or is only linked to."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return degrees.agg(F.count(F.when((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)), 1))) \
+        .first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (u, v): the smallest node reachable.
 
@@ -32,12 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     clean = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     table, path = scratch.write(
         clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        state = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _is_forest(table):
         wide, middle = scratch.write(_star(table, large=True), "edges")
         table, fresh = scratch.write(_star(wide, large=False), "edges")
         scratch.remove(spark, path, middle)

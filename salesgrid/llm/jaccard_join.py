@@ -453,12 +453,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     parts = connected_components(links.toDF("u", "v"))
     rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more, _ = scratch.write(verified(apart(rest, parts), sets, threshold), "jaccard-links")
-    links = links.unionByName(more)
-    parts = connected_components(links.toDF("u", "v"))
     last, _ = scratch.write(long_list_links(heavy, parts, needed.select("class", "n"), sets, threshold),
                             "jaccard-links")
-    if not last.isEmpty():
-        parts = connected_components(links.unionByName(last).toDF("u", "v"))
+    parts = connected_components(links.unionByName(more).unionByName(last).toDF("u", "v"))
     scratch.remove(spark, pairs_path, heavy_path, sets_path)
     grouped = documents.join(parts.select(F.col("node").alias("class"), "component"), "class", "left") \
         .withColumn("component", F.coalesce("component", "class"))

@@ -5,17 +5,18 @@ of its documents: character classes, and its ``COMMON_WORDS`` words of the
 highest document frequency (and one class for all other words). Each document
 counts the same, so long or repetitive texts don't bend a reference. Histograms
 are summed per Arrow batch before they are shuffled, as whole numbers, so that
-reruns agree. Of the languages, the ``MAX_LANGUAGES`` with the most documents
-are taken (a bound on what is broadcast); one needs ``MIN_DOCUMENTS`` documents.
+reruns agree. Every language of at least ``MIN_DOCUMENTS`` documents has one.
 
-``judge`` compares a document's two histograms with the references by
-Jensen-Shannon distance (base 2, 0 to 1) and takes the nearest language of each.
-A distance is expected to shrink with the text's length n (in words), so the
-limits are ``base + slope / sqrt(n)``. Texts under ``MIN_WORDS`` words are not
-judged by divergence: their histograms say too little.
+``judge`` compares a document's two histograms with the reference of its own
+language by Jensen-Shannon distance (base 2, 0 to 1). Only what is far from that
+is compared with all references, as its language may be a wrong one; the nearest
+of each counts. A distance is expected to shrink with the text's length n (in
+words), so the limits are ``base + slope / sqrt(n)``. Texts under ``MIN_WORDS``
+words are not judged by divergence: their histograms say too little.
 
 Defined results: a null text has no words (all counts 0, base_failed); a null
-language is no reference; without any reference only the base rules decide;
+language is no reference; where a document's language has no reference (too few
+documents, or null), only the base rules decide and both distances are 0;
 repeated rows give repeated rows; an empty table gives an empty result. Only id,
 text and language are read, so other columns cannot clash (``accepted`` carries all).
 """
@@ -31,10 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import scratch, textops
+from . import textops
 
 COMMON_WORDS = 100
-MAX_LANGUAGES = 256
 MIN_DOCUMENTS = 50
 MIN_WORDS = 50
 SCALE = 10**9            # shares are summed in whole billionths
@@ -160,34 +160,33 @@ class Reference:
     class_share: np.ndarray
 
 
+def _reference(lang: str, n: int, words: pa.Array, classes: pa.Array) -> Reference:
+    hashes = words.field("item").to_numpy(zero_copy_only=False).view(np.uint64)
+    order = np.argsort(hashes)
+    share = words.field("share").to_numpy(zero_copy_only=False).astype(np.float64)[order] / (n * SCALE)
+    by_class = classes.field("share").to_numpy(zero_copy_only=False).astype(np.float64)
+    return Reference(lang, hashes[order], np.append(share, max(0.0, 1.0 - share.sum())), by_class / by_class.sum())
+
+
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang",
-               common_words: int = COMMON_WORDS, max_languages: int = MAX_LANGUAGES,
-               min_documents: int = MIN_DOCUMENTS) -> list[Reference]:
-    """The references of a corpus: at most ``max_languages`` of ``common_words`` entries each."""
+               common_words: int = COMMON_WORDS, min_documents: int = MIN_DOCUMENTS) -> list[Reference]:
+    """The references of a corpus: ``common_words`` entries for each language of ``min_documents`` documents."""
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"),
                        F.col(f"`{lang}`").cast("string").alias("lang"))
     sums = rows.mapInArrow(_profiles, _PROFILE).groupBy("lang", "kind", "item") \
         .agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
     ranked = sums.withColumn("place", F.row_number().over(
         W.partitionBy("lang", "kind").orderBy(F.col("docs").desc(), "item")))
-    ranked = ranked.filter(F.col("place") <= max(common_words, N_CLASSES))
-    found, path = scratch.write(ranked.filter((F.col("kind") == 1) | (F.col("place") <= common_words)),
-                                "language-profiles")
-    size = found.filter("kind = 1").groupBy("lang").agg(F.max("docs").alias("n")) \
-        .filter(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "lang").limit(max_languages)
-    table = found.join(size, "lang").toPandas()
-    scratch.remove(docs.sparkSession, path)
-    out = []
-    for name, part in sorted(table.groupby("lang")):
-        n = int(part["n"].iloc[0])
-        word = part[part["kind"] == 0]
-        hashes = word["item"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        share = word["share"].to_numpy(np.float64)[order] / (n * SCALE)
-        classes = part[part["kind"] == 1].sort_values("item")["share"].to_numpy(np.float64)
-        out.append(Reference(name, hashes[order], np.append(share, max(0.0, 1.0 - share.sum())),
-                             classes / classes.sum()))
-    return out
+    ranked = ranked.filter(F.col("place") <= max(common_words, N_CLASSES)) \
+        .filter((F.col("kind") == 1) | (F.col("place") <= common_words))
+    entries = lambda kind: F.array_sort(F.collect_list(
+        F.when(F.col("kind") == kind, F.struct("item", "share"))))
+    table = ranked.groupBy("lang").agg(F.max(F.when(F.col("kind") == 1, F.col("docs"))).alias("n"),
+                                       entries(0).alias("words"), entries(1).alias("classes")) \
+        .filter(F.col("n") >= min_documents).toArrow()
+    columns = (table[c] for c in ("lang", "n", "words", "classes"))
+    return sorted((_reference(name.as_py(), n.as_py(), words.values, classes.values)
+                   for name, n, words, classes in zip(*columns)), key=lambda r: r.lang)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -201,37 +200,53 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((half(p) + half(np.broadcast_to(q, p.shape))) / 2, 0.0, 1.0))
 
 
-def distances(w_lower: textops.Words, refs: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each row's class and word histogram from the nearest reference (0 without any)."""
+def distances(w_lower: textops.Words, ref: Reference) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each row's class and word histogram from the reference."""
     n, rows = w_lower.counts(), w_lower.row_of()
     classes = class_counts(w_lower).astype(float)
     classes /= np.maximum(classes.sum(axis=1), 1)[:, None]
-    near_char = np.full(len(n), np.inf)
-    near_word = np.full(len(n), np.inf)
-    for ref in refs:
-        near_char = np.minimum(near_char, distance(classes, ref.class_share))
-        size = len(ref.words)
-        at = np.minimum(np.searchsorted(ref.words, w_lower.hash), size - 1)
-        slot = np.where(ref.words[at] == w_lower.hash, at, size)
-        counts = np.bincount(rows * (size + 1) + slot, minlength=len(n) * (size + 1))
-        shares = counts.reshape(len(n), size + 1) / np.maximum(n, 1)[:, None]
-        near_word = np.minimum(near_word, distance(shares, ref.word_share))
-    if not refs:
-        near_char[:] = near_word[:] = 0.0
-    return near_char, near_word
+    size = len(ref.words)
+    at = np.minimum(np.searchsorted(ref.words, w_lower.hash), size - 1)
+    slot = np.where(ref.words[at] == w_lower.hash, at, size)
+    counts = np.bincount(rows * (size + 1) + slot, minlength=len(n) * (size + 1))
+    shares = counts.reshape(len(n), size + 1) / np.maximum(n, 1)[:, None]
+    return distance(classes, ref.class_share), distance(shares, ref.word_share)
+
+
+def _judged(piece: pa.RecordBatch, n: np.ndarray, refs: dict[str, Reference],
+            limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both distances of each row and whether it is too far (0 and no without a reference of its language)."""
+    char, word, far = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), bool)
+    char_limit, word_limit = ((base + slope / np.sqrt(np.maximum(n, 1))) for base, slope in
+                              ((limits.char_base, limits.char_slope), (limits.word_base, limits.word_slope)))
+    text, langs = piece.column("text"), piece.column("lang").dictionary_encode()
+    code = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    for k, name in enumerate(langs.dictionary.to_pylist()):
+        if name in refs:
+            mine = np.flatnonzero(code == k)
+            char[mine], word[mine] = distances(textops.words(text.take(pa.array(mine)), lower=True), refs[name])
+    asked = np.flatnonzero(((char > char_limit) | (word > word_limit)) & (n >= limits.min_words))
+    if len(asked):
+        w = textops.words(text.take(pa.array(asked)), lower=True)
+        for ref in refs.values():
+            c, d = distances(w, ref)
+            char[asked], word[asked] = np.minimum(char[asked], c), np.minimum(word[asked], d)
+        far[asked] = (char[asked] > char_limit[asked]) | (word[asked] > word_limit[asked])
+    return char, word, far
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, refs: list[Reference], *, text: str = "text", keep: list[str] | None = None,
-          limits: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, refs: list[Reference], *, text: str = "text", lang: str = "lang",
+          keep: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
     """Columns ``keep`` (default: all), the counts, both distances, base_failed and kept."""
     added = [*_COUNTS, "char_distance", "word_distance", "base_failed", "kept"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(kept)],
-                       F.col(f"`{text}`").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(refs)
+                       F.col(f"`{text}`").cast("string").alias("text"),
+                       F.col(f"`{lang}`").cast("string").alias("lang"))
+    shared = docs.sparkSession.sparkContext.broadcast({r.lang: r for r in refs})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +254,9 @@ def judge(docs: DataFrame, refs: list[Reference], *, text: str = "text", keep: l
                 w = textops.words(piece.column("text"))
                 counts = base_counts(w)
                 n = counts["n_words"]
-                char, word = distances(textops.words(piece.column("text"), lower=True), shared.value)
-                root = np.sqrt(np.maximum(n, 1))
+                char, word, far = _judged(piece, n, shared.value, limits)
                 failed = (n < 20) | (100 * counts["n_repeat_words"] > 30 * n)
-                far = (char > limits.char_base + limits.char_slope / root) \
-                    | (word > limits.word_base + limits.word_slope / root)
-                good = ~failed & ~(far & (n >= limits.min_words))
+                good = ~failed & ~far
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(f"in_{i}") for i in range(len(kept))],
                      *[pa.array(counts[c].astype(np.int64)) for c in _COUNTS], pa.array(char),
@@ -262,5 +274,5 @@ def accepted(docs: DataFrame, *, text: str = "text", lang: str = "lang",
              limits: Limits = Limits()) -> DataFrame:
     """The rows that pass, with the input's columns."""
     refs = references(docs, text=text, lang=lang)
-    whole = docs.select(F.col(f"`{text}`").alias("text"), F.struct("*").alias("row"))
+    whole = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.struct("*").alias("row"))
     return judge(whole, refs, keep=["row"], limits=limits).filter("kept").select("row.*")

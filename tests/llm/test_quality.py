@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -123,3 +124,20 @@ def test_references_are_whole_numbers_summed(spark):
     two = quality.references(table.repartition(5))[0]
     assert (one.words == two.words).all() and (one.word_share == two.word_share).all()
     assert (one.class_share == two.class_share).all()
+
+
+def test_small_language_beside_a_large_one(spark):
+    rng = random.Random(12)
+    text = lambda prefix: " ".join(f"{prefix}{min(rng.randrange(60), rng.randrange(60))}" for _ in range(200))
+    rows = [(i, text("en"), "en") for i in range(120)] + [(200 + i, text("ωδ"), "el") for i in range(20)]
+    rows += [(300 + i, text("ωδ"), None) for i in range(3)] + [(400, text("ωδ"), "en")]
+    rows += [(500 + i, text("fr"), "fr") for i in range(60)] + [(600, text("fr"), "en")]     # a wrong label
+    table = docs(spark, rows)
+    kept = {r.doc_id: r.kept for r in quality.judge(table, quality.references(table)).collect()}
+    assert [i for i, good in kept.items() if not good] == [400]
+    assert sorted(r.doc_id for r in quality.accepted(table).collect()) == sorted(set(kept) - {400})
+
+
+def test_every_language_has_a_reference(spark):
+    table = docs(spark, [(i, f"w{i % 300} x y", f"l{i % 300}") for i in range(900)])
+    assert len(quality.references(table, min_documents=3)) == 300

@@ -54,6 +54,7 @@ HOT = 64                    # classes in a list that still gives pairs
 MAX_HOT = 1 << 20           # frequent shingles that are broadcast
 MAX_BOUNDARY = 256          # sizes tried as the boundary
 BLOCK_ELEMENTS = 1 << 18    # elements of a block of a long list
+BLOCK_MEMBERS = 1 << 10     # classes of it: two blocks are compared in matrices of classes
 SEEN_CLASSES = 1 << 20      # classes a task remembers, so that copies are sent once
 SINGLE, SUBSET, HEAVY = 0, 1, 2
 
@@ -327,7 +328,8 @@ def long_list_links(heavy: DataFrame, parts: DataFrame, sizes: DataFrame, sets:
     """Spanning links inside long lists that hold several components.
 
     Lists of equal members count once. A list is cut into blocks of about
-    ``BLOCK_ELEMENTS`` elements, and each pair of blocks is compared in one group.
+    ``BLOCK_ELEMENTS`` elements and ``BLOCK_MEMBERS`` classes at most, and each pair
+    of blocks is compared in one group.
     """
     named = heavy.join(parts.select(F.col("node").alias("class"), "component"), "class", "left") \
         .join(sizes, "class").select("key", "class", F.coalesce("component", "class").alias("component"), "n")
@@ -338,7 +340,8 @@ def long_list_links(heavy: DataFrame, parts: DataFrame, sizes: DataFrame, sets:
                             F.sum("elements").alias("elements"), F.sum("digest").alias("digest"))
     open_lists = lists.filter("components > 1").groupBy("members", "digest").agg(
         F.min("key").alias("key"), F.min("elements").alias("elements")) \
-        .select("key", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+        .select("key", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS),
+                                  F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     dealt = named.join(open_lists, "key").withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     paired = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"),

@@ -57,6 +57,21 @@ def test_against_brute_force(spark, monkeypatch, seed, hot, small):
     assert sorted(_found(found)) == sorted(_brute(rows))
 
 
+def test_blocks_of_many_small_sets(spark, monkeypatch):
+    linked = jaccard_join._linked
+
+    def bounded(items, num, den):
+        assert len(items) <= 2.4 * 1024
+        return linked(items, num, den)
+
+    monkeypatch.setattr(jaccard_join, "_linked", bounded)
+    template = " ".join(f"t{i}" for i in range(11))
+    rows = [(i, f"{template} x{i}") for i in range(4000)]
+    rows += [(5000 + i, f"{template} a b c d {x}") for i, x in enumerate("efg")]
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {i: min(i, 5000) for i, _ in rows}
+
+
 def test_prefixes_keep_every_similar_pair():
     rng = random.Random(11)
     for _ in range(300):

@@ -32,11 +32,16 @@ ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"'
           r"([A-Za-z0-9+/_.=-]+)")
 BASE = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20),
         ("hex", "[0-9a-f]{24,}", 0, 24))
-# Public token formats.
+# Public token formats. A private key is its whole block, or its header
+# and the lines of base64 after it where the end is cut off; the body is its value.
+# Repetitions are possessive, so that a text of any length is read once.
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+       r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++)(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+BREAKS = r"\s|\\[nr]"    # line breaks of a key's body, also as written in quoted strings
 EXTRA = (("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
          ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
          ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-         ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0))
+         ("pem", PEM, 1, 0))
 KINDS = BASE + EXTRA
 MIN_DISTINCT = 6   # a live-looking value has so many different characters
 MIN_LENGTH = 8
@@ -45,6 +50,7 @@ MIN_LENGTH = 8
 def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, end, kind, hash, live>> of one kind."""
     regex = F.lit(pattern)
+    plain = lambda v: F.regexp_replace(v, BREAKS, "") if pattern == PEM else v
     zipped = F.arrays_zip(
         F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, regex, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, regex, F.lit(group)).alias("value"))
@@ -54,7 +60,7 @@ def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Col
         start = state["at"] + F.length(x["piece"])
         end = start + F.length(x["match"])
         found = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("kind"),
-                         F.md5(x["value"]).alias("hash"), _random(x["value"]).alias("random"))
+                         F.md5(plain(x["value"])).alias("hash"), _random(plain(x["value"])).alias("random"))
         fits = x["match"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(F.coalesce(end, start).cast("int").alias("at"),
                         F.when(fits, F.concat(state["out"], F.array(found))).otherwise(state["out"])

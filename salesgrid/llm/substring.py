@@ -126,7 +126,7 @@ class _Runs:
     def periodic(self, which: np.ndarray) -> np.ndarray:
         """Whether a run holds a window twice: only where 8 words recur within one window's reach."""
         recur = np.zeros(len(self.grams), bool)
-        for d in range(1, WINDOW - GRAM + 1):
+        for d in range(1, WINDOW - GRAM + 2):     # the farthest that an anchor recurs in one run
             recur[:-d] |= self.grams[d:] == self.grams[:-d]
         total = np.concatenate([[0], np.cumsum(recur)])
         end = self.at[which] + self.count[which] + WINDOW - GRAM

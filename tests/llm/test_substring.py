@@ -71,6 +71,16 @@ def test_whole_table(spark):
     assert got == _brute(table)
 
 
+def test_every_period_alone_and_in_two_documents(spark):
+    rows = []
+    for period in range(1, 21):
+        for times in range(2, 9):
+            for copies in (1, 2):
+                line = " ".join(f"p{period}t{times}c{copies}w{j}" for j in range(period))
+                rows += [(len(rows) + j, " ".join([line] * times)) for j in range(copies)]
+    assert _found(substring.remove_repeats(docs(spark, rows))) == _brute(rows)
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(30))
     rows = [(3, long), (1, "A" + long), (2, None), (4, ""), (5, "one two"), (6, long.upper()), (7, "z " * 5000),

@@ -220,24 +220,30 @@ def _fragments(rows: DataFrame, wanted: Bitmap, whole: bool) -> DataFrame:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the runs of each anchor, from a stream sorted by (anchor, ord, start)."""
-    anchor, automaton = None, None
+    """Repeats among the runs of each anchor, from a stream sorted by (anchor, ord, start, content).
+
+    Rows that share id and words give a run more than once: it is added once, and
+    all of them have its repeats.
+    """
+    anchor, automaton, run, spans = None, None, None, []
     for batch in batches:
         row, start, size = [], [], []
-        columns = zip(batch.column("anchor").to_pylist(), batch.column("start").to_pylist(),
-                      batch.column("items").to_pylist())
-        for i, (key, at, words) in enumerate(columns):
+        columns = zip(*[batch.column(c).to_pylist() for c in ("anchor", "ord", "start", "content", "items")])
+        for i, (key, order, at, content, words) in enumerate(columns):
             if key != anchor or automaton is None:
-                anchor, automaton = key, SuffixAutomaton()
-            begin = None
-            for j, n in enumerate([*automaton.add(words), 0]):
-                if n >= WINDOW:
-                    begin = j - WINDOW + 1 if begin is None else begin
-                elif begin is not None:
-                    row.append(i)
-                    start.append(at + begin)
-                    size.append(j - WINDOW + 1 - begin)
-                    begin = None
+                anchor, automaton, run = key, SuffixAutomaton(), None
+            if run != (order, at, content):
+                run, spans, begin = (order, at, content), [], None
+                for j, n in enumerate([*automaton.add(words), 0]):
+                    if n >= WINDOW:
+                        begin = j - WINDOW + 1 if begin is None else begin
+                    elif begin is not None:
+                        spans.append((at + begin, j - WINDOW + 1 - begin))
+                        begin = None
+            for first, count in spans:
+                row.append(i)
+                start.append(first)
+                size.append(count)
         at = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("ord").take(at), batch.column("row").take(at), pa.array(start, pa.int32()),
@@ -300,7 +306,7 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_automaton(parts: DataFrame) -> DataFrame:
-    return parts.repartition("anchor").sortWithinPartitions("anchor", "ord", "start") \
+    return parts.repartition("anchor").sortWithinPartitions("anchor", "ord", "start", "content") \
         .mapInArrow(_matched, "ord long, row long, start int, size int")
 
 

@@ -81,6 +81,15 @@ def test_every_period_alone_and_in_two_documents(spark):
     assert _found(substring.remove_repeats(docs(spark, rows))) == _brute(rows)
 
 
+def test_repeated_rows_beside_an_edited_copy(spark):
+    rows = []
+    for k in range(12):
+        line = [f"r{k}w{j}" for j in range(30)]
+        edited = " ".join([*line[:27], "edit", *line[28:]])
+        rows += [(2 * k, " ".join(line)), (2 * k, " ".join(line)), (2 * k + 1, edited), (2 * k + 1, edited)]
+    assert _found(substring.remove_repeats(docs(spark, rows))) == _brute(rows)
+
+
 def test_edges(spark):
     long = " ".join(f"v{i}" for i in range(30))
     rows = [(3, long), (1, "A" + long), (2, None), (4, ""), (5, "one two"), (6, long.upper()), (7, "z " * 5000),

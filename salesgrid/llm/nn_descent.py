@@ -7,11 +7,19 @@ then refined: every node's neighbours and reverse neighbours are compared with
 one another, pairs better than a list's worst entry go back to their ends, and
 lists keep their best, until less than ``MIN_CHANGE`` of the entries change.
 
-A list that is full of links is saturated. Such lists are enlarged to the whole
-linked component: inside each component all pairs are compared exactly, in
-blocks of ``BLOCK`` nodes, and only counts leave the tasks, so a large group of
-copies never becomes rows. Recall is audited against brute force for a sample
-of nodes; below ``MIN_RECALL`` another start (new codes) is added and refined.
+A list that is full of links is saturated: links to other groups may have no
+place in it. Nodes of such lists are compared exactly with those of the other
+components' saturated lists. The other nodes are audited: portions of them, drawn
+by hash, are compared with all nodes, until ``AUDIT_NODES`` nodes with a link are
+seen or all nodes are compared (then the result is exact). A link counts as found
+if its ends share a component; those that were missing are added. Below
+``MIN_RECALL`` another start (new codes) is added and refined, and after the last
+one all portions are compared. A portion is broadcast (``ASKED_VALUES`` numbers),
+and one link of two components in a batch leaves the tasks.
+
+Inside each component all pairs are then compared exactly, in blocks of ``BLOCK``
+nodes, and only counts leave the tasks, so a large group of copies never
+becomes rows.
 
 Cosines are computed in double precision. All joins are on ids; hub nodes' list
 of reverse neighbours is bounded by ``REVERSE`` a round, drawn anew each round.
@@ -46,6 +54,8 @@ MAX_ROUNDS = 6
 MAX_STARTS = 4
 BLOCK = 1024
 AUDIT_NODES = 256
+ASKED_VALUES = 1 << 20
+TILE = 1 << 22
 MIN_RECALL = 0.99
 THRESHOLD = 0.98
 
@@ -216,40 +226,89 @@ def inside_components(members: DataFrame, threshold: float = THRESHOLD) -> DataF
     return counted.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def recall(nodes: DataFrame, graph: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT_NODES,
-           k: int = K) -> float:
-    """Share of the links of ``sample`` nodes, found by brute force over all nodes, that the graph
-    has (a saturated list counts as having all: it is enlarged to its component)."""
-    drawn = nodes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(sample) \
-        .select("node", "grp", "vec").collect()
-    if not drawn:
-        return 1.0
-    table = pa.table({"vec": pa.array([r.vec for r in drawn], pa.list_(pa.float64()))})
-    groups: dict[int, list[int]] = {}
-    for i, r in enumerate(drawn):
-        groups.setdefault(r.grp, []).append(i)
-    asked = {g: (np.array([drawn[i].node for i in at]),
-                 _unit(table["vec"].take(pa.array(at)).combine_chunks())) for g, at in groups.items()}
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group in _grouped(iter([batch]), "grp"):
-                hit = shared.value.get(group["grp"][0].as_py())
-                if hit is not None:
-                    cos = hit[1] @ _unit(group["vec"].combine_chunks()).T
-                    i, j = np.nonzero(cos >= threshold)
-                    ids = group["node"].to_numpy()
-                    other = hit[0][i] != ids[j]
-                    yield _edges(hit[0][i][other], ids[j][other], cos[i, j][other])
-
-    true = nodes.select("grp", "node", "vec").mapInArrow(brute, _EDGE)
+def marked(nodes: DataFrame, graph: DataFrame, parts: DataFrame, threshold: float = THRESHOLD,
+           k: int = K) -> DataFrame:
+    """(node, grp, component, vec, full): nodes with their component and whether their list is saturated."""
     full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("size"), F.min("cos").alias("worst")) \
-        .filter((F.col("size") >= k) & (F.col("worst") >= threshold)).select("u", F.lit(True).alias("full"))
-    found = graph.select("u", "v", F.lit(True).alias("found"))
-    judged = true.join(found, ["u", "v"], "left").join(full, "u", "left")
-    total, have = judged.agg(F.count(F.lit(1)), F.count(F.coalesce("found", "full"))).first()
-    return have / total if total else 1.0
+        .filter((F.col("size") >= k) & (F.col("worst") >= threshold)) \
+        .select(F.col("u").alias("node"), F.lit(True).alias("full"))
+    return nodes.join(parts, "node", "left").join(full, "node", "left").select(
+        "node", "grp", F.coalesce("component", "node").alias("component"), "vec",
+        F.coalesce("full", F.lit(False)).alias("full"))
+
+
+def crossing(members: DataFrame, asked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The asked nodes (few enough to be broadcast) against all members, by brute force.
+
+    Rows (u, v) are links between components, one of two components in each
+    batch; rows (u, null, links, missing) are counts of the asked node's links.
+    """
+    table = asked.select("node", "grp", "component", "vec").toArrow()
+    grps = table["grp"].to_numpy()
+    held = {}
+    for g in np.unique(grps).tolist():
+        mine = table.take(pa.array(np.flatnonzero(grps == g))).combine_chunks()
+        held[g] = (mine["node"].to_numpy(), mine["component"].to_numpy(), _unit(mine["vec"].combine_chunks()))
+    shared = members.sparkSession.sparkContext.broadcast(held)
+
+    def rows(u: np.ndarray, v: pa.Array, links: pa.Array, missing: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), v, links, missing], names=["u", "v", "links", "missing"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp = batch.column("grp").to_numpy(zero_copy_only=False)
+            for g in np.unique(grp).tolist():
+                if g not in shared.value:
+                    continue
+                ids, parts, x = shared.value[g]
+                mine = batch.take(pa.array(np.flatnonzero(grp == g)))
+                other_ids, other_parts = (mine.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component"))
+                y = _unit(mine.column("vec"))
+                links, missing = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                step = max(1, TILE // len(ids))
+                for at in range(0, len(y), step):
+                    i, j = np.nonzero(x @ y[at:at + step].T >= threshold)
+                    j += at
+                    other = ids[i] != other_ids[j]
+                    i, j = i[other], j[other]
+                    links += np.bincount(i, minlength=len(ids))
+                    apart = parts[i] != other_parts[j]
+                    i, j = i[apart], j[apart]
+                    missing += np.bincount(i, minlength=len(ids))
+                    if len(i):
+                        _, one = np.unique(np.stack([parts[i], other_parts[j]], axis=1), axis=0, return_index=True)
+                        none = pa.nulls(len(one), pa.int64())
+                        yield rows(ids[i[one]], pa.array(other_ids[j[one]]), none, none)
+                some = np.flatnonzero(links)
+                yield rows(ids[some], pa.nulls(len(some), pa.int64()), pa.array(links[some]), pa.array(missing[some]))
+
+    return members.select("node", "grp", "component", "vec").mapInArrow(
+        run, "u long, v long, links long, missing long")
+
+
+def _portions(asked: DataFrame) -> Iterator[DataFrame]:
+    """The nodes in portions of about ``ASKED_VALUES`` vector components, dealt by hash."""
+    n = -(-(asked.agg(F.sum(F.size("vec"))).first()[0] or 0) // ASKED_VALUES)
+    for i in range(n):
+        yield asked.filter(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(n)) == i)
+
+
+def audit(members: DataFrame, last: bool, threshold: float = THRESHOLD) -> tuple[list[DataFrame], float, bool]:
+    """Missing links (u, v) that join components, the share of the audited nodes' links that was found,
+    and whether the graph with these links will do (``last``: it must)."""
+    out, full = [], members.filter("full")
+    several = full.groupBy("grp").agg(F.countDistinct("component").alias("n")).filter("n > 1").select("grp")
+    full = full.join(several, "grp", "left_semi")
+    for asked in _portions(full):
+        out.append(scratch.write(crossing(full, asked, threshold).filter("v IS NOT NULL").select("u", "v"),
+                                 "nn-crossing")[0])
+    links = missing = 0
+    for asked in _portions(members.filter("NOT full")):
+        found, _ = scratch.write(crossing(members, asked, threshold), "nn-crossing")
+        out.append(found.filter("v IS NOT NULL").select("u", "v"))
+        links, missing = (x or 0 for x in found.filter("v IS NULL").agg(F.sum("links"), F.sum("missing")).first())
+        break
+    return out, 1.0 - missing / max(links, 1), links - missing >= MIN_RECALL * links
 
 
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -258,7 +317,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     spark = vectors.sparkSession
     nodes, _ = scratch.write(nodes_of(vectors, vec_id, embedding, label), "nn-nodes")
     n = nodes.count()
-    graph, path = None, None
+    graph, path, more = None, None, []
     for attempt in range(MAX_STARTS):
         begun = start(nodes, n, seed=attempt + 1, k=k)
         graph, path = _replace(keep_best(begun if graph is None else graph.unionByName(begun), k), path)
@@ -271,10 +330,17 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
             graph, path = after, fresh
             if changed <= MIN_CHANGE * entries:
                 break
-        if recall(nodes, graph, threshold, k=k) >= MIN_RECALL:
+        links = graph.filter(F.col("cos") >= threshold).select("u", "v")
+        parts, _ = scratch.write(connected_components(_union(links, more)), "nn-components")
+        members, members_path = scratch.write(marked(nodes, graph, parts, threshold, k), "nn-marked")
+        found, _, settled = audit(members, attempt == MAX_STARTS - 1, threshold)
+        found = [f for f in found if not f.isEmpty()]
+        more += found
+        scratch.remove(spark, members_path)
+        if settled:
             break
-    links = graph.filter(F.col("cos") >= threshold).select("u", "v")
-    parts, _ = scratch.write(connected_components(links), "nn-components")
+    if found:
+        parts, _ = scratch.write(connected_components(_union(links, more)), "nn-components")
     members = nodes.join(parts, "node")
     counts, _ = scratch.write(inside_components(members.select("component", "node", "vec", "mult"), threshold),
                               "nn-counts")
@@ -298,3 +364,9 @@ def _replace(table: DataFrame, old: str | None) -> tuple[DataFrame, str]:
     if old:
         scratch.remove(table.sparkSession, old)
     return fresh, path
+
+
+def _union(links: DataFrame, more: list[DataFrame]) -> DataFrame:
+    for m in more:
+        links = links.unionByName(m)
+    return links

@@ -63,6 +63,18 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert _found(spark, rows) == _brute(rows)
 
 
+def test_two_saturated_groups_that_are_linked(spark):
+    rng = np.random.default_rng(8)
+    base, away = rng.standard_normal((2, 16))
+    away -= away @ base / (base @ base) * base
+    away *= np.sqrt((base @ base) / (away @ away)) * 0.17          # cosine about 0.986
+    rows = [(i, [float(v) for v in (base + (i % 2) * away + rng.standard_normal(16) * 0.003).astype(np.float32)], 1)
+            for i in range(60)]
+    want = _brute(rows)
+    assert {r[1] for r in want} == {59}
+    assert _found(spark, rows) == want
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(400, 460)]

@@ -302,13 +302,18 @@ def audit(members: DataFrame, last: bool, threshold: float = THRESHOLD) -> tuple
     for asked in _portions(full):
         out.append(scratch.write(crossing(full, asked, threshold).filter("v IS NOT NULL").select("u", "v"),
                                  "nn-crossing")[0])
-    links = missing = 0
+    linked = links = missing = 0
     for asked in _portions(members.filter("NOT full")):
+        if linked >= AUDIT_NODES and (not last or links - missing >= MIN_RECALL * links):
+            break
         found, _ = scratch.write(crossing(members, asked, threshold), "nn-crossing")
         out.append(found.filter("v IS NOT NULL").select("u", "v"))
-        links, missing = (x or 0 for x in found.filter("v IS NULL").agg(F.sum("links"), F.sum("missing")).first())
-        break
-    return out, 1.0 - missing / max(links, 1), links - missing >= MIN_RECALL * links
+        seen = found.filter("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"), F.sum("missing").alias("missing")) \
+            .agg(F.count(F.lit(1)), F.sum("links"), F.sum("missing")).first()
+        linked, links, missing = (a + (b or 0) for a, b in zip((linked, links, missing), seen))
+    else:
+        return out, 1.0 - missing / max(links, 1), True
+    return out, 1.0 - missing / links, links - missing >= MIN_RECALL * links
 
 
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding",

@@ -75,6 +75,19 @@ def test_two_saturated_groups_that_are_linked(spark):
     assert _found(spark, rows) == want
 
 
+def test_rare_links_that_the_search_misses(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "START_BLOCK", 2)
+    monkeypatch.setattr(nn_descent, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(nn_descent, "ASKED_VALUES", 1 << 14)        # several portions
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((1200, 32))
+    vectors[:8] = vectors[8:16] + rng.standard_normal((8, 32)) * 0.15
+    rows = [(i, [float(v) for v in x.astype(np.float32)], 1) for i, x in enumerate(vectors)]
+    want = _brute(rows)
+    assert sum(r[1] for r in want) >= 8
+    assert _found(spark, rows) == want
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(400, 460)]

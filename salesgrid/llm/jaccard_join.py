@@ -54,7 +54,7 @@ HOT = 64                    # classes in a list that still gives pairs
 MAX_HOT = 1 << 20           # frequent shingles that are broadcast
 MAX_BOUNDARY = 256          # sizes tried as the boundary
 BLOCK_ELEMENTS = 1 << 18    # elements of a block of a long list
-BLOCK_MEMBERS = 1 << 10     # classes of it: two blocks are compared in matrices of classes
+TILE_MEMBERS = 1 << 10      # classes of a tile: a task compares two tiles at once, in matrices of classes
 SEEN_CLASSES = 1 << 20      # classes a task remembers, so that copies are sent once
 SINGLE, SUBSET, HEAVY = 0, 1, 2
 
@@ -328,8 +328,8 @@ def long_list_links(heavy: DataFrame, parts: DataFrame, sizes: DataFrame, sets:
     """Spanning links inside long lists that hold several components.
 
     Lists of equal members count once. A list is cut into blocks of about
-    ``BLOCK_ELEMENTS`` elements and ``BLOCK_MEMBERS`` classes at most, and each pair
-    of blocks is compared in one group.
+    ``BLOCK_ELEMENTS`` elements, and each pair of blocks is compared in one group,
+    in tiles of ``TILE_MEMBERS`` classes.
     """
     named = heavy.join(parts.select(F.col("node").alias("class"), "component"), "class", "left") \
         .join(sizes, "class").select("key", "class", F.coalesce("component", "class").alias("component"), "n")
@@ -340,8 +340,7 @@ def long_list_links(heavy: DataFrame, parts: DataFrame, sizes: DataFrame, sets:
                             F.sum("elements").alias("elements"), F.sum("digest").alias("digest"))
     open_lists = lists.filter("components > 1").groupBy("members", "digest").agg(
         F.min("key").alias("key"), F.min("elements").alias("elements")) \
-        .select("key", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS),
-                                  F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+        .select("key", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
     dealt = named.join(open_lists, "key").withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     paired = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"),
@@ -354,15 +353,25 @@ def long_list_links(heavy: DataFrame, parts: DataFrame, sizes: DataFrame, sets:
             if len(np.unique(part)) < 2:
                 continue
             items = group["items"].combine_chunks()
-            a, b = _linked(items, num, den)
-            x, y = _spanning(a, b, part)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+            root: dict[int, int] = {}
+            for at in _tiles(len(ids)):
+                a, b = _linked(items.take(pa.array(at)), num, den)
+                x, y = _spanning(at[a], at[b], part, root)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
 
     return paired.join(sets, "class").repartition("pair").sortWithinPartitions("pair", "class") \
         .mapInArrow(run, "a long, b long")
 
 
+def _tiles(n: int) -> Iterator[np.ndarray]:
+    """Positions of each two tiles of n classes (all at once, if they are two tiles at most)."""
+    cuts = np.array_split(np.arange(n), max(2, -(-n // TILE_MEMBERS)))
+    for i in range(len(cuts)):
+        for j in range(i + 1, len(cuts)):
+            yield np.concatenate([cuts[i], cuts[j]])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -402,10 +411,8 @@ def _linked(items: pa.ListArray, num: int, den: int, columns: int = 2048) -> tup
     return np.nonzero(np.triu(overlap * den >= union * num, 1))
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the links, those that join components (``part`` names the known ones)."""
-    root: dict[int, int] = {}
-
+def _spanning(a: np.ndarray, b: np.ndarray, part: np.ndarray, root: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Of the links, those that join components (``part`` names the known ones, ``root`` those joined so far)."""
     def find(x: int) -> int:
         while root.setdefault(x, x) != x:
             root[x] = x = root[root[x]]

@@ -3,7 +3,8 @@
 Candidates (the base kinds and the extra kinds below) are found in every whole
 text. The digest of each candidate's value is counted over the corpus by
 distinct repositories and owners. A value that several owners have is a widely
-copied example; one that a single owner has and that looks random is live.
+copied example; one that a single owner has and that looks random is live. The
+verdict is by owners alone: the number of repositories plays no part in it.
 Base spans are always reported; spans of extra kinds only where live.
 
 Only DataFrame functions are used. Positions come from the pieces between

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, nn_descent, packing, quality, scratch, secrets, substring, token_output, toxicity, warc
+from . import cross_tokenizer, filter_audit, jaccard_join, mixing, nn_descent, packing, personal_data, quality, scratch, secrets, substring, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +61,31 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("class", "component")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return cross_tokenizer.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_warc": op1_warc, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity,
             "op4_near_vectors": op4_near_vectors, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing,
             "op7_substring": op7_substring, "op8_quality": op8_quality, "op9_token_files": op9_token_files,
-            "op10_jaccard_join": op10_jaccard_join}
+            "op10_jaccard_join": op10_jaccard_join, "op11_alignment": op11_alignment,
+            "op12_filter_audit": op12_filter_audit, "op13_personal_data": op13_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_near_vectors": _NEAR_SQL, "op6_mixing": _MIX_SQL, "op7_substring": _REPEATS_SQL,
-            "op10_jaccard_join": _JACCARD_SQL}
+            "op10_jaccard_join": _JACCARD_SQL, "op12_filter_audit": _AUDIT_SQL}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -142,3 +157,33 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
            ' ')) AS kept_sha256
 FROM w LEFT JOIN c ON w.doc_id = c.doc_id
 """
+
+_AUDIT_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, quality IS NOT DISTINCT FROM 1 AS good, toxic IS NOT DISTINCT FROM 1 AS toxic,
+             [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+              100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t), regexp_matches(t, '[#$%&*|]'),
+              coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM n a, n b, n c, n d, n e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, f AS step FROM o, n),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT part, filter_order, step, o[step] AS own, n, good, toxic, fails[o[step]] AS failed,
+             len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone,
+             len(list_filter(range(1, 6), lambda i: fails[i])) AS n_failed FROM g, s),
+r AS (SELECT part, filter_order, step, any_value(own) AS own,
+             coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (failed AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (failed AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (failed AND n_failed = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n) FILTER (failed AND NOT gone AND good), 0)::BIGINT AS good_lost,
+             coalesce(sum(n) FILTER (failed AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+      FROM h GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""

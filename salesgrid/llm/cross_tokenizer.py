@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from . import scratch, textops
 
 CACHE = 300_000         # distinct segments that a worker remembers
+AT_ONCE = 512           # segments that are encoded together
 HOT = 1 << 18           # at most so many pairs are broadcast
 _PAIR = 1 << 32         # a pair is A's id * _PAIR + B's id
 
@@ -116,41 +117,70 @@ class Aligner:
         self.known: dict[int, int] = {}
         self.table = self.align([])
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of both tokenizers for the texts, each after a space; whether their bytes are the texts' own."""
+        joined = " ".join(texts)
+        (found,) = self.a.encode_batch_fast([f" {joined}"], add_special_tokens=False)     # without offsets
+        a = found.ids
+        b = self.b.encode(joined)
+        want = f" {joined}".encode()
+        good = b"".join([self.bytes_a[k] for k in a]) == want and b"".join([self.bytes_b[k] for k in b]) == want
+        return np.array(a, np.int64), np.array(b, np.int64), good
+
     def align(self, texts: list[str]) -> Aligned:
-        """Align each text (without the space before it)."""
-        spaced = [f" {t}" for t in texts]
-        ids_a = [x.ids for x in self.a.encode_batch(spaced, add_special_tokens=False)] if texts else []
-        ids_b = self.b.encode(texts, num_threads=1) if texts else []
-        good = np.zeros(len(texts), bool)
-        for i, (t, x, y) in enumerate(zip(spaced, ids_a, ids_b)):
-            want = t.encode()
-            good[i] = b"".join([self.bytes_a[k] for k in x]) == want and b"".join([self.bytes_b[k] for k in y]) == want
-            if not good[i]:
-                ids_a[i], ids_b[i] = [], []
-        n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-        a = np.fromiter((k for x in ids_a for k in x), np.int64, n_a.sum())
-        b = np.fromiter((k for x in ids_b for k in x), np.int64, n_b.sum())
+        """Align each text (without the space before it).
+
+        Texts that neither tokenizer has tokens across the end of (see the module) are encoded
+        many at a time; if their bytes do not come back, and all others, one at a time.
+        """
+        good = np.ones(len(texts), bool)
+        size = np.array([len(t.encode()) + 1 for t in texts], np.int64)
+        parts_a, parts_b = [], []
+        ends_well = [self.cuts and not (t[-1:] or " ").isspace() for t in texts]
+        at = 0
+        while at < len(texts):
+            upto = at + 1
+            while upto < len(texts) and upto - at < AT_ONCE and ends_well[upto - 1]:
+                upto += 1
+            a, b, fine = self._ids(texts[at:upto])
+            if not fine and upto - at > 1:
+                one = [self._ids([t]) for t in texts[at:upto]]
+                good[at:upto] = [x[2] for x in one]
+                parts_a += [x[0] for x in one if x[2]]
+                parts_b += [x[1] for x in one if x[2]]
+            elif fine:
+                parts_a.append(a)
+                parts_b.append(b)
+            else:
+                good[at] = False
+            at = upto
+        none = [np.zeros(0, np.int64)]
+        a, b = np.concatenate(parts_a or none), np.concatenate(parts_b or none)
+        size[~good] = 0
+        n, stop = len(texts), np.cumsum(size)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        text_of_a, text_of_b = np.searchsorted(stop, end_a), np.searchsorted(stop, end_b)
         ends = np.union1d(end_a, end_b)                              # a link ends at each of these
         both = np.intersect1d(end_a, end_b, assume_unique=True)      # and a group at each of these
         link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        group = np.searchsorted(both, ends)
         last_a, last_b = np.searchsorted(end_a, both), np.searchsorted(end_b, both)
-        text_of_a = np.repeat(np.arange(len(texts)), n_a)
-        text_of_group = text_of_a[last_a]
-        single = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1)
-        plain = single & (self.identity[a[last_a]] == b[last_b]) if len(both) else single
-        rest = ~plain[group] if len(both) else np.zeros(0, bool)
-        text_of_link = text_of_a[link_a]
-        n = len(texts)
-        counts = np.stack([n_a, n_b, np.bincount(text_of_group, minlength=n), np.bincount(text_of_link, minlength=n)], axis=1)
-        words_a, words_b = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()]
-        groups = [f"{','.join(words_a[p:q])}|{','.join(words_b[r:s])}" for p, q, r, s in
-                  zip([0, *(last_a[:-1] + 1).tolist()], (last_a + 1).tolist(), [0, *(last_b[:-1] + 1).tolist()], (last_b + 1).tolist())]
-        at = _starts(counts[:, 2]).tolist()
-        return Aligned(good, counts, [";".join(groups[p:q]).encode() for p, q in zip(at, at[1:])],
-                       a[last_a][plain] if len(both) else a, _starts(np.bincount(text_of_group[plain], minlength=n)),
-                       a[link_a[rest]] * _PAIR + b[link_b[rest]], _starts(np.bincount(text_of_link[rest], minlength=n)))
+        text_of_group, text_of_link = text_of_a[last_a], text_of_a[link_a]
+        plain = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (self.identity[a[last_a]] == b[last_b])
+        rest = ~plain[np.searchsorted(both, ends)]
+        per_text = lambda which: np.bincount(which, minlength=n)
+        counts = np.stack([per_text(text_of_a), per_text(text_of_b), per_text(text_of_group), per_text(text_of_link)], axis=1)
+        return Aligned(good, counts, self._shown(a, b, last_a, last_b, per_text(text_of_group)), a[last_a][plain],
+                       _starts(per_text(text_of_group[plain])), a[link_a[rest]] * _PAIR + b[link_b[rest]],
+                       _starts(per_text(text_of_link[rest])))
+
+    def _shown(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, groups: np.ndarray) -> list[bytes]:
+        """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
+        words_a, words_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        first_a, first_b = [0, *(last_a[:-1] + 1).tolist()], [0, *(last_b[:-1] + 1).tolist()]
+        shown = [f"{words_a[p] if q - p == 1 else ','.join(words_a[p:q])}|{words_b[r] if s - r == 1 else ','.join(words_b[r:s])}"
+                 for p, q, r, s in zip(first_a, (last_a + 1).tolist(), first_b, (last_b + 1).tolist())]
+        at = _starts(groups).tolist()
+        return [";".join(shown[p:q]).encode() for p, q in zip(at, at[1:])]
 
     def places(self, hashes: np.ndarray, text_of) -> np.ndarray:
         """Where each segment (told by its hash) stands in the table; unknown ones are aligned first."""
@@ -183,9 +213,9 @@ def segments(data: np.ndarray, rows: np.ndarray, cut: bool) -> tuple[np.ndarray,
     filled = np.flatnonzero(np.diff(rows))
     start = rows[:-1][filled]
     if cut and len(data) > 2:
-        before, two = data[1:-1], (data[:-2].astype(np.int64) << 8) | data[1:-1]
-        solid = (before > 32) & (before != 127) & ~np.isin(two, _WIDE)
-        space = np.flatnonzero(solid & (data[2:] == 32)) + 2
+        space = np.flatnonzero(data[2:] == 32) + 2
+        before, two = data[space - 1], (data[space - 2].astype(np.int64) << 8) | data[space - 1]
+        space = space[(before > 32) & (before != 127) & ~np.isin(two, _WIDE)]
         edge = np.zeros(len(data) + 1, bool)
         edge[rows] = True                       # not the first or last byte of a row, and two signs before it
         space = space[~edge[space] & ~edge[space - 1] & ~edge[space + 1]]
@@ -209,13 +239,11 @@ def _aligner(file_a: str, file_b: str) -> Aligner:
 
 def _tally(owner: np.ndarray, values: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of each owner with their summed weights; and where each owner's begin."""
-    order = np.lexsort((values, owner))
-    owner, values, weight = owner[order], values[order], weight[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    first = np.flatnonzero(new)
-    return values[first], np.add.reduceat(weight, first) if len(first) else weight, \
-        _starts(np.bincount(owner[first], minlength=n))
+    kinds, kind = np.unique(values, return_inverse=True)
+    code, place = np.unique(owner * max(len(kinds), 1) + kind, return_inverse=True)
+    owner, kind = np.divmod(code, max(len(kinds), 1))
+    return kinds[kind] if len(kinds) else values, np.bincount(place, weight, len(code)).astype(np.int64), \
+        _starts(np.bincount(owner, minlength=n))
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -266,9 +294,10 @@ def _one(tool: Aligner, piece: pa.RecordBatch) -> dict:
         if found.good[0]:
             whole[r] = found
     place, row = place[~bad[row]], row[~bad[row]]
-    counts = np.zeros((n, 4), np.int64)
-    np.add.at(counts, row, table.counts[place])
-    first = np.searchsorted(row, np.arange(n + 1)).tolist()
+    first = np.searchsorted(row, np.arange(n + 1))
+    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(table.counts[place], axis=0)])
+    counts = sums[first[1:]] - sums[first[:-1]]
+    first = first.tolist()
     shown = [b";".join([table.shown[k] for k in place[a:b].tolist()]) for a, b in zip(first, first[1:])]
     # equal segments of a document count together before their links are listed
     code, weight = np.unique(row * len(table.good) + place, return_counts=True) if len(place) else (place, place)

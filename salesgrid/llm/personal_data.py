@@ -1,8 +1,9 @@
 """Personal data in texts: fixed patterns, and a skip-chain conditional random field around them.
 
 ``scan`` finds, in each whole text, the base spans (``base_spans``: e-mail, IP, card
-and phone) and the other candidates: words with a digit or "@", numbers that one
-space separates taken together. These are a document's nodes. Potentials are on
+and phone) and the other candidates: words with a digit or "@"; numbers that one
+space separates are taken together where their digits are those of a base span. These are
+a document's nodes. Potentials are on
 single nodes (shape and neighbouring words), on nodes close together (the chain)
 and on distant nodes that are the same or similar (skip edges): the same string,
 digits or octets; the same last seven digits; an e-mail's local part.
@@ -44,8 +45,10 @@ from . import scratch, textops
 KINDS = ("email", "ip", "card", "phone")    # labels 1 to 4; 0 is no entity
 MAX_ROWS = 2000         # rows of the fit for each label
 ROUNDS = 30             # of message passing, at most
+FIRST_ROUNDS = 8        # in which what base spans say spreads first
 DAMPING = 0.3
 NEAR = 40               # code points between neighbours on the chain
+GROUP = 6               # numbers that may make up one
 AT_ONCE = 20_000        # nodes in memory at once (one document at least)
 BUCKETS = 64            # of neighbouring words
 
@@ -56,7 +59,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _MARK = re.compile(r"[0-9@]")
 _RUN = re.compile(r"[A-Za-z0-9._%+@()\[\]-]++")
-_MORE = re.compile(r"(?: [().\[\]+-]*+[0-9][0-9().\[\]+-]*+(?![A-Za-z@%_]))++")
+_NEXT = re.compile(r" [().\[\]+-]*+[0-9][0-9().\[\]+-]*+(?![A-Za-z@%_])")
 _LETTER = re.compile(r"[A-Za-z@]")
 _GROUPS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -100,14 +103,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of the other words with a digit or "@", without those that overlap a base span."""
+    """Spans of the other words with a digit or "@", without those that overlap a base span.
+
+    Up to ``GROUP`` numbers are one span if their digits are a base span's, or the last seven or more of a phone's.
+    """
     taken = sorted((a, b) for _, a, b in base)
+    known = {d[i:] for k, a, b in base if len(d := _digits(text[a:b])) > 6 for i in range(len(d) - 6 if KINDS[k - 1] == "phone" else 1)}
     out, at, k, reach = [], 0, 0, 0
     while m := _MARK.search(text, at):
         start = at + len(text[at:m.start()].rstrip(_LOCAL + "()[]"))
         end = _RUN.match(text, m.start()).end()
-        if not _LETTER.search(text, start, end) and (more := _MORE.match(text, end)):
-            end = more.end()
+        if known and not _LETTER.search(text, start, end):
+            last = end
+            for _ in range(GROUP - 1):
+                if not (more := _NEXT.match(text, last)):
+                    break
+                last = more.end()
+                if _digits(text[start:last]) in known:
+                    end = last
         at = end
         while k < len(taken) and taken[k][0] < end:     # base spans that begin before this one's end
             reach = max(reach, taken[k][1])
@@ -289,8 +302,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if y:
                     *copy, kind = doc["damaged"][base * (WIDTH + 1):(base + 1) * (WIDTH + 1)]
                     base += 1
-                    if kind:
-                        support = [0] * (2 + 2 * n_labels)
+                    for side in (0, 1) if kind else ():     # alone, and between others that are no entities
+                        support = [side, side, *[0] * (2 * n_labels)]
                         rows.append([0, *copy, *support])
                         support[2 + n_labels * (kind - 1) + y] = 1
                         rows.append([y, *copy, *support])
@@ -298,7 +311,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["label", "row"])
 
 
-def fit(scanned: DataFrame, max_rows: int = MAX_ROWS, steps: int = 400) -> Model:
+def fit(scanned: DataFrame, max_rows: int = MAX_ROWS, steps: int = 600) -> Model:
     """Pseudo-likelihood fit on at most ``max_rows`` examples a label, drawn by hash."""
     n = len(KINDS) + 1
     examples = scanned.where(F.size("label") > 0).select("label", "features", "damaged", "edges") \
@@ -331,9 +344,14 @@ def fit(scanned: DataFrame, max_rows: int = MAX_ROWS, steps: int = 400) -> Model
     return Model(node, chain, np.maximum(skip, 0.0))
 
 
-def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS,
+            known: np.ndarray | None = None) -> np.ndarray:
     """Marginals by loopy sum-product: ``unary`` (node, label) and ``potentials`` (kind, label, label)
-    are logarithms, ``edges`` has first node, second node and kind. Exact on trees, given enough rounds."""
+    are logarithms, ``edges`` has first node, second node and kind. Exact on trees, given enough rounds.
+
+    Nodes that ``known`` marks send first, then those they reach, for a few rounds; then all do. Else many
+    mentions would tell one another that they are nothing before the one that is known is heard.
+    """
     m = len(edges)
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
@@ -344,6 +362,7 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
     ends = np.flatnonzero(np.diff(target[order], append=-1))
     receivers = target[order][ends] if m else target
     total = unary.astype(float)
+    reached = np.ones(len(unary), bool) if known is None else known.copy()
     for k in range(rounds if m else 0):
         out = (total[source] - sent[back])[:, :, None] + psi
         top = out.max(1, keepdims=True)
@@ -351,7 +370,15 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
         new -= new.max(1, keepdims=True)
         # later rounds are damped: what oscillates on loops settles
         new = new if k < rounds // 2 else (1 - DAMPING) * new + DAMPING * sent
-        still = np.abs(new - sent).max() < 1e-6
+        if known is not None:
+            new[known[target]] = 0.0        # nothing changes what is known, however many send
+        sends = reached[source]
+        if sends.all() or k == FIRST_ROUNDS:
+            reached[:] = True
+        else:
+            new[~sends] = sent[~sends]
+            reached[target[sends]] = True
+        still = sends.all() and np.abs(new - sent).max() < 1e-6
         sent = new
         sums = np.add.reduceat(sent[order], np.concatenate([[0], ends[:-1] + 1]), axis=0)
         total = unary.astype(float)
@@ -375,7 +402,7 @@ def label(found: list[dict], model: Model) -> list[np.ndarray]:
     held = own > 0
     unary[held] = np.where(agree[own[held]] > 0, 0.0, -1e3)
     edges = np.concatenate([np.array(d["edges"], np.int64).reshape(-1, 3) + [a, a, 0] for d, a in zip(found, at.tolist())])
-    best = beliefs(unary, edges, potentials).argmax(1) if len(unary) else own
+    best = beliefs(unary, edges, potentials, known=held).argmax(1) if len(unary) else own
     best = np.where(held, own, best)
     return [best[a:b] for a, b in zip(at, at[1:])]
 

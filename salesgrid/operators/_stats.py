@@ -62,14 +62,21 @@ def avg_sales_cycle() -> Column:
 _MERGES = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
 
+# Measures that are not plain columns of the fact table, by the name that a stored state knows them by.
+MEASURES = {"rows": lambda: F.lit(1), "cycle_days": lambda: C.day_diff("engage_date", "close_date")}
+
+
 def per_account(model: CrmModel, columns: Sequence[str], parts: Mapping[str, tuple[str, object]],
                 where: Column | None = None, keys: Mapping[str, Column] | None = None) -> DataFrame:
     """account, ``keys`` and additive ``parts`` (name -> (sum | count | min | max, column)).
 
     The fact rows are aggregated by the account's key; names are joined to the
     aggregated rows, and rows of one name (keys without one) are merged. Without
-    parts: the distinct (account, keys) rows.
+    parts: the distinct (account, keys) rows. A model that keeps such parts
+    (``account_parts``) answers itself.
     """
+    if hasattr(model, "account_parts"):
+        return model.account_parts(parts, where, keys or {})
     p = model.account_keyed_pipeline(*columns)
     if where is not None:
         p = p.filter(where)
@@ -77,7 +84,7 @@ def per_account(model: CrmModel, columns: Sequence[str], parts: Mapping[str, tup
     by = [F.col(ACCOUNT_KEY), *[k.alias(n) for n, k in keys.items()]]
     if not parts:
         return model.account_names(p.select(*by).distinct()).select("account", *keys).distinct()
-    col = lambda c: F.col(c) if isinstance(c, str) else c
+    col = lambda c: c if isinstance(c, Column) else MEASURES[c]() if c in MEASURES else F.col(c)
     grouped = p.groupBy(*by).agg(*[_MERGES[kind][0](col(c)).alias(n) for n, (kind, c) in parts.items()])
     return model.account_names(grouped).groupBy("account", *keys).agg(
         *[_MERGES[kind][1](n).alias(n) for n, (kind, _) in parts.items()])

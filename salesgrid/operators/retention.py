@@ -69,7 +69,7 @@ def _account_months(model: CrmModel) -> DataFrame:
     window, so a window partition holds at most one row per month of history
     however many deals a hot account has.
     """
-    m = S.per_account(model, ("deal_stage", "close_date"), {"deals": ("count", F.lit(1))}, C.is_won(),
+    m = S.per_account(model, ("deal_stage", "close_date"), {"deals": ("count", "rows")}, C.is_won(),
                       {"ym": C.month_index("close_date")}).filter(F.col("account").isNotNull())
     return m.withColumn("first_ym", F.min("ym").over(Window.partitionBy("account")))
 

@@ -173,10 +173,9 @@ def churn_risk(model: CrmModel, as_of: str | None = None, day_weight: float = 0.
     count and average value (an average of 0 makes the score NULL).
     """
     as_of = _as_of(model, as_of)
-    days = C.day_diff("engage_date", "close_date")
     g = S.per_account(model, ("deal_stage", "close_date", "engage_date", "opportunity_id", "close_value"), {
         "last_purchase_date": ("max", "close_date"), "purchase_count": ("count", "opportunity_id"),
-        "_days": ("sum", days), "_timed": ("count", days), "_sum": ("sum", "close_value"),
+        "_days": ("sum", "cycle_days"), "_timed": ("count", "cycle_days"), "_sum": ("sum", "close_value"),
         "_n": ("count", "close_value")}, C.is_won())
     g = g.select("account", "last_purchase_date", "purchase_count", C.ratio("_days", "_timed").alias("avg_sales_cycle"),
                  C.ratio("_sum", "_n").alias("avg_purchase_value"))

@@ -87,9 +87,8 @@ def acquisition_cost_proxy(model: CrmModel, daily_cost: float = 100.0, sort: boo
     here it is one aggregate (one shuffle). The join dropped the NULL account
     group, so it is filtered out explicitly.
     """
-    days = C.day_diff("engage_date", "close_date")
     g = S.per_account(model, ("deal_stage", "engage_date", "close_date", "close_value"), {
-        "_days": ("sum", days), "_timed": ("count", days), "_sum": ("sum", "close_value")}, C.is_won())
+        "_days": ("sum", "cycle_days"), "_timed": ("count", "cycle_days"), "_sum": ("sum", "close_value")}, C.is_won())
     g = g.filter(F.col("account").isNotNull()).select(
         "account", C.ratio("_days", "_timed").alias("avg_sales_cycle_days"),
         F.col("_sum").cast("double").alias("_total"))

@@ -30,6 +30,7 @@ class CrmModel:
                                   Callable[[], DataFrame]] | None = None,
                  account_key: tuple[Callable[[tuple[str, ...]], DataFrame],
                                     Callable[[], DataFrame]] | None = None,
+                 interactions: Callable[[], DataFrame] | DataFrame | None = None,
                  **params):
         self._pipeline = pipeline
         # optional source-specific builder of the joined view (same result as
@@ -40,14 +41,17 @@ class CrmModel:
         # the same for accounts: (fact columns + keys, ACCOUNT_KEY -> account)
         self._account_key = account_key
         self._dims = {"accounts": accounts, "products": products, "sales_teams": sales_teams}
+        # optional: contacts with accounts (account, contact_id, contact_time, channel, value)
+        if interactions is not None:
+            self._dims["interactions"] = interactions
         # dataset parameters (as-of date, home country, reference year, ...)
         self.params = dict(params)
 
     # -- constructors -----------------------------------------------------
     @classmethod
     def from_frames(cls, pipeline: DataFrame, accounts: DataFrame, products: DataFrame,
-                    sales_teams: DataFrame, **params) -> "CrmModel":
-        return cls(pipeline, accounts, products, sales_teams, **params)
+                    sales_teams: DataFrame, interactions: DataFrame | None = None, **params) -> "CrmModel":
+        return cls(pipeline, accounts, products, sales_teams, interactions=interactions, **params)
 
     @classmethod
     def from_tpch(cls, tables, validate_keys: bool = True, **params) -> "CrmModel":
@@ -63,6 +67,7 @@ class CrmModel:
                                lambda: starmap.agents_by_key(tables)),
                     account_key=(lambda cols: starmap.star_from_tpch(tables, (ACCOUNT_KEY, *cols)),
                                  lambda: starmap.accounts_by_key(tables)),
+                    interactions=(lambda: starmap.interactions_from_tpch(tables)) if "events" in tables else None,
                     **params)
         return require_valid_keys(model) if validate_keys else model
 
@@ -90,6 +95,11 @@ class CrmModel:
     def sales_teams(self) -> DataFrame:
         return self._dim("sales_teams")
 
+    def interactions(self) -> DataFrame:
+        if "interactions" not in self._dims:
+            raise ValueError("the model has no interactions")
+        return self._dim("interactions")
+
     def agent_keyed_pipeline(self, *columns: str) -> DataFrame:
         """Fact columns plus ``AGENT_KEY``, a surrogate for ``sales_agent``.
 

@@ -12,6 +12,12 @@ Grain of the fact table: one ``lineitem`` row is one opportunity.
     close_date      greatest(o_orderdate, l_shipdate) as DATE for Won/Lost
     close_value     l_extendedprice as DECIMAL(15,2) for Won, 0 for Lost, else NULL
 
+Interactions, where ``events`` is loaded: one event is one contact with the account
+whose customer key is its user id (users without a customer have no account); its
+channel is the event type, and its time the event's distance from 2024-01-01
+stretched by 84 and counted from 1995-01-01, so that a month of events covers
+the years in which deals close.
+
 Dimensions: accounts from customer + nation, products from part, sales teams
 from supplier + nation + region.
 
@@ -218,3 +224,31 @@ def accounts_by_key(tables) -> DataFrame:
 def agents_by_key(tables) -> DataFrame:
     """``_agent_key`` (supplier key) with the agent's name, manager and office."""
     return _teams_keyed(tables).withColumnRenamed("s_suppkey", AGENT_KEY)
+
+
+def interactions_from_tpch(tables) -> DataFrame:
+    """account, contact_id, contact_time (whole seconds), channel, value."""
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) * 84 DIV 1000000")
+    names = tables["customer"].select("c_custkey", F.col("c_name").alias("account"))
+    contacts = tables["events"].withColumn("_s", since).select(
+        "user_id", F.col("event_id").alias("contact_id"),
+        F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(_s AS DECIMAL(18, 6)))").alias("contact_time"),
+        F.col("event_type").alias("channel"), "value")
+    return contacts.join(names, contacts["user_id"] == names["c_custkey"], "left") \
+        .select("account", "contact_id", "contact_time", "channel", "value")
+
+
+def accounts_with_parents(tables) -> DataFrame:
+    """The accounts with parents made from the customer key k (the star map itself has none).
+
+    k % 50 = 7 and the key after it name each other; k % 97 = 3 names a company that is no account;
+    otherwise k % 5 < 2 makes k // 3 the parent, for k > 0; all others have none.
+    """
+    k = F.col("c_custkey")
+    up = F.when(k % 50 == 7, k + 1).when(k % 50 == 8, k - 1).when((k % 97 != 3) & (k % 5 < 2) & (k > 0), F.floor(k / 3))
+    names = tables["customer"].select(F.col("c_custkey").alias("_up"), F.col("c_name").alias("_parent"))
+    keyed = _accounts_keyed(tables).drop("subsidiary_of").withColumnRenamed("c_custkey", "_key")
+    pairs = tables["customer"].select(F.col("c_custkey").alias("_key"), up.cast("bigint").alias("_up"),
+                                      ((k % 97 == 3) & ~(k % 50).isin(7, 8)).alias("_unlisted")).join(names, "_up", "left")
+    parent = F.when(F.col("_unlisted"), F.concat(F.lit("Unlisted#"), F.col("_key").cast("string"))).otherwise(F.col("_parent"))
+    return keyed.join(pairs, "_key").withColumn("subsidiary_of", parent).drop("_key", "_up", "_unlisted", "_parent")

@@ -8,8 +8,8 @@ the id of the conversion) and a ``conversion`` record (the text). Both refer to
 the response by id, target URI and date. ``write_warc`` writes records as WARC
 files, one a partition.
 
-Each page is worked on alone: no shuffle, and memory is bounded by an Arrow
-batch. Ids are name-based, so reruns and retried tasks give the same records.
+Each page is worked on alone, in time linear in its length: no shuffle, and memory
+is bounded by a slice of an Arrow batch (or one longer page). Ids are name-based, so reruns and retried tasks give the same records.
 
 Defined results: a null payload counts as empty; a null URL leaves the URI
 fields out; rows equal in key, URL and payload give equal records; broken
@@ -30,20 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's for URLs
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDDEN = re.compile(r"<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|main"
-                    r"|blockquote|pre|title|body|html))\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"<(script|style|noscript|template|svg)\b[^>]*>", re.I)
+_HEAD = re.compile(r"<head\b[^>]*>", re.I)
+_BREAK = frozenset({"br", "p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "header",
+                    "footer", "nav", "aside", "main", "blockquote", "pre", "title", "body", "html"})
+_TAG = re.compile(r"<(?=[/!?a-zA-Z])/?([a-zA-Z][a-zA-Z0-9_]*)?[^>]*>")
+_OPEN = re.compile(r"<[/!?a-zA-Z]")
+_FIELD = re.compile(r"<(a|title|html|meta)\b[^>]*>", re.I)
+_FIELD_OPEN = re.compile(r"<(a|title|html|meta)\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 _SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -59,20 +64,68 @@ def one_line(value: str) -> str:
     return " ".join(value.split())
 
 
+# Patterns that go up to a ">" are only tried before the last one of a page: there each "<" that begins
+# one finds its end and is not looked at again, so that broken markup takes linear time too.
+
+def _closing(page: str, name: str, after: int) -> re.Match | None:
+    return re.compile(rf"</{name}\s*>", re.I).search(page, after)
+
+
+def _without(page: str, opening: re.Pattern, to_end: bool) -> str:
+    """The page without elements that begin with ``opening``; one that does not end goes to the page's end, or stays."""
+    out, end, last = [], 0, page.rfind(">") + 1
+    while m := opening.search(page, end, last):
+        close = _closing(page, m[1] if m.re.groups else "head", m.end())
+        if not close and not to_end:
+            break
+        out.append(page[end:m.start()])
+        end = close.end() if close else len(page)
+    return "".join(out) + page[end:]
+
+
+def shown(page: str) -> str:
+    """The page without comments and elements that are never displayed."""
+    return _without(_COMMENT.sub("", page), _HIDDEN, True)
+
+
+def _blank(tag: re.Match) -> str:
+    return "\n" if tag[1] and tag[1].lower() in _BREAK else ""
+
+
 def visible_text(page: str) -> str:
     """The text that a reader of the page sees, one block a line."""
-    body = _HEAD.sub("", _HIDDEN.sub("", _COMMENT.sub("", page)))
-    lines = (_SPACES.sub(" ", x).strip() for x in html.unescape(_TAG.sub("", _BREAK.sub("\n", body))).split("\n"))
+    body = _without(shown(page), _HEAD, False)
+    last = body.rfind(">") + 1
+    open_tag = _OPEN.search(body, last)
+    rest = body[last:open_tag.start()] if open_tag else body[last:]
+    text = _TAG.sub(_blank, body[:last]) + rest
+    lines = (_SPACES.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_fields(page: str) -> list[tuple[str, str]]:
     """Title, language, charset and links of a page."""
-    shown = _HIDDEN.sub("", _COMMENT.sub("", page))
-    found = [(name, one_line(html.unescape(m[1]))) for name, pattern in
-             (("title", _TITLE), ("language", _LANG), ("charset", _CHARSET)) if (m := pattern.search(shown))]
-    links = (one_line(html.unescape(a or b or c)) for a, b, c in _LINK.findall(shown))
-    return found + [("outlink", x) for x in links if x]
+    body = shown(page)
+    last = body.rfind(">") + 1
+    tail = _FIELD_OPEN.search(body, last)       # a tag that does not end
+    found: dict[str, str | None] = {}
+    links = []
+    for m in (*_FIELD.finditer(body, 0, last), *([tail] if tail else [])):
+        name, stop = m[1].lower(), len(body) if m is tail else m.end()
+        if name == "a":
+            if (h := _HREF.search(body, m.start(), stop)) and (v := _VALUE.match(body, h.end())):
+                links.append(v[1] or v[2] or v[3] or "")
+        elif name == "title":
+            if "title" not in found and m is not tail:
+                close = _closing(body, "title", stop)
+                found["title"] = body[stop:close.start()] if close else None
+        elif name == "html":
+            if "language" not in found and (v := _LANG.search(body, m.start(), stop)):
+                found["language"] = v[1]
+        elif "charset" not in found and (v := _CHARSET.search(body, m.start(), stop)):
+            found["charset"] = v[1]
+    fields = [(k, one_line(html.unescape(found[k]))) for k in ("title", "language", "charset") if found.get(k) is not None]
+    return fields + [("outlink", x) for x in (one_line(html.unescape(v)) for v in links) if x]
 
 
 def header(kind: str, own: str, fields: list[tuple[str, str | None]], content_type: str, block: bytes) -> str:
@@ -132,8 +185,8 @@ def derive(records: DataFrame) -> DataFrame:
                         for f in _RECORD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist()
+        for piece in (p for batch in batches for p in textops.slices(batch, "payload")):
+            columns = [piece.column(c).to_pylist()
                        for c in ("record_id", "target_uri", "warc_date", "http_header", "payload")]
             out = [r for row in zip(*columns) for r in _derived(*row)]
             yield pa.RecordBatch.from_arrays(

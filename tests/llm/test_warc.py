@@ -91,3 +91,20 @@ def test_nulls_broken_markup_repeats_and_extra_columns(spark):
     assert all(line.count(": ") >= 1 for r in rows for line in r.header.split("\r\n")[1:])
     assert any(len(b) > 249_000 for _, b in text)
     assert warc.derive(warc.responses(pages.limit(0))).collect() == []
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+    for unit in ("<a ", "<a href=", "<p ", "<head>", "<title>", "<html ", "<script ", "<script>", "< ", "<!--", "<", "</script ", "<svg><", "<a href=\"",
+                 "<meta charset", "<html lang ", "&amp", "</head ", "\n", "<a href='\" "):
+        page = unit * (1_000_000 // len(unit))
+        began = time.time()
+        warc.visible_text(page), warc.page_fields(page), warc.visible_text(page + ">"), warc.page_fields(page + ">")
+        assert time.time() - began < 12, unit
+
+
+def test_markup_inside_quotes_and_broken_tags():
+    page = '<html lang=de><head><title>T &amp; U</title></head><body><a href="x>y">one</a><p>two<br/>three <a href=z>four<b <p>five'
+    assert warc.visible_text(page) == 'y">one\ntwo\nthree fourfive'
+    assert warc.page_fields(page) == [("title", "T & U"), ("language", "de"), ("outlink", "x>y"), ("outlink", "z")]
+    assert warc.visible_text("a <script>x</script> b <style>c") == "a b" and warc.visible_text("<head><title>t</title> x") == "t\nx"

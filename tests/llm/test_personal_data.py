@@ -63,10 +63,10 @@ def test_generated_texts_against_regular_expressions():
 
 def test_hostile_texts_take_linear_time():
     for unit in ("a", "1", "a@", "1.", "+1 ", "1 ", "(", "[1", "1-", "@", "a1 ", "+((", "1.1.1.1 ", "0" * 15 + " "):
-        text = unit * (300_000 // len(unit)) + "1"
+        text = unit * (100_000 // len(unit)) + "1"
         began = time.time()
         pii.nodes(text)
-        assert time.time() - began < 20, unit
+        assert time.time() - began < 10, unit
 
 
 CASES = {

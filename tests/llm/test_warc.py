@@ -97,10 +97,10 @@ def test_hostile_markup_takes_linear_time():
     import time
     for unit in ("<a ", "<a href=", "<p ", "<head>", "<title>", "<html ", "<script ", "<script>", "< ", "<!--", "<", "</script ", "<svg><", "<a href=\"",
                  "<meta charset", "<html lang ", "&amp", "</head ", "\n", "<a href='\" "):
-        page = unit * (1_000_000 // len(unit))
+        page = unit * (250_000 // len(unit))
         began = time.time()
         warc.visible_text(page), warc.page_fields(page), warc.visible_text(page + ">"), warc.page_fields(page + ">")
-        assert time.time() - began < 12, unit
+        assert time.time() - began < 5, unit
 
 
 def test_markup_inside_quotes_and_broken_tags():

@@ -59,6 +59,20 @@ def account_days(model: CrmModel) -> DataFrame:
         F.count("close_value").alias("valued_deals"))
 
 
+def save_csv(model: CrmModel, path: str) -> str:
+    """The four tables as CSV folders that ``csv_files.model_from_csv`` reads back (prices in whole units, as declared)."""
+    from pyspark.sql import types as T
+
+    from .. import schemas
+    declared = {"accounts": schemas.ACCOUNTS, "products": schemas.PRODUCTS, "sales_teams": schemas.SALES_TEAMS,
+                "sales_pipeline": schemas.SALES_PIPELINE}
+    for name, df in _frames(model).items():
+        columns = [F.floor(f.name).cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.IntegerType) else F.col(f.name).cast(f.dataType)
+                   for f in declared[name].fields]
+        df.select(*columns).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path.rstrip('/')}/{name}.csv")
+    return path
+
+
 def model_from_parquet(spark: SparkSession, path: str, validate_keys: bool = True,
                        **params) -> CrmModel:
     """The star model from tables written by ``save_tables(path=...)``."""

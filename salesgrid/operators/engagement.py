@@ -97,8 +97,8 @@ def contact_to_purchase(model: CrmModel) -> DataFrame:
 
 def contact_cycle(model: CrmModel) -> DataFrame:
     """Sales cycle from first contact to the first purchase after it, over accounts (one row, exact median)."""
-    deals = model.pipeline("account", "deal_stage", "close_date").filter(C.is_won() & F.col("close_date").isNotNull())
-    bought = deals.groupBy("account", "close_date").agg(F.count(F.lit(1)).alias("_n"))
+    bought = S.per_account(model, ("deal_stage", "close_date"), {}, C.is_won() & F.col("close_date").isNotNull(),
+                           {"close_date": F.col("close_date")})
     first = bought.join(_first_contacts(model), "account").filter(F.col("close_date") >= F.col("first_contact")) \
         .groupBy("account", "first_contact").agg(F.min("close_date").alias("_bought"))
     days = reliable_checkpoint(first.select(C.day_diff("first_contact", "_bought").alias("days")))

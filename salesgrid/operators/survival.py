@@ -144,7 +144,7 @@ def churn_probability(model: CrmModel, as_of: str | None = None, horizon: int =
     account beyond the month in which every spell had ended gets NULL. With ``hazard``: by the fitted hazard.
     """
     _, until = _end_month(model, as_of)
-    months = active_months(model)
+    months = reliable_checkpoint(active_months(model)) if hazard is None else active_months(model)     # read twice by the table
     now = _open_spells(months, until).withColumn("frequency_class", frequency_class("seen", classes))
     if hazard is not None:
         out = now.select("account", "seen", "idle", _no_purchase(hazard, horizon).alias("churn_probability"))

@@ -48,23 +48,24 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
         .select(F.col(key).alias("_key"), _cell(right_time, width).alias("_cell"), seconds(right_time).alias("_s"),
                 F.expr(f"CAST(`{right_time}` AS TIMESTAMP_NTZ)").alias("_at"), F.col(order).alias("_tie"), found.alias("_found"))
     own = F.struct(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(names)])
-    l = left.select(F.col(key).alias("_key"), _cell(left_time, width).alias("_cell"),  # noqa: E741
+    # rows without a key or time find nothing: they are dealt by their own hash
+    apart = F.col(key).isNull() | F.col(left_time).isNull()
+    cell = F.when(apart, F.pmod(F.xxhash64(*names), F.lit(1000))).otherwise(_cell(left_time, width))
+    l = left.select(F.when(~apart, F.col(key)).alias("_key"), cell.alias("_cell"),  # noqa: E741
                     F.expr(f"CAST(`{left_time}` AS TIMESTAMP_NTZ)").alias("_at"), own.alias("_own"))
-    apart = F.col("_key").isNull() | F.col("_at").isNull()
     kind = r.schema["_found"].dataType
-    both = l.filter(~apart).select("_key", "_cell", "_at", F.lit(0 if strict else 1).alias("_side"),
+    both = l.select("_key", "_cell", "_at", F.lit(0 if strict else 1).alias("_side"),
                                    F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), "_own",
                                    F.lit(None).cast(kind).alias("_found")) \
         .unionByName(r.select("_key", "_cell", "_at", F.lit(1 if strict else 0).alias("_side"), "_tie",
                               F.lit(None).cast(l.schema["_own"].dataType).alias("_own"), "_found"))
     # the last row of ``right`` in a cell; a cell without one still needs what came before
-    last = both.groupBy("_key", "_cell").agg(F.max(F.when(F.col("_found").isNotNull(), F.struct("_at", "_tie", "_found"))).alias("_m"))
+    last = both.filter(F.col("_key").isNotNull()).groupBy("_key", "_cell").agg(F.max(F.when(F.col("_found").isNotNull(), F.struct("_at", "_tie", "_found"))).alias("_m"))
     carry = _carry(last.select("_key", "_cell", F.col("_m._found").alias("_last")), "_key", "_last", "_before")
     inside = Window.partitionBy("_key", "_cell").orderBy("_at", "_side", F.col("_tie").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_in", F.last("_found", ignorenulls=True).over(inside)).filter(F.col("_own").isNotNull())
-    joined = seen.join(carry, ["_key", "_cell"], "left").select("_own", F.coalesce("_in", "_before").alias("_found")) \
-        .unionByName(l.filter(apart).select("_own", F.lit(None).cast(kind).alias("_found")))
+    joined = seen.join(carry, ["_key", "_cell"], "left").select("_own", F.coalesce("_in", "_before").alias("_found"))
     return joined.select(*[F.col(f"_own._l{i}").alias(c) for i, c in enumerate(names)],
                          *[F.col(f"_found._c{i}").alias(c) for i, c in enumerate(columns)])
 

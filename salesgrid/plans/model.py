@@ -156,6 +156,11 @@ def crm_view(model: CrmModel, columns: Iterable[str] | None = None) -> DataFrame
     Joining on column names keeps one copy of each key (the pipeline's), which
     is what bare names mean in the original view. Dimensions whose columns are
     not requested are not joined (keys are unique, so that is exact).
+
+    Which join comes first does not matter to the result, but what a join adds
+    travels in the shuffles of those after it. So the products come first (two
+    columns to go through the accounts' shuffle, not six through the products')
+    and the sales teams, the smallest dimension and the likeliest broadcast, last.
     """
     wanted = list(columns) if columns else (
         list(PIPELINE_COLUMNS) + [c for cs in VIEW_DIMENSION_COLUMNS.values() for c in cs])
@@ -168,7 +173,7 @@ def crm_view(model: CrmModel, columns: Iterable[str] | None = None) -> DataFrame
         if cols and keys[dim] not in fact_cols:
             fact_cols.append(keys[dim])
     df = model.pipeline(*fact_cols)
-    for dim in ("sales_teams", "products", "accounts"):
+    for dim in ("products", "accounts", "sales_teams"):
         if need[dim]:
             d = model._dim(dim).select(keys[dim], *need[dim])
             df = df.join(d, keys[dim], "left")

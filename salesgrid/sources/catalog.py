@@ -37,11 +37,15 @@ def save_tables(model: CrmModel, path: str | None = None, database: str | None =
 
     The fact rows keep the layout they have: laid out by account, one hot
     account (or the NULL one) would be one task and one bucket. For repeated
-    per-account reports store ``account_days`` instead.
+    per-account reports store ``account_days`` instead. They are compressed by
+    zstd, which makes them a third smaller. The dimensions keep the default: the
+    planner goes by file sizes, and would broadcast tables with twice the rows.
     """
     out = {}
     for name, df in _frames(model).items():
         w = df.write.mode(mode).format("parquet")
+        if name == "sales_pipeline":
+            w = w.option("compression", "zstd")
         if database:
             w.saveAsTable(f"{database}.{name}")
             out[name] = f"{database}.{name}"

@@ -118,8 +118,9 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     ``orders`` is joined with the accounts first and the fact table with that
     result, so the fact table is shuffled once for the account (by order key)
     rather than once per join; agent and product attributes come through the
-    supplier and part keys. A dimension is joined only if a requested column
-    needs it (its key is unique, so an unused left join changes nothing). Which
+    supplier and part keys. Stages, days and values are derived below the joins:
+    the shuffles move them instead of the wider columns they come from. A
+    dimension is joined only if a requested column needs it (its key is unique, so an unused left join changes nothing). Which
     sides are broadcast is left to the planner and AQE, which go by bytes.
     """
     cols = tuple(columns)
@@ -137,7 +138,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
     need_orders = need_key or bool(wanted & {"engage_date", "close_date"})
     need_team = "sales_agent" in wanted or bool(team_attrs)
 
-    li_cols = ["l_returnflag", "l_linestatus"]
+    li_cols = []
     if "opportunity_id" in wanted:
         li_cols += ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     if "product" in wanted or prod_attrs:
@@ -148,18 +149,21 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         li_cols += ["l_linenumber"]
     if need_orders:
         li_cols += ["l_orderkey"]
+    stage = _stage(F.col("l_returnflag"), F.col("l_linestatus"))
+    derived = [stage.alias("_stage")]
     if wanted & {"engage_date", "close_date"}:
-        li_cols += ["l_shipdate"]
+        derived.append(F.col("l_shipdate").cast("date").alias("_shipped"))
     if "close_value" in wanted:
-        li_cols += ["l_extendedprice"]
-    df = tables["lineitem"].select(*dict.fromkeys(li_cols))
+        derived.append(F.when(stage == F.lit("Won"), F.col("l_extendedprice").cast(CLOSE_VALUE))
+                       .when(stage == F.lit("Lost"), F.lit(0).cast(CLOSE_VALUE)).alias("_value"))
+    df = tables["lineitem"].select(*dict.fromkeys(li_cols), *derived)
 
     if need_orders:
         o_cols = ["o_orderkey"]
         if need_key:
             o_cols.append("o_custkey")
         if wanted & {"engage_date", "close_date"}:
-            o_cols.append("o_orderdate")
+            o_cols.append(F.col("o_orderdate").cast("date").alias("_ordered"))
         orders = tables["orders"].select(*o_cols)
         if need_account:
             acc = _accounts_keyed(tables, acc_attrs).select(
@@ -177,7 +181,7 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         prods = _products_keyed(tables).select("p_partkey", *prod_attrs)
         df = df.join(prods, df["l_partkey"] == prods["p_partkey"], "left")
 
-    stage = _stage(F.col("l_returnflag"), F.col("l_linestatus"))
+    stage = F.col("_stage")
     prospecting = stage == F.lit("Prospecting")
     closed = stage.isin("Won", "Lost")
     # the fact row has no account (and so no account attributes) for Prospecting line 1
@@ -191,12 +195,9 @@ def star_from_tpch(tables, columns: Iterable[str]) -> DataFrame:
         "account": lambda: F.when(no_account, F.lit(None).cast("string")).otherwise(F.col("_acct")),
         "deal_stage": lambda: stage,
         "engage_date": lambda: F.when(prospecting, F.lit(None).cast("date")).otherwise(
-            F.least(F.col("o_orderdate"), F.col("l_shipdate")).cast("date")),
-        "close_date": lambda: F.when(closed, F.greatest(
-            F.col("o_orderdate"), F.col("l_shipdate")).cast("date")),
-        "close_value": lambda: (
-            F.when(stage == F.lit("Won"), F.col("l_extendedprice").cast(CLOSE_VALUE))
-            .when(stage == F.lit("Lost"), F.lit(0).cast(CLOSE_VALUE))),
+            F.least("_ordered", "_shipped")),
+        "close_date": lambda: F.when(closed, F.greatest("_ordered", "_shipped")),
+        "close_value": lambda: F.col("_value"),
     }
     exprs[AGENT_KEY] = lambda: F.col("l_suppkey")
     exprs[ACCOUNT_KEY] = lambda: F.when(no_account, F.lit(None)).otherwise(F.col("o_custkey"))

@@ -181,3 +181,49 @@ def test_registered_queries_have_no_row_caps(spark):
         p = plan(fn(spark, SF))
         for op in ("GlobalLimit", "LocalLimit", "CollectLimit", "TakeOrderedAndProject", "Sample"):
             assert op not in p, f"{name}: {op}"
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, old)
+
+
+def shuffled(p, key):
+    """What each exchange by the key moves: the lines below it down to the next Project."""
+    lines = p.splitlines()
+    return ["".join(lines[i + 1:next(j for j in range(i + 1, len(lines)) if "Project" in lines[j]) + 1])
+            for i, line in enumerate(lines) if f"Exchange hashpartitioning({key}#" in line]
+
+
+def test_order_shuffle_moves_days_and_values(spark, no_broadcasts):
+    """Deals meet their orders with stage, day and value, not with the wider columns that these come from."""
+    p = plan(E.queries()["crm_view"](spark, SF))
+    (moved,) = shuffled(p, "l_orderkey")
+    kept = moved.split("Project [")[1].split("]")[0]
+    for made in ("_stage", "_shipped", "_value"):
+        assert f"AS {made}#" in kept
+    (orders,) = {x for x in shuffled(p, "o_orderkey")}
+    assert "AS _ordered#" in p and "o_orderdate" not in orders.split("Project [")[1].split("]")[0].replace("cast(o_orderdate", "")
+
+
+def test_stored_view_shuffles_no_more_than_it_must(spark, no_broadcasts):
+    """The accounts' attributes and the teams' columns do not travel through the shuffles for other dimensions."""
+    rows = [("o1", "s1", "p1", "a1"), ("o2", "s2", "p9", None), ("o2", None, "p1", "a2"), ("o2", None, "p1", "a2")]
+    facts = spark.createDataFrame(rows, "opportunity_id string, sales_agent string, product string, account string") \
+        .selectExpr("*", "'Won' deal_stage", "DATE'2020-01-01' engage_date", "DATE'2020-02-01' close_date", "1.0BD close_value")
+    teams = spark.createDataFrame([("s1", "m", "r")], "sales_agent string, manager string, regional_office string")
+    products = spark.createDataFrame([("p1", "x", 5.0)], "product string, series string, sales_price double")
+    accounts = spark.createDataFrame([("a1", "it", 1990, 1.0, 3, "US", None), (None, "no", 0, 0.0, 0, "XX", None)],
+                                     "account string, sector string, year_established int, revenue double, employees int, "
+                                     "office_location string, subsidiary_of string")
+    from salesgrid.plans.model import CrmModel, crm_view
+    view = crm_view(CrmModel.from_frames(facts, accounts, products, teams))
+    logical = view._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x.split("(")[1].split("#")[0] for x in logical.splitlines() if "Join LeftOuter" in x]
+    assert joins == ["sales_agent", "account", "product"]          # the outermost first
+    got = sorted((r.opportunity_id, r.manager or "", r.series or "", r.sector or "") for r in view.collect())
+    assert got == [("o1", "m", "x", "it"), ("o2", "", "", ""), ("o2", "", "x", ""), ("o2", "", "x", "")]

@@ -51,6 +51,13 @@ def test_save_and_reload_tables(spark, fixture_model):
     assert catalog.check_keys(reloaded) == {"accounts": True, "products": True, "sales_teams": True}
 
 
+def test_only_the_stored_facts_are_compressed_by_zstd(fixture_model, tmp_path):
+    catalog.save_tables(fixture_model, path=str(tmp_path))
+    files = {n: [p.name for p in (tmp_path / n).glob("part-*")] for n in catalog.TABLE_NAMES}
+    assert all(files.values())
+    assert all(f.endswith(".zstd.parquet") == (n == "sales_pipeline") for n, names in files.items() for f in names)
+
+
 def test_views_allow_sql(spark, fixture_model):
     names = catalog.register_views(fixture_model, prefix="fx_")
     assert "fx_crm_data" in names

@@ -21,8 +21,9 @@ TPCH_SCHEMAS = {
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
                 "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
                 "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
-    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
 }
+# Loaded only where it is named: no part of the star.
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 class TableSet(dict):
@@ -46,7 +47,7 @@ def load_tables(spark: SparkSession, directory: str, names=TPCH_TABLES,
     base = directory.rstrip("/")
 
     def scan(name: str) -> DataFrame:
-        schema = TPCH_SCHEMAS.get(name) if declared_schemas else None
+        schema = {**TPCH_SCHEMAS, "events": EVENTS_SCHEMA}.get(name) if declared_schemas else None
         return (spark.read.schema(schema) if schema else spark.read).parquet(f"{base}/{name}.parquet")
 
     return TableSet({n: scan(n) for n in names})

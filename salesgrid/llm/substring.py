@@ -263,9 +263,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = docs.mapInArrow(_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")) \
         .filter("n > 1").select("key")
     counts, counts_path = scratch.write(counts, "substring-anchors")
-    found = _found_runs(docs, Bitmap(counts, counts.count()))
-    found, found_path = scratch.write(
-        found.join(counts.withColumnRenamed("key", "anchor"), "anchor", "left_semi"), "substring-runs")
+    repeated = Bitmap(counts, counts.count())
+    found, found_path = scratch.write(_found_runs(docs, repeated).join(
+        counts.withColumnRenamed("key", "anchor"), "anchor", "left_semi"), "substring-runs")
+    repeated.release()
     scratch.remove(spark, counts_path)
     contents = found.groupBy("anchor", "content").agg(F.min(_place()).alias("first"),
                                                       F.max("periodic").alias("periodic"))
@@ -277,16 +278,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     open_runs = contents.join(anchors.drop("periodic"), "anchor").select(
         "anchor", "content", F.col("first.ord").alias("ord"), F.col("first.start").alias("start"), "contents")
     open_runs, _ = scratch.write(open_runs, "substring-open")
-    spans = [later]
+    spans, bitmaps = [later], []
     for whole, chosen in ((True, F.col("contents") <= MAX_CONTENTS), (False, F.col("contents") > MAX_CONTENTS)):
         mine = open_runs.filter(chosen)
         n = mine.count()
         if n:
             keys = mine.mapInArrow(_identities, "key long")
-            parts = _fragments(docs, Bitmap(keys, n), whole) \
+            bitmaps.append(Bitmap(keys, n))
+            parts = _fragments(docs, bitmaps[-1], whole) \
                 .join(mine.drop("contents"), ["anchor", "content", "ord", "start"], "left_semi")
             spans.append(_by_automaton(parts) if whole else _by_window(parts))
     out, _ = scratch.write(_union(spans), "substring-spans")
+    for b in bitmaps:
+        b.release()
     scratch.remove(spark, found_path, contents_path)
     return out
 
